@@ -1,10 +1,8 @@
-"""Columns over '/'-separated paths."""
+"""Expressions over '/'-separated paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from folio.functions import case, quoted
 from folio.options import DISPLAY_PATH_BYTES
 
 # Separator of the sort key. It sorts below every printable character, so a directory is
@@ -12,109 +10,89 @@ from folio.options import DISPLAY_PATH_BYTES
 KEY_SEPARATOR = "\x01"
 
 
-def name_of(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def name_of(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def dir_of(path: Column) -> Column:
+def dir_of(path: str) -> str:
     """Parent directory, '' for an entry at the root."""
-    return F.left(path, F.greatest(F.length(path) - F.length(name_of(path)) - 1, F.lit(0)))
+    return f"regexp_extract({path}, {quoted(r'(?s)^(.*)/[^/]*\z')}, 1)"
 
 
-def ext_of(path: Column) -> Column:
+def ext_of(path: str) -> str:
     """Extension without the dot; '' for none, for a leading dot only, and for a final dot."""
-    return F.regexp_extract(name_of(path), r"(?s)^.+\.([^.]*)$", 1)
+    return f"regexp_extract({path}, {quoted(r'(?s)^(?:.*/)?[^/]+\.([^./]*)\z')}, 1)"
 
 
-def depth_of(path: Column) -> Column:
+def depth_of(path: str) -> str:
     """Number of components, 0 for the root itself."""
-    slashes = F.octet_length(path) - F.octet_length(F.replace(path, F.lit("/"), F.lit("")))
-    return F.when(path == "", 0).otherwise(slashes + 1)
-
-
-def first_components(path: Column, count: Column) -> Column:
-    """Leading `count` components, '' for 0."""
-    return F.call_function("substring_index", path, F.lit("/"), count)
-
+    slashes = f"octet_length({path}) - octet_length(replace({path}, '/', ''))"
+    return f"if({path} = '', 0, {slashes} + 1)"
 
-def is_ancestor(base: Column, path: Column) -> Column:
-    """True when `base` is the root or a directory above `path`."""
-    return (base == "") | F.startswith(path, F.concat(base, F.lit("/")))
 
-
-def relative_to(path: Column, root: Column) -> Column:
+def relative_to(path: str, root: str) -> str:
     """`path` below `root`; '' for the root itself, unchanged outside it."""
-    return (
-        F.when(path == root, F.lit(""))
-        .when(
-            F.startswith(path, F.concat(root, F.lit("/"))),
-            F.substring(path, F.length(root) + 2, F.length(path)),
-        )
-        .otherwise(path)
+    return case(
+        (f"{path} = {root}", "''"),
+        (f"startswith({path}, concat({root}, '/'))", f"substring({path}, length({root}) + 2)"),
+        otherwise=path,
     )
 
 
-def report_path(path: Column, root: Column, owner: Column, name: Column) -> Column:
+def report_path(path: str, root: str, owner: str, name: str) -> str:
     """`owner/name/rest` for paths of a repository, the path itself outside it."""
-    inside = (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
-    rest = F.nullif(relative_to(path, root), F.lit(""))
-    return F.when(inside, F.concat_ws("/", owner, name, rest)).otherwise(path)
+    inside = f"({path} = {root} OR startswith({path}, concat({root}, '/')))"
+    rest = f"nullif({relative_to(path, root)}, '')"
+    return f"if({inside}, concat_ws('/', {owner}, {name}, {rest}), {path})"
 
 
-def display_path(path: Column, limit: int = DISPLAY_PATH_BYTES) -> Column:
+def display_path(path: str, limit: int = DISPLAY_PATH_BYTES) -> str:
     """Path shortened to `limit` bytes: '...' and as many whole trailing segments as fit.
 
     The part that fits is the longest tail of at most `limit - 3` bytes that starts at a
     slash, so cutting the byte tail and dropping up to its first slash gives it directly.
     """
     room = limit - 3
-    tail = F.substring(path.cast("binary"), -room, room).cast("string")
-    segments = F.regexp_extract(tail, r"(?s)^[^/]*(/.*)$", 1)
-    short = F.octet_length(path) <= limit
-    few = depth_of(path) <= 2
-    return (
-        F.when(short, path)
-        .when(few, F.concat(F.lit("..."), F.right(path, F.lit(room))))
-        .otherwise(F.concat(F.lit("..."), segments))
+    tail = f"cast(substring(cast({path} AS BINARY), -{room}, {room}) AS STRING)"
+    segments = f"regexp_extract({tail}, {quoted(r'(?s)^[^/]*(/.*)\z')}, 1)"
+    return case(
+        (f"octet_length({path}) <= {limit}", path),
+        (f"{depth_of(path)} <= 2", f"concat('...', right({path}, {room}))"),
+        otherwise=f"concat('...', {segments})",
     )
 
 
-def sanitize_path(path: Column) -> Column:
+def sanitize_path(path: str) -> str:
     """Path as a plain file name: everything but letters, digits and `_-.` becomes `_`."""
-    return F.regexp_replace(path, r"[^\p{L}\p{N}_.-]", "_")
+    return f"regexp_replace({path}, {quoted(r'[^\p{L}\p{N}_.-]')}, '_')"
 
 
-def output_path(output: Column, storage_path: Column) -> Column:
+def output_path(output: str, storage_path: str) -> str:
     """Where the pack of a repository goes: a bare name lands in the repository folder."""
-    return F.when(F.contains(output, F.lit("/")), output).otherwise(
-        F.concat_ws("/", storage_path, output)
-    )
+    return f"if(contains({output}, '/'), {output}, concat_ws('/', {storage_path}, {output}))"
 
 
-def is_output_file(path: Column, output: str) -> Column:
-    """True when the last components of `path` are those of the pack's own output."""
-    wanted = "/".join(part for part in output.split("/") if part not in ("", "."))
-    return (path == wanted) | F.endswith(path, F.lit("/" + wanted))
+def packed_path(path: str, corpus: str = "corpus") -> str:
+    """Path as it is printed: the corpus first."""
+    return f"concat_ws('/', {corpus}, nullif({path}, ''))"
 
 
-def _sortable(path: Column) -> Column:
+def _sortable(path: str) -> str:
     """Escape the key separator; the order of names is kept."""
-    escaped = F.replace(path, F.lit("\x02"), F.lit("\x02\x03"))
-    return F.replace(escaped, F.lit(KEY_SEPARATOR), F.lit("\x02\x02"))
+    escaped = f"replace({path}, '\x02', '\x02\x03')"
+    return f"replace({escaped}, '{KEY_SEPARATOR}', '\x02\x02')"
 
 
-def dir_key(directory: Column) -> Column:
+def dir_key(directory: str) -> str:
     """Sort key at which a directory opens; its entries all start with it."""
-    parts = F.replace(_sortable(directory), F.lit("/"), F.lit(KEY_SEPARATOR + "0"))
-    return F.when(directory == "", F.lit("")).otherwise(
-        F.concat(F.lit("0"), parts, F.lit(KEY_SEPARATOR))
-    )
+    parts = f"replace({_sortable(directory)}, '/', '{KEY_SEPARATOR}0')"
+    return f"if({directory} = '', '', concat('0', {parts}, '{KEY_SEPARATOR}'))"
 
 
-def dir_close_key(directory: Column) -> Column:
-    return F.concat(dir_key(directory), F.lit("2"))
+def dir_close_key(directory: str) -> str:
+    return f"concat({dir_key(directory)}, '2')"
 
 
-def file_key(path: Column) -> Column:
+def file_key(path: str) -> str:
     """Sort key of a leaf: after the subdirectories of its directory, by name."""
-    return F.concat(dir_key(dir_of(path)), F.lit("1"), _sortable(name_of(path)))
+    return f"concat({dir_key(dir_of(path))}, '1', {_sortable(name_of(path))})"

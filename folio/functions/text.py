@@ -1,9 +1,8 @@
-"""Columns over file contents and the text forms of numbers."""
+"""Expressions over file contents and the text forms of numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from folio.functions import case, quoted
 
 # Word pieces and punctuation pieces; the classes are spelled out because \w is ASCII only.
 PIECES = r"[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]+"
@@ -11,100 +10,104 @@ CONTROL_BYTES = r"[\x00-\x08\x0E-\x1F]"
 XML_FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 
 
-def _occurrences(text: Column, needle: str) -> Column:
-    without = F.replace(text, F.lit(needle), F.lit(""))
-    removed = F.octet_length(text) - F.octet_length(without)
-    return removed if len(needle) == 1 else F.call_function("div", removed, F.lit(len(needle)))
+def _removed(text: str, needle: str) -> str:
+    """Bytes that the occurrences of `needle` take up."""
+    return f"(octet_length({text}) - octet_length(replace({text}, {quoted(needle)}, '')))"
 
 
-def _open_ended(text: Column) -> Column:
+def _open_ended(text: str) -> str:
     """1 when the last line has no newline, else 0."""
-    return F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)
+    return f"if({text} <> '' AND NOT endswith({text}, '\\n'), 1, 0)"
 
 
-def line_count(text: Column) -> Column:
+def line_count(text: str) -> str:
     """Lines; a final newline does not start another one."""
-    return (_occurrences(text, "\n") + _open_ended(text)).cast("bigint")
+    newline = "\n"
+    return f"cast({_removed(text, newline)} + {_open_ended(text)} AS BIGINT)"
 
 
-def char_count(text: Column) -> Column:
+def char_count(text: str) -> str:
     """Code points without line ends, plus one per line."""
-    return (F.length(text) - _occurrences(text, "\r\n") + _open_ended(text)).cast("bigint")
+    pairs = f"{_removed(text, chr(13) + chr(10))} div 2"
+    return f"cast(length({text}) - {pairs} + {_open_ended(text)} AS BIGINT)"
 
 
-def token_estimate(chars: Column) -> Column:
-    return F.call_function("div", chars, F.lit(4))
+def token_estimate(chars: str) -> str:
+    return f"({chars} div 4)"
 
 
-def piece_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(PIECES)).cast("bigint")
+def piece_count(text: str) -> str:
+    return f"cast(regexp_count({text}, {quoted(PIECES)}) AS BIGINT)"
 
 
-def content_hash(text: Column) -> Column:
-    return F.sha2(text, 256)
+def content_hash(text: str) -> str:
+    return f"sha2({text}, 256)"
 
 
 def looks_like_text(
-    raw: Column, size: Column, text_limit: int, sample_bytes: int, trim_partial_char: bool
-) -> Column:
+    raw: str, size: str, text_limit: int, sample_bytes: int, trim_partial_char: bool
+) -> str:
     """Non-empty, below the limit, valid UTF-8 head with under a tenth of control bytes."""
-    head = F.substring(raw, 1, sample_bytes)
-    as_text = head.cast("string")
-    valid = F.is_valid_utf8(as_text)
+
+    def head(length: int) -> str:
+        return f"cast(substring({raw}, 1, {length}) AS STRING)"
+
+    valid = [f"is_valid_utf8({head(sample_bytes)})"]
     if trim_partial_char:
-        for cut in (1, 2, 3):
-            shorter = F.substring(raw, 1, sample_bytes - cut).cast("string")
-            valid = valid | ((size > sample_bytes) & F.is_valid_utf8(shorter))
-    few_controls = F.regexp_count(as_text, F.lit(CONTROL_BYTES)) * 10 < F.octet_length(head)
-    return (size > 0) & (size < text_limit) & valid & few_controls
+        valid += [
+            f"({size} > {sample_bytes} AND is_valid_utf8({head(sample_bytes - cut)}))"
+            for cut in (1, 2, 3)
+        ]
+    controls = f"regexp_count({head(sample_bytes)}, {quoted(CONTROL_BYTES)})"
+    return (
+        f"({size} > 0 AND {size} < {text_limit} AND ({' OR '.join(valid)}) "
+        f"AND {controls} * 10 < octet_length({head(sample_bytes)}))"
+    )
 
 
-def size_text(size: Column) -> Column:
+def size_text(size: str) -> str:
     """Bytes, or KB/MB/GB with two decimals.
 
     The units are powers of two, so rounding half to even on whole numbers gives the same
     digits as printing the exact quotient.
     """
 
-    def scaled(unit: int, label: str) -> Column:
-        hundredths = F.call_function("div", size * 100, F.lit(unit))
-        rest = F.pmod(size * 100, F.lit(unit))
-        odd = F.pmod(hundredths, F.lit(2)) == 1
-        up = (rest * 2 > unit) | ((rest * 2 == unit) & odd)
-        digits = hundredths + F.when(up, 1).otherwise(0)
-        whole = F.call_function("div", digits, F.lit(100)).cast("string")
-        fraction = F.lpad(F.pmod(digits, F.lit(100)).cast("string"), 2, "0")
-        return F.concat(whole, F.lit("."), fraction, F.lit(" " + label))
-
-    return (
-        F.when(size >= 1 << 30, scaled(1 << 30, "GB"))
-        .when(size >= 1 << 20, scaled(1 << 20, "MB"))
-        .when(size >= 1 << 10, scaled(1 << 10, "KB"))
-        .otherwise(F.concat(size.cast("string"), F.lit(" bytes")))
+    def scaled(unit: int, label: str) -> str:
+        down = f"({size} * 100 div {unit})"
+        rest = f"({size} * 100 % {unit}) * 2"
+        up = f"if({rest} > {unit} OR ({rest} = {unit} AND {down} % 2 = 1), 1, 0)"
+        digits = f"({down} + {up})"
+        return f"concat({digits} div 100, '.', lpad({digits} % 100, 2, '0'), ' {label}')"
+
+    return case(
+        (f"{size} >= {1 << 30}", scaled(1 << 30, "GB")),
+        (f"{size} >= {1 << 20}", scaled(1 << 20, "MB")),
+        (f"{size} >= {1 << 10}", scaled(1 << 10, "KB")),
+        otherwise=f"concat({size}, ' bytes')",
     )
 
 
-def one_decimal(value: Column) -> Column:
+def one_decimal(value: str) -> str:
     """One decimal of the exact binary value, ties to even."""
-    return F.replace(F.format_number(value, 1), F.lit(","), F.lit(""))
+    return f"replace(format_number({value}, 1), ',', '')"
 
 
-def count_text(count: Column) -> Column:
+def count_text(count: str) -> str:
     """Plain below a thousand, else K or M with one decimal."""
-    number = count.cast("double")
-    return (
-        F.when(count >= 1_000_000, F.concat(one_decimal(number / 1_000_000.0), F.lit("M")))
-        .when(count >= 1_000, F.concat(one_decimal(number / 1_000.0), F.lit("K")))
-        .otherwise(count.cast("string"))
+    number = f"cast({count} AS DOUBLE)"
+    return case(
+        (f"{count} >= 1000000", f"concat({one_decimal(f'{number} / 1000000D')}, 'M')"),
+        (f"{count} >= 1000", f"concat({one_decimal(f'{number} / 1000D')}, 'K')"),
+        otherwise=f"cast({count} AS STRING)",
     )
 
 
-def xml_clean(text: Column) -> Column:
+def xml_clean(text: str) -> str:
     """Characters that XML 1.0 forbids become U+FFFD."""
-    return F.regexp_replace(text, XML_FORBIDDEN, "�")
+    return f"regexp_replace({text}, {quoted(XML_FORBIDDEN)}, '�')"
 
 
-def xml_escape(text: Column) -> Column:
+def xml_escape(text: str) -> str:
     escaped = xml_clean(text)
     # The five predefined entities, ampersand first.
     for char, entity in (
@@ -114,38 +117,29 @@ def xml_escape(text: Column) -> Column:
         ("'", "&apos;"),
         ('"', "&quot;"),
     ):
-        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
+        escaped = f"replace({escaped}, {quoted(char)}, '{entity}')"
     return escaped
 
 
-def cdata(text: Column) -> Column:
+def cdata(text: str) -> str:
     """CDATA section; a section end inside the text is split over two sections."""
-    split = F.replace(xml_clean(text), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
-    return F.concat(F.lit("<![CDATA["), split, F.lit("]]>"))
+    split = f"replace({xml_clean(text)}, ']]>', ']]]]><![CDATA[>')"
+    return f"concat('<![CDATA[', {split}, ']]>')"
 
 
-def rfc3339(moment: Column) -> Column:
+def rfc3339(moment: str) -> str:
     """UTC text of a timestamp, whatever the session time zone; zero fractions are left out."""
-    micros = F.unix_micros(moment)
-    day = F.call_function("div", micros - F.pmod(micros, F.lit(86_400_000_000)), F.lit(86_400_000_000))
-    of_day = F.pmod(micros, F.lit(86_400_000_000))
-    seconds = F.call_function("div", of_day, F.lit(1_000_000))
-    fraction = F.pmod(of_day, F.lit(1_000_000))
-
-    def two(value: Column) -> Column:
-        return F.lpad(value.cast("string"), 2, "0")
-
-    clock = F.concat_ws(
-        ":",
-        two(F.call_function("div", seconds, F.lit(3600))),
-        two(F.pmod(F.call_function("div", seconds, F.lit(60)), F.lit(60))),
-        two(F.pmod(seconds, F.lit(60))),
+    micros = f"unix_micros({moment})"
+    day = f"date_from_unix_date(cast(floor({micros} / 86400000000) AS INT))"
+    second = f"(pmod({micros}, 86400000000) div 1000000)"
+    fraction = f"lpad(pmod({micros}, 1000000), 6, '0')"
+    clock = ", ':', ".join(
+        f"lpad({value}, 2, '0')"
+        for value in (f"{second} div 3600", f"{second} div 60 % 60", f"{second} % 60")
     )
-    digits = F.lpad(fraction.cast("string"), 6, "0")
-    decimals = (
-        F.when(fraction == 0, F.lit(""))
-        .when(F.pmod(fraction, F.lit(1000)) == 0, F.concat(F.lit("."), F.left(digits, F.lit(3))))
-        .otherwise(F.concat(F.lit("."), digits))
+    decimals = case(
+        (f"pmod({micros}, 1000000) = 0", "''"),
+        (f"pmod({micros}, 1000) = 0", f"concat('.', left({fraction}, 3))"),
+        otherwise=f"concat('.', {fraction})",
     )
-    date = F.date_from_unix_date(day.cast("int")).cast("string")
-    return F.concat(date, F.lit("T"), clock, decimals, F.lit("+00:00"))
+    return f"concat({day}, 'T', {clock}, {decimals}, '+00:00')"

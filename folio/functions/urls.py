@@ -1,9 +1,8 @@
-"""Columns that recognise and take apart repository URLs."""
+"""Expressions that recognise and take apart repository URLs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from folio.functions import case, quoted
 
 # The two accepted shapes, and hosts with a storage folder of their own.
 HTTP_SHAPE = r"\Ahttps?://.*/[^/]+/[^/]+\z"
@@ -14,51 +13,41 @@ HOST_TITLES = {"github": "GitHub", "gitlab": "GitLab", "bitbucket": "Bitbucket"}
 STORAGE_KINDS = ("github", "gitlab", "bitbucket", "git")
 
 
-def host_kind(host: Column) -> Column:
-    kind = F.lit("git")
-    for known, label in KNOWN_HOSTS.items():
-        kind = F.when(host == known, F.lit(label)).otherwise(kind)
-    return F.when(host.isNotNull(), kind)
+def host_kind(host: str) -> str:
+    known = [(f"{host} = '{name}'", f"'{kind}'") for name, kind in KNOWN_HOSTS.items()]
+    return case((f"{host} IS NULL", "NULL"), *known, otherwise="'git'")
 
 
-def storage_path(kind: Column, host: Column, owner: Column, name: Column) -> Column:
-    return F.concat_ws("/", kind, F.when(kind == "git", host), owner, name)
+def storage_path(kind: str, host: str, owner: str, name: str) -> str:
+    return f"concat_ws('/', {kind}, if({kind} = 'git', {host}, NULL), {owner}, {name})"
 
 
-def host_title(kind: Column, host: Column) -> Column:
-    title = host
-    for label, text in HOST_TITLES.items():
-        title = F.when(kind == label, F.lit(text)).otherwise(title)
-    return title
+def host_title(kind: str, host: str) -> str:
+    titles = [(f"{kind} = '{label}'", f"'{title}'") for label, title in HOST_TITLES.items()]
+    return case(*titles, otherwise=host)
 
 
-def repo_display(kind: Column, host: Column, owner: Column, name: Column) -> Column:
-    return F.concat_ws("/", host_title(kind, host), owner, name)
+def repo_display(kind: str, host: str, owner: str, name: str) -> str:
+    return f"concat_ws('/', {host_title(kind, host)}, {owner}, {name})"
 
 
-def parse_repo_url(url: Column) -> Column:
+def parse_repo_url(url: str) -> str:
     """Struct of host, owner and name; NULL when the text is not a repository URL."""
-    authority = F.regexp_extract(url, HTTP_PARTS, 1)
-    http_host = F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$", ""))
-    segments = F.split(F.regexp_extract(url, HTTP_PARTS, 2), "/")
-    is_http = url.rlike(HTTP_SHAPE) & (http_host != "") & (F.size(segments) >= 2)
-    is_ssh = url.rlike(SSH_SHAPE)
-
-    def parsed(host: Column, owner: Column, name: Column) -> Column:
-        bare = F.regexp_replace(name, r"\.git\z", "")
-        return F.struct(host.alias("host"), owner.alias("owner"), bare.alias("name"))
-
-    return F.when(
-        is_http, parsed(http_host, F.get(segments, F.lit(0)), F.get(segments, F.lit(1)))
-    ).when(
-        is_ssh,
-        parsed(
-            F.regexp_extract(url, SSH_SHAPE, 1),
-            F.regexp_extract(url, SSH_SHAPE, 2),
-            F.regexp_extract(url, SSH_SHAPE, 3),
-        ),
+    authority = f"regexp_extract({url}, {quoted(HTTP_PARTS)}, 1)"
+    http_host = f"lower(regexp_replace({authority}, '^.*@|:[0-9]*$', ''))"
+    segments = f"split(regexp_extract({url}, {quoted(HTTP_PARTS)}, 2), '/')"
+    is_http = f"{url} RLIKE {quoted(HTTP_SHAPE)} AND {http_host} <> '' AND size({segments}) >= 2"
+
+    def parsed(host: str, owner: str, name: str) -> str:
+        bare = f"regexp_replace({name}, {quoted(r'\.git\z')}, '')"
+        return f"named_struct('host', {host}, 'owner', {owner}, 'name', {bare})"
+
+    ssh = [f"regexp_extract({url}, {quoted(SSH_SHAPE)}, {group})" for group in (1, 2, 3)]
+    return case(
+        (is_http, parsed(http_host, f"get({segments}, 0)", f"get({segments}, 1)")),
+        (f"{url} RLIKE {quoted(SSH_SHAPE)}", parsed(*ssh)),
     )
 
 
-def is_repo_url(url: Column) -> Column:
-    return parse_repo_url(url).isNotNull()
+def is_repo_url(url: str) -> str:
+    return f"({parse_repo_url(url)} IS NOT NULL)"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from folio.functions import case, quoted
 from folio.functions import text as txt
 from folio.options import PackOptions
 
@@ -13,90 +13,77 @@ TOO_LARGE = "File too large to include content. Size: "
 READ_FAILED = "Failed to read file content: stream did not contain valid UTF-8"
 OPEN_FAILED = "Failed to open file: "
 
-COUNTED = ("ok", "oversize", "binary", "symlink")
+# Entries that count as processed; those that failed to be read do not.
+COUNTED = "read_status IN ('ok', 'oversize', 'binary', 'symlink')"
 
+_UNREADABLE = "(kind = 'file' AND raw IS NULL)"
 
-def entry_kind(options: PackOptions) -> Column:
-    """text, binary, symlink, directory or other."""
-    is_text = txt.looks_like_text(
-        F.col("raw"),
-        F.col("size"),
-        options.text_limit,
-        options.sample_bytes,
-        options.trim_partial_char,
-    )
-    as_file = F.when(is_text, F.lit("text")).otherwise("binary")
-    return F.when(F.col("kind") == "file", as_file).otherwise(F.col("kind"))
 
-
-def classify(files: DataFrame, options: PackOptions) -> DataFrame:
-    return files.withColumn("kind", entry_kind(options))
+def accepted(files: DataFrame) -> DataFrame:
+    """Entries a pack can hold. Asked before classification, so it costs no content test."""
+    return files.where(f"kind IN ('file', 'symlink') AND NOT {_UNREADABLE}")
 
 
-def read_status(options: PackOptions) -> Column:
-    text = F.col("raw").cast("string")
-    return (
-        F.when(F.col("kind") != "text", F.col("kind"))
-        .when(F.col("size") > options.inline_limit, F.lit("oversize"))
-        .when(F.col("open_error").isNotNull(), F.lit("open_error"))
-        .when(F.is_valid_utf8(text), F.lit("ok"))
-        .otherwise(F.lit("read_error"))
+def rejects(files: DataFrame) -> DataFrame:
+    """Entries a pack cannot hold, by corpus and reason."""
+    reason = f"if({_UNREADABLE}, 'unreadable', 'other') AS reason"
+    rejected = files.where(f"kind NOT IN ('file', 'symlink', 'directory') OR {_UNREADABLE}")
+    return rejected.selectExpr("corpus", reason).groupBy("corpus", "reason").count().withColumnRenamed(
+        "count", "entries"
     )
 
 
-def with_content(classified: DataFrame, options: PackOptions) -> DataFrame:
-    """Swap the bytes for `content`, and say in `read_status` where it came from."""
-    status = F.col("read_status")
-    content = (
-        F.when(status == "ok", F.col("raw").cast("string"))
-        .when(status == "oversize", F.concat(F.lit(TOO_LARGE), txt.size_text(F.col("size"))))
-        .when(status == "read_error", F.lit(READ_FAILED))
-        .when(status == "open_error", F.concat(F.lit(OPEN_FAILED), F.col("open_error")))
-    )
-    return (
-        classified.withColumn("read_status", read_status(options))
-        .withColumn("content", content)
-        .drop("raw", "open_error")
+def entry_kind(options: PackOptions) -> str:
+    """text, binary, symlink, directory or other."""
+    is_text = txt.looks_like_text(
+        "raw", "size", options.text_limit, options.sample_bytes, options.trim_partial_char
     )
+    return f"if(kind = 'file', if({is_text}, 'text', 'binary'), kind)"
 
 
-def _unreadable() -> Column:
-    return (F.col("kind") == "file") & (F.col("size") > 0) & F.col("raw").isNull()
+def _with(rows: DataFrame, *expressions: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with expressions added or replaced, in one step."""
+    replaced = {e.rsplit(" AS ", 1)[1] for e in expressions} | set(without)
+    return rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in replaced], *expressions)
 
 
-def accepted(files: DataFrame) -> DataFrame:
-    """Entries a pack can hold. Asked before classification, so it costs no content test."""
-    return files.where(F.col("kind").isin("file", "symlink") & ~_unreadable())
+def classify(files: DataFrame, options: PackOptions) -> DataFrame:
+    return _with(files, f"{entry_kind(options)} AS kind")
 
 
-def rejects(files: DataFrame) -> DataFrame:
-    """Entries a pack cannot hold, by corpus and reason."""
-    return (
-        files.where(~F.col("kind").isin("file", "symlink", "directory") | _unreadable())
-        .groupBy("corpus", F.when(_unreadable(), "unreadable").otherwise("other").alias("reason"))
-        .agg(F.count(F.lit(1)).alias("entries"))
+def with_content(classified: DataFrame, options: PackOptions) -> DataFrame:
+    """Swap the bytes for `content`, and say in `read_status` where it came from."""
+    status = case(
+        ("kind <> 'text'", "kind"),
+        (f"size > {options.inline_limit}", "'oversize'"),
+        ("open_error IS NOT NULL", "'open_error'"),
+        ("is_valid_utf8(cast(raw AS STRING))", "'ok'"),
+        otherwise="'read_error'",
     )
+    content = case(
+        ("read_status = 'ok'", "cast(raw AS STRING)"),
+        ("read_status = 'oversize'", f"concat('{TOO_LARGE}', {txt.size_text('size')})"),
+        ("read_status = 'read_error'", quoted(READ_FAILED)),
+        ("read_status = 'open_error'", f"concat('{OPEN_FAILED}', open_error)"),
+    )
+    rows = _with(classified, f"{status} AS read_status")
+    return _with(rows, f"{content} AS content", without=("raw", "open_error"))
 
 
 def with_measures(contents: DataFrame) -> DataFrame:
     """Lines and characters; zero for what is not readable text, link length for symlinks."""
-    ok = F.col("read_status") == "ok"
-    link = F.col("read_status") == "symlink"
-    return contents.withColumns(
-        {
-            "lines": F.when(ok, txt.line_count(F.col("content"))).otherwise(F.lit(0).cast("bigint")),
-            "chars": F.when(ok, txt.char_count(F.col("content")))
-            .when(link, F.length("target").cast("bigint"))
-            .otherwise(F.lit(0).cast("bigint")),
-        }
+    lines = f"if(read_status = 'ok', {txt.line_count('content')}, 0L) AS lines"
+    chars = case(
+        ("read_status = 'ok'", txt.char_count("content")),
+        ("read_status = 'symlink'", "cast(length(target) AS BIGINT)"),
+        otherwise="0L",
     )
+    return _with(contents, lines, f"{chars} AS chars")
 
 
 def with_hash(contents: DataFrame) -> DataFrame:
     """Cache key of readable text."""
-    return contents.withColumn(
-        "hash", F.when(F.col("read_status") == "ok", txt.content_hash(F.col("content")))
-    )
+    return _with(contents, f"if(read_status = 'ok', {txt.content_hash('content')}, NULL) AS hash")
 
 
 def measured(files: DataFrame, options: PackOptions) -> DataFrame:

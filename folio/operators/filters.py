@@ -2,88 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions import paths
-from folio.functions.globs import names_regex
+from folio.functions import paths, quoted
+from folio.functions.globs import glob_body, names_regex
 from folio.options import DEFAULT_IGNORE, PackOptions
 
 
-def matches_globs(name: Column, globs) -> Column:
+def matches_globs(name: str, globs) -> str:
     """Any of the globs matches the whole name; no globs match nothing."""
     plain, negated = names_regex(globs)
-    found = F.lit(False) if plain is None else name.rlike(plain)
-    for expression in negated:
-        found = found | ~name.rlike(expression)
-    return found
+    found = [] if plain is None else [f"{name} RLIKE {quoted(plain)}"]
+    found += [f"NOT {name} RLIKE {quoted(expression)}" for expression in negated]
+    return f"({' OR '.join(found)})" if found else "false"
 
 
-def is_default_ignored(name: Column, with_globs: bool = False) -> Column:
-    """Listed by name; with `with_globs` the listed globs count as globs."""
-    literal = name.isin(*sorted(set(DEFAULT_IGNORE)))
+def _default_names(with_globs: bool) -> list[str]:
+    """Expressions for the listed names; a listed glob is a plain name unless asked for."""
+    entries = sorted(set(DEFAULT_IGNORE))
     if not with_globs:
-        return literal
-    globs = sorted({entry.rstrip("/") for entry in DEFAULT_IGNORE if set(entry) & set("*/")})
-    return literal | matches_globs(name, globs)
+        return [re.escape(entry) for entry in entries if "/" not in entry]
+    return [glob_body(entry.rstrip("/")) for entry in entries]
+
+
+def is_default_ignored(name: str, with_globs: bool = False) -> str:
+    """Listed by name; with `with_globs` the listed globs count as globs."""
+    listed = "|".join(_default_names(with_globs))
+    return f"{name} RLIKE {quoted(rf'(?s)\A(?:{listed})\z')}"
 
 
-def is_ignored_name(name: Column, options: PackOptions) -> Column:
-    """Default list, user globs, hidden entries in ignore-file mode, and missing names."""
-    ignored = name.isNull() | (name == "") | is_default_ignored(name, options.default_globs)
-    if options.ignore_patterns:
-        ignored = ignored | matches_globs(name, options.ignore_patterns)
+def _name_expressions(options: PackOptions) -> list[str]:
+    """Ignored names: the list, the plain globs, and hidden entries in ignore-file mode."""
+    names = _default_names(options.default_globs)
+    names += [glob_body(glob) for glob in options.ignore_patterns if not glob.startswith("!")]
     if options.respect_gitignore:
-        ignored = ignored | F.startswith(name, F.lit("."))
-    return ignored
+        names.append(r"\.[^/]*")
+    return names
 
 
-def _any_component(path: Column, options: PackOptions) -> Column:
-    """Some component of the path is an ignored name.
+def ignored_component(options: PackOptions) -> str:
+    """One expression that finds an ignored name anywhere in a path.
 
-    One expression over the path text rather than a lambda over its parts, which would take
-    the filter out of generated code.
+    It takes the place of a lambda over the parts of the path, so the filter reads the path
+    once and stays in generated code.
     """
-    components = F.split(path, "/")
-    names = F.array(*[F.lit(entry) for entry in sorted(set(DEFAULT_IGNORE))])
-    found = F.arrays_overlap(components, names)
-    globs = list(options.ignore_patterns)
-    if options.default_globs:
-        globs += sorted({entry.rstrip("/") for entry in DEFAULT_IGNORE if set(entry) & set("*/")})
-    plain, negated = names_regex(globs)
-    if plain is not None:
-        body = plain.removeprefix(r"(?s)\A").removesuffix(r"\z")
-        found = found | path.rlike(rf"(?s)(?:\A|/){body}(?:/|\z)")
-    for expression in negated:
-        found = found | F.exists(components, lambda c, e=expression: ~c.rlike(e))
-    if options.respect_gitignore:
-        found = found | path.rlike(r"(?:\A|/)\.")
-    return found
+    return rf"(?s)(?:\A|/)(?:{'|'.join(_name_expressions(options))})(?:/|\z)"
+
+
+def _output(options: PackOptions) -> str:
+    parts = [re.escape(p) for p in options.output_name.split("/") if p not in ("", ".")]
+    return rf"(?:\A|/){'/'.join(parts)}\z"
+
+
+def is_output_file(path: str, options: PackOptions) -> str:
+    """The last components of the path are those of the pack's own output."""
+    return f"{path} RLIKE {quoted(_output(options))}"
+
+
+def _negated(options: PackOptions) -> list[str]:
+    return [
+        rf"(?s)\A{glob_body(glob[1:])}\z" for glob in options.ignore_patterns if glob.startswith("!")
+    ]
+
+
+def is_ignored_name(name: str, options: PackOptions) -> str:
+    """The entry's own name is ignored, or it has none."""
+    listed = rf"(?s)\A(?:{'|'.join(_name_expressions(options))})?\z"
+    found = [f"{name} IS NULL", f"{name} RLIKE {quoted(listed)}"]
+    found += [f"NOT {name} RLIKE {quoted(expression)}" for expression in _negated(options)]
+    return f"({' OR '.join(found)})"
+
+
+def _included(path: str, options: PackOptions) -> str:
+    """The name, or the name and all folders, match the include globs."""
+    globs = options.include_patterns
+    if any(glob.startswith("!") for glob in globs):
+        parts = f"split({path}, '/')" if options.include_dirs else f"array({paths.name_of(path)})"
+        return f"forall({parts}, c -> {matches_globs('c', globs)})"
+    name = "(?:" + "|".join(glob_body(glob) for glob in globs) + ")"
+    folders = rf"(?:{name}/)*" if options.include_dirs else "(?:.*/)?"
+    return f"{path} RLIKE {quoted(rf'(?s)\A{folders}{name}\z')}"
 
 
-def keep_path(path: Column, options: PackOptions) -> Column:
+def keep_path(path: str, options: PackOptions) -> str:
     """An entry stays when neither its name nor any folder above it is ignored."""
-    name = paths.name_of(path)
-    named = path.isNotNull() & (name != "")
-    keep = named & ~_any_component(path, options) & ~paths.is_output_file(path, options.output_name)
+    out = rf"{ignored_component(options)}|{_output(options)}|\A\z|/\z"
+    keep = [f"NOT {path} RLIKE {quoted(out)}"]
+    keep += [
+        f"forall(split({path}, '/'), c -> c RLIKE {quoted(named)})" for named in _negated(options)
+    ]
     if options.include_patterns:
-        keep = keep & matches_globs(name, options.include_patterns)
-        if options.include_dirs:
-            keep = keep & F.forall(
-                F.filter(F.split(paths.dir_of(path), "/"), lambda c: c != ""),
-                lambda c: matches_globs(c, options.include_patterns),
-            )
-    return keep
+        keep.append(_included(path, options))
+    return f"({' AND '.join(keep)})"
 
 
 def prune_dirs(files: DataFrame, options: PackOptions) -> DataFrame:
     """Drop everything below an ignored folder, whatever the entry itself is called."""
-    return files.where(~_any_component(paths.dir_of(F.col("path")), options))
+    return files.where(f"NOT {paths.dir_of('path')} RLIKE {quoted(ignored_component(options))}")
 
 
 def select_files(files: DataFrame, options: PackOptions) -> DataFrame:
     """All name and folder filters of a run; ignore files are applied separately."""
-    return files.where(keep_path(F.col("path"), options))
+    return files.where(keep_path("path", options))
 
 
 def count_files(files: DataFrame, options: PackOptions, by_name_only: bool = False) -> DataFrame:
@@ -91,16 +114,11 @@ def count_files(files: DataFrame, options: PackOptions, by_name_only: bool = Fal
 
     `by_name_only` looks at the entry's own name and not at the folders above it.
     """
-    path = F.col("path")
+    keep = keep_path("path", options)
     if by_name_only:
-        name = paths.name_of(path)
-        keep = ~is_ignored_name(name, options) & ~paths.is_output_file(path, options.output_name)
+        name = paths.name_of("path")
+        keep = f"NOT {is_ignored_name(name, options)} AND NOT {is_output_file('path', options)}"
         if options.include_patterns:
-            keep = keep & matches_globs(name, options.include_patterns)
-    else:
-        keep = keep_path(path, options)
-    return (
-        files.where((F.col("kind") == "file") & keep)
-        .groupBy("corpus")
-        .agg(F.count(F.lit(1)).alias("files"))
-    )
+            keep += f" AND {matches_globs(name, options.include_patterns)}"
+    kept = files.where(f"kind = 'file' AND {keep}")
+    return kept.groupBy("corpus").agg(F.expr("count(1) AS files"))

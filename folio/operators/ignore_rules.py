@@ -7,10 +7,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions import paths
+from folio.functions import paths, quoted
 from folio.functions.globs import compile_ignore_text
 from folio.operators.skew import HOT_ROWS, hot_keys, lookup
 from folio.operators.tree import ancestors_of, directories
@@ -29,24 +29,26 @@ def _compile(texts: pd.Series) -> pd.Series:
 
 def rules_from(ignore_files: DataFrame, custom: bool = False) -> DataFrame:
     """Rules of ignore files given as (corpus, path, content)."""
-    base = paths.dir_of(F.col("path"))
-    return ignore_files.select(
+    based = ignore_files.selectExpr("corpus", f"{paths.dir_of('path')} AS base_dir", "content")
+    compiled = based.select(
         "corpus",
-        base.alias("base_dir"),
-        paths.depth_of(base).alias("depth"),
-        F.inline(_compile(F.col("content"))),
-    ).withColumn("custom", F.lit(custom))
+        "base_dir",
+        F.expr(f"{paths.depth_of('base_dir')} AS depth"),
+        F.inline(_compile("content")),
+    )
+    return compiled.withColumn("custom", F.lit(custom))
 
 
 def ignore_files_in(contents: DataFrame, name: str = ".gitignore") -> DataFrame:
     """The ignore files of a table; they count although they are not packed themselves."""
-    return contents.where(paths.name_of(F.col("path")) == name).select("corpus", "path", "content")
+    named = contents.where(f"{paths.name_of('path')} = {quoted(name)}")
+    return named.select("corpus", "path", "content")
 
 
 def _rule_files(rules: DataFrame) -> DataFrame:
     """One row per folder with ignore files. A list holds the lines of those files only."""
-    rule = F.struct("custom", "depth", "line_no", "negated", "base_dir", "regex", "dir_only")
-    return rules.groupBy("corpus", "base_dir").agg(F.collect_list(rule).alias("rules"))
+    rule = "struct(custom, depth, line_no, negated, base_dir, regex, dir_only)"
+    return rules.groupBy("corpus", "base_dir").agg(F.expr(f"collect_list({rule}) AS rules"))
 
 
 def _governing(dirs: DataFrame, rule_files: DataFrame) -> DataFrame:
@@ -55,40 +57,36 @@ def _governing(dirs: DataFrame, rule_files: DataFrame) -> DataFrame:
     Every folder lists its ancestors and finds their rule files by an equality join. The
     gathered list is bounded by the lines of the ignore files on one chain of folders.
     """
-    above = dirs.select("corpus", "dir", ancestors_of(F.col("dir")).alias("base_dir"))
-    gathered = F.flatten(F.collect_list("rules"))
+    above = dirs.selectExpr("corpus", "dir", f"{ancestors_of('dir')} AS base_dir")
+    gathered = "sort_array(flatten(collect_list(rules)), false) AS rules"
     return (
         above.join(rule_files, ["corpus", "base_dir"])
         .groupBy("corpus", "dir")
-        .agg(F.sort_array(gathered, asc=False).alias("rules"))
+        .agg(F.expr(gathered))
     )
 
 
-def _is_ignored(path: Column, is_dir: bool) -> Column:
+def _is_ignored(path: str, is_dir: bool) -> str:
     """The strongest rule that matches decides; none keeps the entry."""
-
-    def applies(rule: Column) -> Column:
-        start = F.when(rule["base_dir"] == "", 1).otherwise(F.length(rule["base_dir"]) + 2)
-        matches = F.rlike(F.substring(path, start, F.length(path)), rule["regex"])
-        return matches if is_dir else ~rule["dir_only"] & matches
-
-    deciding = F.get(F.filter(F.col("rules"), applies), F.lit(0))
-    return F.coalesce(~deciding["negated"], F.lit(False))
+    start = "if(r.base_dir = '', 1, length(r.base_dir) + 2)"
+    applies = f"substring({path}, {start}) RLIKE r.regex"
+    if not is_dir:
+        applies = f"NOT r.dir_only AND {applies}"
+    return f"coalesce(NOT get(filter(rules, r -> {applies}), 0).negated, false)"
 
 
 def ignored_dirs(dirs: DataFrame, governing: DataFrame) -> DataFrame:
     """Directories (corpus, dir) that are excluded themselves or lie below one that is."""
-    entry = F.col("entry")
-    entries = dirs.where(F.col("dir") != "").select(
-        "corpus", F.col("dir").alias("entry"), paths.dir_of(F.col("dir")).alias("dir")
+    entries = dirs.where("dir <> ''").selectExpr(
+        "corpus", "dir AS entry", f"{paths.dir_of('dir')} AS dir"
     )
     own = (
         entries.join(governing, ["corpus", "dir"])
-        .where(_is_ignored(entry, is_dir=True))
-        .select("corpus", entry.alias("base_dir"))
+        .where(_is_ignored("entry", is_dir=True))
+        .selectExpr("corpus", "entry AS base_dir")
     )
-    above = dirs.select("corpus", "dir", ancestors_of(F.col("dir")).alias("base_dir"))
-    below = above.where(F.col("base_dir") != "").join(own, ["corpus", "base_dir"], "left_semi")
+    above = dirs.selectExpr("corpus", "dir", f"{ancestors_of('dir')} AS base_dir")
+    below = above.where("base_dir <> ''").join(own, ["corpus", "base_dir"], "left_semi")
     return below.select("corpus", "dir").distinct()
 
 
@@ -103,11 +101,11 @@ def ignored_files(files: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS)
     governing = _governing(dirs, _rule_files(rules))
     dead = ignored_dirs(dirs, governing).withColumn("dead", F.lit(True))
     by_dir = governing.join(dead, ["corpus", "dir"], "full")
-    keys = files.select("corpus", "path", paths.dir_of(F.col("path")).alias("dir"))
+    keys = files.selectExpr("corpus", "path", f"{paths.dir_of('path')} AS dir")
     hot = hot_keys(keys, ["corpus", "dir"], hot_rows)
-    met = lookup(keys, by_dir, ["corpus", "dir"], F.col("path"), hot)
-    dead_or_matched = F.coalesce("dead", F.lit(False)) | _is_ignored(F.col("path"), is_dir=False)
-    return met.where(dead_or_matched).select("corpus", "path")
+    met = lookup(keys, by_dir, ["corpus", "dir"], "path", hot)
+    out = f"coalesce(dead, false) OR {_is_ignored('path', is_dir=False)}"
+    return met.where(out).select("corpus", "path")
 
 
 def drop_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:

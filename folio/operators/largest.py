@@ -25,33 +25,32 @@ def largest_files(details: DataFrame) -> DataFrame:
     that holds a third of all files therefore never lands in one task; its size comes from
     a plain count.
     """
-    by_size = [F.col("chars").desc(), F.col("path")]
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*by_size))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= SHOW_ALL_UP_TO)
+        by_size = W.partitionBy(*keys).orderBy(F.desc("chars"), "path")
+        ranked = rows.withColumn("rank", F.row_number().over(by_size))
+        return ranked.where(f"rank <= {SHOW_ALL_UP_TO}")
 
     split = F.pmod(F.spark_partition_id(), F.lit(SPLITS))
     top = best(best(details.withColumn("split", split), "corpus", "split"), "corpus")
-    sizes = details.groupBy("corpus").agg(F.count(F.lit(1)).alias("corpus_files"))
-    shown = (F.col("corpus_files") <= SHOW_ALL_UP_TO) | (F.col("rank") <= TOP_FILES)
-    title = F.when(F.col("corpus_files") > SHOW_ALL_UP_TO, TITLE_TOP).otherwise(TITLE_ALL)
+    sizes = details.groupBy("corpus").agg(F.expr("count(1) AS corpus_files"))
+    title = f"if(corpus_files > {SHOW_ALL_UP_TO}, '{TITLE_TOP}', '{TITLE_ALL}')"
     return (
         top.drop("split")
         .join(sizes, "corpus")
-        .where(shown)
-        .withColumn("title", title)
+        .where(f"corpus_files <= {SHOW_ALL_UP_TO} OR rank <= {TOP_FILES}")
+        .withColumn("title", F.expr(title))
     )
 
 
 def files_report(largest: DataFrame) -> DataFrame:
     """Rows of the files table: short path, lines, and tokens counted or estimated."""
-    tokens = F.coalesce("tokens", txt.token_estimate(F.col("chars")))
-    return largest.select(
+    tokens = f"coalesce(tokens, {txt.token_estimate('chars')})"
+    return largest.selectExpr(
         "corpus",
         "rank",
         "title",
-        paths.display_path(F.col("report_path")).alias("display_path"),
-        txt.count_text(F.col("lines")).alias("lines"),
-        txt.count_text(tokens).alias("tokens"),
+        f"{paths.display_path('report_path')} AS display_path",
+        f"{txt.count_text('lines')} AS lines",
+        f"{txt.count_text(tokens)} AS tokens",
     )

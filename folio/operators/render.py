@@ -7,15 +7,15 @@ is nested by hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from folio.functions import paths
+from folio.functions import case, lines, paths, quoted
 from folio.functions import text as txt
-from folio.operators.tree import directory_rows, packed_path
+from folio.operators.tree import directory_rows
 from folio.options import PackOptions
 
 HEADER, OVERVIEW, BODY, TRAILER = 0, 1, 2, 3
+REPO_COLUMNS = ("repo_url", "repo_host", "repo_owner", "repo_name")
 
 # Lines of the text pack.
 RULE = "=" * 48
@@ -23,148 +23,138 @@ SYSTEM_TITLE = "=================== SYSTEM INFO ==================="
 REPOSITORY_TITLE = "=================== REPOSITORY ==================="
 
 
-def _row(section: int, key: Column, fragment: Column) -> list[Column]:
-    return [
-        F.col("corpus"),
-        F.lit(section).alias("section"),
-        key.alias("sort_key"),
-        fragment.alias("fragment"),
-    ]
+def _event(section: int, key: str, fragment: str) -> str:
+    return f"struct({section} AS section, {key} AS sort_key, {fragment} AS fragment)"
 
 
-def _lines(*parts: Column) -> Column:
-    """Join by newlines, leaving out NULL parts."""
-    return F.concat_ws("\n", *parts)
+def _rows(source: DataFrame, *events: str) -> DataFrame:
+    """Pack rows that one pass over `source` emits; rows without a text are left out."""
+    rows = source.selectExpr("corpus", f"inline(array({', '.join(events)}))")
+    return rows.where("fragment IS NOT NULL")
 
 
-def _indent(depth: Column) -> Column:
-    return F.repeat(F.lit(" "), depth)
+def _leaf_rows(source: DataFrame, section: int, fragment: str) -> DataFrame:
+    key = paths.file_key("path")
+    return source.selectExpr(
+        "corpus", f"{section} AS section", f"{key} AS sort_key", f"{fragment} AS fragment"
+    )
 
 
 # --- metadata ---------------------------------------------------------------------------
 
 
-def metadata_txt() -> Column:
-    return _lines(
-        F.concat(F.lit("  Size: "), F.col("size").cast("string")),
-        F.concat(F.lit("  Modified: "), txt.rfc3339(F.col("modified"))),
-        F.concat(F.lit("  Permissions: "), F.col("permissions")),
+def metadata_txt() -> str:
+    return lines(
+        "concat('  Size: ', size)",
+        f"concat('  Modified: ', {txt.rfc3339('modified')})",
+        "concat('  Permissions: ', permissions)",
     )
 
 
-def metadata_xml(pad: Column) -> Column:
-    def line(tag: str, value: Column) -> Column:
-        return F.concat(pad, F.lit(f"  <{tag}>"), value, F.lit(f"</{tag}>"))
+def metadata_xml(pad: str) -> str:
+    def line(tag: str, value: str) -> str:
+        return f"concat({pad}, '  <{tag}>', {value}, '</{tag}>')"
 
-    return _lines(
-        F.concat(pad, F.lit("<metadata>")),
-        line("size", F.col("size").cast("string")),
-        line("modified", txt.rfc3339(F.col("modified"))),
-        line("permissions", txt.xml_escape(F.col("permissions"))),
-        F.concat(pad, F.lit("</metadata>")),
+    return lines(
+        f"concat({pad}, '<metadata>')",
+        line("size", "size"),
+        line("modified", txt.rfc3339("modified")),
+        line("permissions", txt.xml_escape("permissions")),
+        f"concat({pad}, '</metadata>')",
     )
 
 
 # --- text -------------------------------------------------------------------------------
 
 
-def txt_fragment(options: PackOptions) -> Column:
+def txt_fragment(options: PackOptions) -> str:
     """Text of one leaf; NULL where it prints nothing."""
-    described = metadata_txt() if options.include_metadata else F.lit(None).cast("string")
-    fenced = _lines(
-        F.lit(""),
-        F.lit(RULE),
-        packed_path(F.col("path")),
-        F.lit(RULE + "\n"),
-        described,
-        F.concat(F.lit("```"), paths.ext_of(F.col("path"))),
-        F.col("content"),
-        F.lit("```"),
-    )
-    link = _lines(
-        F.concat(F.lit("[S] "), packed_path(F.col("path")), F.lit(" -> "), F.col("target")),
+    described = metadata_txt() if options.include_metadata else "NULL"
+    shown = paths.packed_path("path")
+    fenced = lines(
+        f"'\\n{RULE}'",
+        shown,
+        f"'{RULE}\\n'",
         described,
+        f"concat('```', {paths.ext_of('path')})",
+        "content",
+        "'```'",
     )
-    return (
-        F.when(F.col("kind") == "text", fenced)
-        .when(F.col("kind") == "symlink", link)
-        .when(F.col("kind") == "binary", described)
+    return case(
+        ("kind = 'text'", fenced),
+        ("kind = 'symlink'", lines(f"concat('[S] ', {shown}, ' -> ', target)", described)),
+        ("kind = 'binary'", described),
     )
 
 
 def txt_fragments(contents: DataFrame, options: PackOptions) -> DataFrame:
-    rows = contents.select(*_row(BODY, paths.file_key(F.col("path")), txt_fragment(options)))
-    return rows.where(F.col("fragment").isNotNull())
+    return _leaf_rows(contents, BODY, txt_fragment(options)).where("fragment IS NOT NULL")
 
 
 # --- XML --------------------------------------------------------------------------------
 
 
-def _tag(pad: Column, tag: str, *attributes: tuple[str, Column], close: str = ">") -> Column:
-    parts = [pad, F.lit("<" + tag)]
-    for name, value in attributes:
-        parts += [F.lit(f' {name}="'), txt.xml_escape(value), F.lit('"')]
-    return F.concat(*parts, F.lit(close))
+def _tag(pad: str, tag: str, close: str = ">", **attributes: str) -> str:
+    parts = [pad, f"'<{tag}'"]
+    for name, value in attributes.items():
+        parts += [f"' {name}=\"'", txt.xml_escape(value), "'\"'"]
+    return f"concat({', '.join(parts)}, '{close}')"
 
 
-def xml_leaf(options: PackOptions) -> Column:
+def xml_leaf(options: PackOptions) -> str:
     """Element of one leaf. Folders indent twice: once for themselves, once for contents."""
-    path = F.col("path")
-    pad = _indent(paths.depth_of(path) * 4 + 2)
-    inner = F.concat(pad, F.lit("  "))
-    described = metadata_xml(inner) if options.include_metadata else F.lit(None).cast("string")
-    content = F.concat(inner, F.lit("<content>"), txt.cdata(F.col("content")), F.lit("</content>"))
-    target = F.concat(
-        inner, F.lit("<target>"), txt.xml_escape(F.col("target")), F.lit("</target>")
+    pad = f"repeat(' ', {paths.depth_of('path')} * 4 + 2)"
+    inner = f"concat({pad}, '  ')"
+    described = metadata_xml(inner) if options.include_metadata else "NULL"
+    content = f"concat({inner}, '<content>', {txt.cdata('content')}, '</content>')"
+    target = f"concat({inner}, '<target>', {txt.xml_escape('target')}, '</target>')"
+    # One opening and one closing tag for all kinds, so that each is computed once.
+    tag = "CASE kind WHEN 'text' THEN 'file' ELSE kind END"
+    names = (
+        f"' name=\"', {txt.xml_escape(paths.name_of('path'))}, '\" path=\"', "
+        f"{txt.xml_escape(paths.packed_path('path'))}, '\">'"
     )
-
-    def element(tag: str, *body: Column) -> Column:
-        opening = _tag(pad, tag, ("name", paths.name_of(path)), ("path", packed_path(path)))
-        return _lines(opening, described, *body, F.concat(pad, F.lit(f"</{tag}>")))
-
-    return (
-        F.when(F.col("kind") == "text", element("file", content))
-        .when(F.col("kind") == "symlink", element("symlink", target))
-        .when(F.col("kind") == "binary", element("binary"))
+    return lines(
+        f"concat({pad}, '<', {tag}, {names})",
+        described,
+        case(("kind = 'text'", content), ("kind = 'symlink'", target)),
+        f"concat({pad}, '</', {tag}, '>')",
     )
 
 
 def xml_leaves(contents: DataFrame, options: PackOptions) -> DataFrame:
-    return contents.select(*_row(BODY, paths.file_key(F.col("path")), xml_leaf(options)))
+    return _leaf_rows(contents, BODY, xml_leaf(options))
 
 
-def _both_ends(rows: DataFrame, section: int, opening: Column, closing: Column) -> DataFrame:
-    """Two rows per directory from one pass over them."""
-    ends = F.array(
-        F.struct(paths.dir_key(F.col("dir")).alias("sort_key"), opening.alias("fragment")),
-        F.struct(paths.dir_close_key(F.col("dir")).alias("sort_key"), closing.alias("fragment")),
+def _body_events(with_metadata: bool) -> list[str]:
+    """Opening and closing of a directory in the body."""
+    pad = "repeat(' ', depth * 4 + 2)"
+    inner = f"concat({pad}, '  ')"
+    described = f"if(size IS NULL, NULL, {metadata_xml(inner)})" if with_metadata else "NULL"
+    opening = lines(
+        _tag(pad, "directory", name="name", path="packed_path"),
+        described,
+        f"concat({inner}, '<contents>')",
     )
-    return rows.select("corpus", F.lit(section).alias("section"), F.inline(ends))
+    closing = lines(f"concat({inner}, '</contents>')", f"concat({pad}, '</directory>')")
+    return [
+        _event(BODY, paths.dir_key("dir"), opening),
+        _event(BODY, paths.dir_close_key("dir"), closing),
+    ]
 
 
-def xml_directories(
-    dirs: DataFrame, options: PackOptions, dir_metadata: DataFrame | None = None
-) -> DataFrame:
-    """Opening and closing rows of the body's directories.
+def _overview_events() -> list[str]:
+    pad = "repeat(' ', depth * 2 + 4)"
+    return [
+        _event(OVERVIEW, paths.dir_key("dir"), _tag(pad, "directory", name="name")),
+        _event(OVERVIEW, paths.dir_close_key("dir"), f"concat({pad}, '</directory>')"),
+    ]
 
-    `dir_metadata` (corpus, dir, size, modified, permissions) is printed when metadata is
-    on; directories derived from file paths have none.
-    """
+
+def _described(dirs: DataFrame, dir_metadata: DataFrame | None) -> DataFrame:
+    """Directories with `dir_metadata` (corpus, dir, size, modified, permissions) if there is."""
     rows = directory_rows(dirs)
-    pad = _indent(F.col("depth") * 4 + 2)
-    inner = F.concat(pad, F.lit("  "))
-    described = F.lit(None).cast("string")
-    if options.include_metadata and dir_metadata is not None:
-        rows = rows.join(dir_metadata, ["corpus", "dir"], "left")
-        described = F.when(F.col("size").isNotNull(), metadata_xml(inner))
-    attributes = (("name", F.col("name")), ("path", F.col("packed_path")))
-    opening = _lines(
-        _tag(pad, "directory", *attributes), described, F.concat(inner, F.lit("<contents>"))
-    )
-    closing = _lines(
-        F.concat(inner, F.lit("</contents>")), F.concat(pad, F.lit("</directory>"))
-    )
-    return _both_ends(rows, BODY, opening, closing)
+    return rows if dir_metadata is None else rows.join(dir_metadata, ["corpus", "dir"], "left")
 
 
 def xml_events(
@@ -173,147 +163,124 @@ def xml_events(
     options: PackOptions,
     dir_metadata: DataFrame | None = None,
 ) -> DataFrame:
-    """Body of the XML pack."""
-    return xml_leaves(contents, options).unionByName(xml_directories(dirs, options, dir_metadata))
+    """Body of the XML pack. Directories derived from file paths have no metadata."""
+    with_metadata = options.include_metadata and dir_metadata is not None
+    folders = _rows(_described(dirs, dir_metadata), *_body_events(with_metadata))
+    return xml_leaves(contents, options).unionByName(folders)
+
+
+def _overview_leaves(entries: DataFrame) -> DataFrame:
+    pad = f"repeat(' ', {paths.depth_of('path')} * 2 + 4)"
+    tag = "if(kind = 'symlink', 'symlink', 'file')"
+    name = txt.xml_escape(paths.name_of("path"))
+    return _leaf_rows(entries, OVERVIEW, f"concat({pad}, '<', {tag}, ' name=\"', {name}, '\"/>')")
 
 
 def xml_overview(entries: DataFrame, dirs: DataFrame) -> DataFrame:
     """Names only. Reads corpus, path and whether an entry is a symlink, never contents."""
-    path = F.col("path")
-    pad = _indent(paths.depth_of(path) * 2 + 4)
-    name = ("name", paths.name_of(path))
-    leaf = F.when(F.col("kind") == "symlink", _tag(pad, "symlink", name, close="/>")).otherwise(
-        _tag(pad, "file", name, close="/>")
-    )
-    leaves = entries.select(*_row(OVERVIEW, paths.file_key(path), leaf))
-    dir_pad = _indent(F.col("depth") * 2 + 4)
-    folders = _both_ends(
-        directory_rows(dirs),
-        OVERVIEW,
-        _tag(dir_pad, "directory", ("name", F.col("name"))),
-        F.concat(dir_pad, F.lit("</directory>")),
-    )
-    return leaves.unionByName(folders)
+    folders = _rows(directory_rows(dirs), *_overview_events())
+    return _overview_leaves(entries).unionByName(folders)
 
 
 # --- header and trailer -----------------------------------------------------------------
 
-REPO_COLUMNS = ("repo_url", "repo_host", "repo_owner", "repo_name")
+
+def with_repos(corpora: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Rows of corpora with their repository, where `repos` (corpus, repo_*) has one."""
+    if repos is None:
+        return corpora.selectExpr("*", *[f"cast(NULL AS STRING) AS {c}" for c in REPO_COLUMNS])
+    return corpora.join(repos.select("corpus", *REPO_COLUMNS), "corpus", "left")
 
 
-def corpora_of(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """One row per corpus, with its repository where `repos` (corpus, repo_*) has one."""
-    corpora = files.select("corpus").distinct()
-    if repos is not None:
-        return corpora.join(repos.select("corpus", *REPO_COLUMNS), "corpus", "left")
-    return corpora.select("corpus", *[F.lit(None).cast("string").alias(c) for c in REPO_COLUMNS])
-
-
-def txt_header(corpora: DataFrame, options: PackOptions) -> DataFrame:
-    system = F.lit(None).cast("string")
-    if options.include_metadata:
-        facts = f"Hostname: {options.hostname}\nOS: {options.os}\nKernel: {options.kernel}\n"
-        system = F.lit(SYSTEM_TITLE + "\n" + facts)
-    repository = F.when(
-        F.col("repo_url").isNotNull(),
-        _lines(
-            F.lit(REPOSITORY_TITLE),
-            F.concat(F.lit("URL: "), F.col("repo_url")),
-            F.concat(F.lit("Host: "), F.col("repo_host")),
-            F.concat(F.lit("Owner: "), F.col("repo_owner")),
-            F.concat(F.lit("Repository: "), F.col("repo_name"), F.lit("\n")),
-        ),
+def _txt_header(options: PackOptions) -> str:
+    facts = f"Hostname: {options.hostname}\nOS: {options.os}\nKernel: {options.kernel}\n"
+    system = quoted(SYSTEM_TITLE + "\n" + facts) if options.include_metadata else "NULL"
+    repository = lines(
+        f"'{REPOSITORY_TITLE}'",
+        "concat('URL: ', repo_url)",
+        "concat('Host: ', repo_host)",
+        "concat('Owner: ', repo_owner)",
+        "concat('Repository: ', repo_name, '\\n')",
     )
-    opening = F.concat(F.lit('<codebase name="'), F.col("corpus"), F.lit('">'))
-    return corpora.select(*_row(HEADER, F.lit(""), _lines(system, repository, opening)))
-
-
-def txt_trailer(corpora: DataFrame) -> DataFrame:
-    return corpora.select(*_row(TRAILER, F.lit(""), F.lit("</codebase>")))
-
-
-def xml_header(corpora: DataFrame, options: PackOptions) -> DataFrame:
-    def element(pad: int, tag: str, value: Column) -> Column:
-        return F.concat(
-            F.lit(f"{' ' * pad}<{tag}>"), txt.xml_escape(value), F.lit(f"</{tag}>")
-        )
-
-    repository = F.when(
-        F.col("repo_url").isNotNull(),
-        _lines(
-            F.lit("    <git_repository>"),
-            element(6, "url", F.col("repo_url")),
-            element(6, "host", F.col("repo_host")),
-            element(6, "owner", F.col("repo_owner")),
-            element(6, "name", F.col("repo_name")),
-            F.lit("    </git_repository>"),
-        ),
+    return lines(
+        system,
+        f"if(repo_url IS NULL, NULL, {repository})",
+        "concat('<codebase name=\"', corpus, '\">')",
     )
-    fragment = _lines(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>'),
-        _tag(F.lit(""), "directory_scan", ("timestamp", F.lit(options.timestamp))),
-        F.lit("  <system_info>"),
-        element(4, "hostname", F.lit(options.hostname)),
-        element(4, "os", F.lit(options.os)),
-        element(4, "kernel", F.lit(options.kernel)),
-        repository,
-        F.lit("  </system_info>\n  <overview>"),
+
+
+def _xml_header(options: PackOptions) -> str:
+    def element(pad: int, tag: str, value: str) -> str:
+        return f"concat('{' ' * pad}<{tag}>', {txt.xml_escape(value)}, '</{tag}>')"
+
+    repository = lines(
+        "'    <git_repository>'",
+        element(6, "url", "repo_url"),
+        element(6, "host", "repo_host"),
+        element(6, "owner", "repo_owner"),
+        element(6, "name", "repo_name"),
+        "'    </git_repository>'",
+    )
+    return lines(
+        "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>'",
+        _tag("''", "directory_scan", timestamp=quoted(options.timestamp)),
+        "'  <system_info>'",
+        element(4, "hostname", quoted(options.hostname)),
+        element(4, "os", quoted(options.os)),
+        element(4, "kernel", quoted(options.kernel)),
+        f"if(repo_url IS NULL, NULL, {repository})",
+        "'  </system_info>\\n  <overview>'",
     )
-    return corpora.select(*_row(HEADER, F.lit(""), fragment))
 
 
-def xml_trailer(corpora: DataFrame) -> DataFrame:
-    """Ends of the overview and of the document."""
-    end_of_overview = corpora.select(*_row(OVERVIEW, F.lit("3"), F.lit("  </overview>")))
-    end = corpora.select(*_row(TRAILER, F.lit(""), F.lit("</directory_scan>")))
-    return end_of_overview.unionByName(end)
+def headers(corpora: DataFrame, options: PackOptions) -> DataFrame:
+    """Header rows of corpora (corpus, repo_*) in the chosen format."""
+    header = _txt_header(options) if options.format == "txt" else _xml_header(options)
+    return _rows(corpora, _event(HEADER, "''", header))
 
 
 # --- whole packs ------------------------------------------------------------------------
 
 
-def leaf(options: PackOptions) -> Column:
+def leaf(options: PackOptions) -> str:
     """Fragment of a leaf in the chosen format."""
     return txt_fragment(options) if options.format == "txt" else xml_leaf(options)
 
 
-def txt_frame(corpora: DataFrame, options: PackOptions) -> DataFrame:
-    """Everything of a text pack but its files."""
-    return txt_header(corpora, options).unionByName(txt_trailer(corpora))
-
-
-def xml_frame(
-    corpora: DataFrame,
-    entries: DataFrame,
-    dirs: DataFrame,
-    options: PackOptions,
-    dir_metadata: DataFrame | None = None,
+def txt_frame(
+    corpora: DataFrame, options: PackOptions, repos: DataFrame | None = None
 ) -> DataFrame:
-    """Everything of an XML pack but its files; reads paths and kinds only."""
-    return (
-        xml_header(corpora, options)
-        .unionByName(xml_overview(entries, dirs))
-        .unionByName(xml_directories(dirs, options, dir_metadata))
-        .unionByName(xml_trailer(corpora))
+    """Everything of a text pack but its files, from one row per corpus."""
+    return _rows(
+        with_repos(corpora, repos),
+        _event(HEADER, "''", _txt_header(options)),
+        _event(TRAILER, "''", "'</codebase>'"),
     )
 
 
-def pack_txt(
-    contents: DataFrame, options: PackOptions, repos: DataFrame | None = None
-) -> DataFrame:
-    """All rows of the text packs, unordered."""
-    frame = txt_frame(corpora_of(contents, repos), options)
-    return frame.unionByName(txt_fragments(contents, options))
-
-
-def pack_xml(
-    contents: DataFrame,
+def xml_frame(
     entries: DataFrame,
     dirs: DataFrame,
     options: PackOptions,
     repos: DataFrame | None = None,
     dir_metadata: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows of the XML packs, unordered; `entries` and `dirs` need no contents."""
-    frame = xml_frame(corpora_of(dirs, repos), entries, dirs, options, dir_metadata)
-    return frame.unionByName(xml_leaves(contents, options))
+    """Everything of an XML pack but its files; reads paths and kinds only.
+
+    One pass over the directories emits all of it but the names in the overview: the root
+    brings the header and the ends of the document along.
+    """
+    with_metadata = options.include_metadata and dir_metadata is not None
+
+    def once(text: str) -> str:
+        return f"if(dir = '', {text}, NULL)"
+
+    folders = _rows(
+        with_repos(_described(dirs, dir_metadata), repos),
+        _event(HEADER, "''", once(_xml_header(options))),
+        *_overview_events(),
+        _event(OVERVIEW, "'3'", once("'  </overview>'")),
+        *_body_events(with_metadata),
+        _event(TRAILER, "''", once("'</directory_scan>'")),
+    )
+    return _overview_leaves(entries).unionByName(folders)

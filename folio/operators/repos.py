@@ -5,34 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions import urls
+from folio.functions import case, urls
 from folio.operators.skew import HOT_ROWS, hot_keys, lookup
 
 
 def with_repo(rows: DataFrame, url: str = "url") -> DataFrame:
     """Host, owner, name, host kind, storage path and display text of a URL column."""
-    parsed = rows.withColumn("repo", urls.parse_repo_url(F.col(url)))
-    host, owner, name = (F.col(f"repo.{field}") for field in ("host", "owner", "name"))
-    kind = urls.host_kind(host)
-    found = F.col("repo").isNotNull()
-    return parsed.select(
-        *rows.columns,
-        host.alias("host"),
-        owner.alias("owner"),
-        name.alias("name"),
-        kind.alias("host_kind"),
-        F.when(found, urls.storage_path(kind, host, owner, name)).alias("cache_path"),
-        F.when(found, urls.repo_display(kind, host, owner, name)).alias("display"),
+    parsed = rows.selectExpr("*", f"{urls.parse_repo_url(url)} AS repo")
+    fields = parsed.selectExpr(*rows.columns, "repo.host", "repo.owner", "repo.name")
+    kinds = fields.selectExpr("*", f"{urls.host_kind('host')} AS host_kind")
+    parts = ("host_kind", "host", "owner", "name")
+    return kinds.selectExpr(
+        "*",
+        f"if(host IS NULL, NULL, {urls.storage_path(*parts)}) AS cache_path",
+        f"if(host IS NULL, NULL, {urls.repo_display(*parts)}) AS display",
     )
 
 
 def resolve_inputs(inputs: DataFrame) -> DataFrame:
     """Inputs (input STRING) as corpora: repository URLs by storage path, the rest as paths."""
-    resolved = with_repo(inputs, "input")
-    return resolved.select(
+    return with_repo(inputs, "input").selectExpr(
         "input",
-        F.col("cache_path").isNotNull().alias("is_repo"),
-        F.coalesce("cache_path", "input").alias("root"),
+        "cache_path IS NOT NULL AS is_repo",
+        "coalesce(cache_path, input) AS root",
         "host",
         "owner",
         "name",
@@ -45,36 +40,32 @@ def refresh_plan(repos: DataFrame, snapshots: DataFrame, hot_rows: int = HOT_ROW
     A repository is present when its folder holds repository data. Many URLs may name one
     repository, so its rows are spread when there are very many of them.
     """
-    present = snapshots.where(F.col("has_git")).select("cache_path").distinct()
-    asked = repos.where(F.col("cache_path").isNotNull())
+    present = snapshots.where("has_git").select("cache_path").distinct()
+    asked = repos.where("cache_path IS NOT NULL")
     joined = lookup(
         asked,
         present.withColumn("present", F.lit(True)),
         "cache_path",
-        F.col("url"),
+        "url",
         hot_keys(asked, "cache_path", hot_rows),
     )
-    action = (
-        F.when(F.col("present").isNull(), "clone")
-        .when(F.col("policy") == "force_clone", "reclone")
-        .when(F.col("policy") == "use_cache", "use")
-        .otherwise("pull")
+    action = case(
+        ("present IS NULL", "'clone'"),
+        ("policy = 'force_clone'", "'reclone'"),
+        ("policy = 'use_cache'", "'use'"),
+        otherwise="'pull'",
     )
-    return joined.select("url", "cache_path", "policy", action.alias("action"))
+    return joined.selectExpr("url", "cache_path", "policy", f"{action} AS action")
 
 
 def expired_snapshots(snapshots: DataFrame, days: int, now_s: int) -> DataFrame:
     """Repositories strictly older than `days`; folders without repository data stay."""
-    return snapshots.where(
-        F.col("has_git")
-        & F.col("host_kind").isin(*urls.STORAGE_KINDS)
-        & (F.lit(now_s) - F.col("modified_s") > days * 86_400)
-    )
+    kinds = ", ".join(f"'{kind}'" for kind in urls.STORAGE_KINDS)
+    old = f"{now_s} - modified_s > {days * 86_400}"
+    return snapshots.where(f"has_git AND host_kind IN ({kinds}) AND {old}")
 
 
 def snapshot_retention(snapshots: DataFrame, days: int, now_s: int) -> DataFrame:
-    return (
-        expired_snapshots(snapshots, days, now_s)
-        .groupBy("host_kind")
-        .agg(F.count(F.lit(1)).alias("removed"))
-    )
+    """How many repositories of each kind are to be removed."""
+    expired = expired_snapshots(snapshots, days, now_s)
+    return expired.groupBy("host_kind").agg(F.expr("count(1) AS removed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key with more rows than this gets split
@@ -18,8 +18,8 @@ def hot_keys(
     The bound loses nothing: keys beyond it are joined like any other key.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    heavy = counts.where(F.col("n") > hot_rows)
+    counts = facts.groupBy(*keys).agg(F.expr("count(1) AS n"))
+    heavy = counts.where(f"n > {hot_rows}")
     return heavy.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys)
 
 
@@ -27,14 +27,14 @@ def lookup(
     facts: DataFrame,
     table: DataFrame,
     keys: str | list[str],
-    spread_by: Column | None = None,
+    spread_by: str | None = None,
     hot: DataFrame | None = None,
     splits: int = SPLITS,
 ) -> DataFrame:
     """Left join on `keys`, where `table` holds each key once and `facts` may be skewed.
 
     Without `hot` this is a plain join, whose heavy partitions Spark splits while it runs.
-    With the heaviest keys given, their rows are spread over `splits` salts by `spread_by`,
+    With the heaviest keys given, their rows are spread over `splits` salts by the expression `spread_by`,
     and the one matching row of the table is repeated for each salt. All other keys keep
     salt 0, so nothing else is copied.
     """
@@ -42,10 +42,8 @@ def lookup(
     if hot is None:
         return facts.join(table, keys, "left")
     marked = F.broadcast(hot.select(*keys, F.lit(True).alias("is_hot")))
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(splits))).otherwise(0)
-    salted = facts.join(marked, keys, "left").withColumn("salt", salt.cast("int")).drop("is_hot")
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = table.join(marked, keys, "left").withColumn("salt", F.explode(copies))
+    salt = f"if(is_hot, cast(pmod(xxhash64({spread_by}), {splits}) AS INT), 0)"
+    salted = facts.join(marked, keys, "left").withColumn("salt", F.expr(salt)).drop("is_hot")
+    copies = f"explode(if(is_hot, sequence(0, {splits - 1}), array(0)))"
+    repeated = table.join(marked, keys, "left").withColumn("salt", F.expr(copies))
     return salted.join(repeated.drop("is_hot"), [*keys, "salt"], "left").drop("salt")

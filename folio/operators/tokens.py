@@ -12,17 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.functions import quoted
 from folio.functions import text as txt
 from folio.operators.skew import lookup
 from folio.options import CACHE_TTL_SECONDS, MODELS
 
 CACHE_SCHEMA = "hash STRING, model STRING, tokens BIGINT, ts BIGINT"
+FILE_ID = "xxhash64(corpus, path)"
 MODELS_SCHEMA = "name STRING, model_id STRING, provider STRING, context_window BIGINT"
 
 # Counters: a text column in, a BIGINT column out. These two stay inside Spark expressions.
-_counters: dict[str, Callable[[Column], Column]] = {
-    "estimate": lambda text: txt.token_estimate(txt.char_count(text)),
-    "pieces": txt.piece_count,
+_counters: dict[str, Callable[[str], Column]] = {
+    "estimate": lambda text: F.expr(txt.token_estimate(txt.char_count(text))),
+    "pieces": lambda text: F.expr(txt.piece_count(text)),
 }
 
 
@@ -50,7 +52,7 @@ def _count_one(count, text):
         return None
 
 
-def counter(name: str) -> Callable[[Column], Column]:
+def counter(name: str) -> Callable[[str], Column]:
     return _counters[name]
 
 
@@ -58,37 +60,29 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, MODELS_SCHEMA)
 
 
-def _models_column() -> Column:
+def _models_array() -> str:
     """The model table as one constant, so that reading it needs no join."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(model_id).alias("model_id"),
-                F.lit(provider).alias("provider"),
-                F.lit(window).cast("bigint").alias("context_window"),
-            )
-            for name, model_id, provider, window in MODELS
-        ]
+    rows = ", ".join(
+        f"struct('{name}' AS name, '{model_id}' AS model_id, '{provider}' AS provider, "
+        f"{window}L AS context_window)"
+        for name, model_id, provider, window in MODELS
     )
+    return f"array({rows})"
 
 
 def model_catalog(used_models: DataFrame) -> DataFrame:
     """Provider and window of each model id in use; NULL for ids that are not known."""
-    known = F.filter(_models_column(), lambda m: m["model_id"] == F.col("model_id"))
-    return used_models.select("*", F.get(known, F.lit(0)).alias("m")).select(
+    known = f"get(filter({_models_array()}, m -> m.model_id = model_id), 0) AS m"
+    return used_models.selectExpr("*", known).select(
         *used_models.columns, "m.name", "m.provider", "m.context_window"
     )
 
 
 def context_fit(token_totals: DataFrame) -> DataFrame:
     """For every corpus and model: does the pack fit the context window?"""
-    return token_totals.select("corpus", "tokens", F.inline(_models_column())).select(
-        "corpus",
-        "tokens",
-        "model_id",
-        "context_window",
-        (F.col("tokens") <= F.col("context_window")).alias("fits"),
+    each = token_totals.selectExpr("corpus", "tokens", f"inline({_models_array()})")
+    return each.selectExpr(
+        "corpus", "tokens", "model_id", "context_window", "tokens <= context_window AS fits"
     )
 
 
@@ -97,17 +91,16 @@ def context_fit(token_totals: DataFrame) -> DataFrame:
 
 def cache_expire(cache: DataFrame, now_s: int, ttl: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Entries younger than the time to live; the future counts as young."""
-    return cache.where(F.lit(now_s) - F.col("ts") < ttl)
+    return cache.where(f"{now_s} - ts < {ttl}")
 
 
 def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """One entry per hash and model, the newest."""
-    newest = F.max(F.struct("ts", "tokens"))
     return (
         cache.select("hash", "model", "tokens", "ts")
         .unionByName(fresh.select("hash", "model", "tokens", "ts"))
         .groupBy("hash", "model")
-        .agg(newest.alias("e"))
+        .agg(F.expr("max(struct(ts, tokens)) AS e"))
         .select("hash", "model", "e.tokens", "e.ts")
     )
 
@@ -117,7 +110,7 @@ def entries_of(cache: DataFrame, model_id: str) -> DataFrame:
     return (
         cache.where(F.col("model") == model_id)
         .groupBy("hash")
-        .agg(F.max(F.struct("ts", "tokens")).alias("e"))
+        .agg(F.expr("max(struct(ts, tokens)) AS e"))
         .select("hash", "e.tokens")
     )
 
@@ -130,8 +123,8 @@ def cache_lookup(
     `hot` are the hashes that very many of the keys share.
     """
     entries = entries_of(cache, model_id).withColumn("cached", F.lit(True))
-    found = lookup(keys, entries, "hash", F.struct("corpus", "path"), hot)
-    return found.withColumn("cached", F.coalesce("cached", F.lit(False)))
+    found = lookup(keys, entries, "hash", FILE_ID, hot)
+    return found.withColumn("cached", F.expr("coalesce(cached, false)"))
 
 
 def cache_misses(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
@@ -141,9 +134,9 @@ def cache_misses(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
     it, and the contents themselves stay out of the shuffle.
     """
     distinct = (
-        keys.where(F.col("hash").isNotNull())
+        keys.where("hash IS NOT NULL")
         .groupBy("hash")
-        .agg(F.min(F.xxhash64("corpus", "path")).alias("file_id"))
+        .agg(F.expr(f"min({FILE_ID}) AS file_id"))
     )
     known = cache.where(F.col("model") == model_id).select("hash")
     return distinct.join(known, "hash", "left_anti")
@@ -160,34 +153,25 @@ def count_misses(
     """
     wanted = misses.select("file_id")
     one_each = (
-        files.withColumn("file_id", F.xxhash64("corpus", "path"))
+        files.selectExpr(f"{FILE_ID} AS file_id", "cast(raw AS STRING) AS content")
         .join(wanted, "file_id", "left_semi")
-        .select(F.col("raw").cast("string").alias("content"))
     )
     counted = one_each.select(
-        txt.content_hash(F.col("content")).alias("hash"),
-        counter(counter_name)(F.col("content")).alias("tokens"),
+        F.expr(txt.content_hash("content")).alias("hash"),
+        counter(counter_name)("content").alias("tokens"),
     )
     return (
-        counted.where(F.col("tokens").isNotNull())
-        .groupBy("hash")
+        counted.groupBy("hash")
         .agg(F.max("tokens").alias("tokens"))
-        .select(
-            "hash",
-            F.lit(model_id).alias("model"),
-            "tokens",
-            F.lit(now_s).cast("bigint").alias("ts"),
-        )
+        .where("tokens IS NOT NULL")
+        .selectExpr("hash", f"{quoted(model_id)} AS model", "tokens", f"{now_s}L AS ts")
     )
 
 
 def _copies(keys: DataFrame) -> DataFrame:
     """How often each content occurs in a corpus; a hot content is one row per corpus."""
-    return (
-        keys.where(F.col("hash").isNotNull())
-        .groupBy("corpus", "hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    readable = keys.where("hash IS NOT NULL")
+    return readable.groupBy("corpus", "hash").agg(F.expr("count(1) AS n"))
 
 
 def cache_hit_rate(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
@@ -196,23 +180,17 @@ def cache_hit_rate(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFram
     A content in the cache hits every time; any other misses once and hits from then on. So
     the number of copies per corpus decides, and no row-by-row order is needed.
     """
-    entries = entries_of(cache, model_id).select("hash", F.lit(True).alias("cached"))
+    entries = entries_of(cache, model_id).selectExpr("hash", "true AS cached")
     copies = lookup(_copies(keys), entries, "hash")
-    hits = F.when(F.col("cached"), F.col("n")).otherwise(F.col("n") - 1)
-    return (
-        copies.groupBy("corpus")
-        .agg(F.sum(hits).alias("hits"), F.sum("n").alias("lookups"))
-        .select(
-            "corpus",
-            "hits",
-            (F.col("lookups") - F.col("hits")).alias("misses"),
-            "lookups",
-            (F.col("hits") / F.col("lookups") * 100.0).alias("hit_rate"),
-        )
+    sums = copies.groupBy("corpus").agg(
+        F.expr("sum(if(cached, n, n - 1)) AS hits"), F.expr("sum(n) AS lookups")
+    )
+    return sums.selectExpr(
+        "corpus", "hits", "lookups - hits AS misses", "lookups", "hits / lookups * 100D AS hit_rate"
     )
 
 
 def cached_token_total(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
     """Token total per corpus from the cache; NULL when none of its contents is there."""
     copies = lookup(_copies(keys), entries_of(cache, model_id), "hash")
-    return copies.groupBy("corpus").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
+    return copies.groupBy("corpus").agg(F.expr("sum(n * tokens) AS tokens"))

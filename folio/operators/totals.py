@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import paths, quoted
 from folio.functions import text as txt
 from folio.operators.content import COUNTED
 
@@ -15,12 +16,10 @@ def corpus_totals(measured: DataFrame) -> DataFrame:
     Counting with conditions instead of filtering keeps the classification from being
     evaluated a second time below the filter.
     """
-    counted = F.col("read_status").isin(*COUNTED)
-    ok = F.col("read_status") == "ok"
     return measured.groupBy("corpus").agg(
-        F.count_if(counted).alias("files"),
-        F.sum(F.when(ok, F.col("lines")).otherwise(0)).alias("lines"),
-        F.sum(F.when(ok, F.col("chars")).otherwise(0)).alias("chars"),
+        F.expr(f"count_if({COUNTED}) AS files"),
+        F.expr("sum(if(read_status = 'ok', lines, 0)) AS lines"),
+        F.expr("sum(if(read_status = 'ok', chars, 0)) AS chars"),
     )
 
 
@@ -31,68 +30,50 @@ def token_total(with_tokens: DataFrame) -> DataFrame:
 
 def file_details(measured: DataFrame) -> DataFrame:
     """One row per reported path; of several writes the last one stays."""
-    counted = measured.where(F.col("read_status").isin(*COUNTED))
-    fields = ["modified", "size", "lines", "chars", "hash"]
-    last = F.max(F.struct(*fields))
+    last = "max(struct(modified, size, lines, chars, hash)) AS last"
     return (
-        counted.groupBy("corpus", "path")
-        .agg(last.alias("last"))
-        .select(
+        measured.where(COUNTED)
+        .groupBy("corpus", "path")
+        .agg(F.expr(last))
+        .selectExpr(
             "corpus",
             "path",
-            F.concat_ws("/", "corpus", "path").alias("report_path"),
-            F.col("last.lines").alias("lines"),
-            F.col("last.chars").alias("chars"),
-            F.col("last.hash").alias("hash"),
+            f"{paths.packed_path('path')} AS report_path",
+            "last.lines",
+            "last.chars",
+            "last.hash",
         )
     )
 
 
 def token_label(totals: DataFrame) -> DataFrame:
     """Counted tokens where there are any, else the estimate from the character total."""
-    estimate = txt.token_estimate(F.col("chars"))
-    return totals.select(
+    return totals.selectExpr(
         "corpus",
-        F.coalesce("tokens", estimate).alias("tokens"),
-        F.when(F.col("tokens").isNull(), "estimated").otherwise("counted").alias("token_source"),
+        f"coalesce(tokens, {txt.token_estimate('chars')}) AS tokens",
+        "if(tokens IS NULL, 'estimated', 'counted') AS token_source",
     )
 
 
-def _hit_rate_text() -> Column:
-    rate = F.when(F.col("lookups") > 0, F.col("hits") / F.col("lookups") * 100.0).otherwise(0.0)
-    return F.concat(
-        txt.one_decimal(rate),
-        F.lit("% ("),
-        F.col("hits").cast("string"),
-        F.lit(" hits / "),
-        F.col("lookups").cast("string"),
-        F.lit(" total)"),
-    )
-
-
-def summary_report(totals: DataFrame, output_file: Column, duration: Column) -> DataFrame:
+def summary_report(totals: DataFrame, output_file: str, duration: str) -> DataFrame:
     """(metric, value) rows per corpus from files, lines, chars, tokens, hits and lookups.
 
     The hit-rate row is left out where the corpus had no token model (`lookups` is NULL).
     """
-    tokens = F.coalesce("tokens", txt.token_estimate(F.col("chars")))
-    source = F.when(F.col("tokens").isNull(), " tokens (estimated)").otherwise(" tokens (counted)")
+    tokens = txt.count_text(f"coalesce(tokens, {txt.token_estimate('chars')})")
+    source = "if(tokens IS NULL, ' tokens (estimated)', ' tokens (counted)')"
+    rate = txt.one_decimal("if(lookups > 0, hits / lookups * 100D, 0D)")
+    hits = f"concat({rate}, '% (', hits, ' hits / ', lookups, ' total)')"
     metrics = [
-        ("Output File", output_file),
-        ("Process Time", duration),
-        ("Files Processed", txt.count_text(F.col("files"))),
-        ("Total Lines", txt.count_text(F.col("lines"))),
-        ("LLM Tokens", F.concat(txt.count_text(tokens), source)),
-        ("Cache Hit Rate", F.when(F.col("lookups").isNotNull(), _hit_rate_text())),
+        ("Output File", quoted(output_file)),
+        ("Process Time", quoted(duration)),
+        ("Files Processed", txt.count_text("files")),
+        ("Total Lines", txt.count_text("lines")),
+        ("LLM Tokens", f"concat({tokens}, {source})"),
+        ("Cache Hit Rate", f"if(lookups IS NULL, NULL, {hits})"),
     ]
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("row"), F.lit(name).alias("metric"), value.alias("value"))
-            for i, (name, value) in enumerate(metrics, start=1)
-        ]
-    )
-    return (
-        totals.select("corpus", F.inline(rows))
-        .where(F.col("value").isNotNull())
-        .select("corpus", "row", "metric", "value")
+    rows = ", ".join(
+        f"{number}, '{name}', {value}" for number, (name, value) in enumerate(metrics, start=1)
     )
+    stacked = f"stack({len(metrics)}, {rows}) AS (row, metric, value)"
+    return totals.selectExpr("corpus", stacked).where("value IS NOT NULL")

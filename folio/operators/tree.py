@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from folio.functions import paths
 
 
-def ancestors_of(directory: Column) -> Column:
+def ancestors_of(directory: str) -> str:
     """Generator: the root, each folder above, and the directory itself."""
-    levels = F.sequence(F.lit(0), paths.depth_of(directory))
-    return F.explode(F.transform(levels, lambda n: paths.first_components(directory, n)))
+    levels = f"sequence(0, {paths.depth_of(directory)})"
+    return f"explode(transform({levels}, n -> substring_index({directory}, '/', n)))"
 
 
 def directories(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:
@@ -20,31 +19,23 @@ def directories(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     Parents are made distinct before they are expanded, so a folder with many files is
     expanded once per task. `listed` adds directories known otherwise, such as empty ones.
     """
-    parents = files.select("corpus", paths.dir_of(F.col("path")).alias("dir"))
+    parents = files.selectExpr("corpus", f"{paths.dir_of('path')} AS dir")
     if listed is not None:
-        parents = parents.unionByName(listed.select("corpus", F.col("path").alias("dir")))
-    return (
-        parents.distinct().select("corpus", ancestors_of(F.col("dir")).alias("dir")).distinct()
-    )
+        parents = parents.unionByName(listed.selectExpr("corpus", "path AS dir"))
+    return parents.distinct().selectExpr("corpus", f"{ancestors_of('dir')} AS dir").distinct()
 
 
 def directory_rows(dirs: DataFrame) -> DataFrame:
     """Directories with name, packed path and depth; the root is named after its corpus."""
-    root = F.col("dir") == ""
-    return dirs.select(
+    return dirs.selectExpr(
         "corpus",
         "dir",
-        F.when(root, F.col("corpus")).otherwise(paths.name_of(F.col("dir"))).alias("name"),
-        packed_path(F.col("dir")).alias("packed_path"),
-        paths.depth_of(F.col("dir")).alias("depth"),
+        f"if(dir = '', corpus, {paths.name_of('dir')}) AS name",
+        f"{paths.packed_path('dir')} AS packed_path",
+        f"{paths.depth_of('dir')} AS depth",
     )
 
 
-def packed_path(path: Column) -> Column:
-    """Path as it is printed: the corpus first."""
-    return F.concat_ws("/", F.col("corpus"), F.nullif(path, F.lit("")))
-
-
 def pack_order(files: DataFrame) -> DataFrame:
     """Sort key per file: subdirectories before files, siblings by name."""
-    return files.select("corpus", "path", paths.file_key(F.col("path")).alias("sort_key"))
+    return files.selectExpr("corpus", "path", f"{paths.file_key('path')} AS sort_key")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import paths, urls
+from folio.functions import case, paths, urls
 from folio.functions import text as txt
 from folio.operators import (
     content,
@@ -39,6 +41,8 @@ DESCRIBED = PackOptions(
 IGNORE_GLOBS = ("*.log", "fr_*[02468].py", "{de,es}_?[!5]*.rs")
 INCLUDE_GLOBS = ("*.md", "*.rs", "s*")
 CORPUS_SECONDS = 1.25
+RAW_HASH = txt.content_hash("cast(raw AS STRING)")
+MODIFIED = f"{txt.rfc3339('modified')} AS modified"
 
 QUERIES = {}
 
@@ -59,7 +63,7 @@ def _measured(spark, folder, options=BOUNDED):
 
 def _keys(spark, folder):
     measured = _measured(spark, folder)
-    return measured.where(F.col("hash").isNotNull()).select("corpus", "path", "hash")
+    return measured.where("hash IS NOT NULL").select("corpus", "path", "hash")
 
 
 def _live_cache(spark, folder):
@@ -70,8 +74,7 @@ def _live_cache(spark, folder):
 
 
 def _as_rows(files: DataFrame) -> DataFrame:
-    text = F.col("raw").cast("string")
-    return files.select("corpus", "path", "size", txt.content_hash(text).alias("hash"))
+    return files.selectExpr("corpus", "path", "size", f"{RAW_HASH} AS hash")
 
 
 @query
@@ -92,9 +95,9 @@ def files_from_conversations(spark, folder):
 @query
 def resolve_inputs(spark, folder):
     """URLs of pages and names of document sources, as inputs of a run."""
-    pages = given.parquet(spark, folder, "pages").select(F.col("url").alias("input"))
-    sources = given.parquet(spark, folder, "documents").select(
-        F.concat(F.lit("/data/"), F.col("source")).alias("input")
+    pages = given.parquet(spark, folder, "pages").selectExpr("url AS input")
+    sources = given.parquet(spark, folder, "documents").selectExpr(
+        "concat('/data/', source) AS input"
     )
     return repos.resolve_inputs(pages.unionByName(sources).distinct())
 
@@ -102,10 +105,7 @@ def resolve_inputs(spark, folder):
 @query
 def file_metadata(spark, folder):
     rows = tables.metadata(given.files(spark, folder))
-    return rows.select(
-        "corpus", "path", "kind", "size", "permissions",
-        txt.rfc3339(F.col("modified")).alias("modified"),
-    )
+    return rows.selectExpr("corpus", "path", "kind", "size", "permissions", MODIFIED)
 
 
 @query
@@ -113,10 +113,8 @@ def scan_tree(spark, folder):
     """The files written out as real trees, one per corpus, and scanned back."""
     roots = given.written_trees(given.files(spark, folder), new_path(spark, "trees"))
     files, _, _ = scan_trees(roots, NAMES_ONLY)
-    return files.select(
-        "corpus", "path", "kind", "size", "permissions",
-        txt.rfc3339(F.col("modified")).alias("modified"),
-        txt.content_hash(F.col("raw").cast("string")).alias("hash"),
+    return files.selectExpr(
+        "corpus", "path", "kind", "size", "permissions", MODIFIED, f"{RAW_HASH} AS hash"
     )
 
 
@@ -149,14 +147,14 @@ def count_files_by_name(spark, folder):
 def ignore_defaults(spark, folder):
     """The default list on the names of all files and folders."""
     files = given.files(spark, folder).select("corpus", "path")
-    dirs = tree.directories(files).where(F.col("dir") != "")
+    dirs = tree.directories(files).where("dir <> ''")
     entries = files.unionByName(dirs.withColumnRenamed("dir", "path"))
-    name = paths.name_of(F.col("path"))
-    return entries.select(
+    name = paths.name_of("path")
+    return entries.selectExpr(
         "corpus",
         "path",
-        filters.is_default_ignored(name).alias("ignored"),
-        filters.is_default_ignored(name, with_globs=True).alias("ignored_with_globs"),
+        f"{filters.is_default_ignored(name)} AS ignored",
+        f"{filters.is_default_ignored(name, with_globs=True)} AS ignored_with_globs",
     )
 
 
@@ -169,16 +167,15 @@ def ignore_globs(spark, folder):
 @query
 def include_globs(spark, folder):
     files = given.files(spark, folder)
-    path = F.col("path")
     loose = PackOptions(include_patterns=INCLUDE_GLOBS, respect_gitignore=False)
     strict = PackOptions(
         include_patterns=INCLUDE_GLOBS, include_dirs=True, respect_gitignore=False
     )
-    return files.select(
+    return files.selectExpr(
         "corpus",
         "path",
-        filters.keep_path(path, loose).alias("kept"),
-        filters.keep_path(path, strict).alias("kept_with_dirs"),
+        f"{filters.keep_path('path', loose)} AS kept",
+        f"{filters.keep_path('path', strict)} AS kept_with_dirs",
     )
 
 
@@ -189,13 +186,9 @@ def prune_dirs(spark, folder):
 
 @query
 def exclude_output(spark, folder):
-    """The second document's file stands for the pack's own output."""
-    path = F.col("path")
-    return (
-        given.files(spark, folder)
-        .where(~paths.is_output_file(path, given.OUTPUT_FILE))
-        .select("corpus", "path")
-    )
+    """One document's file stands for the pack's own output."""
+    own = filters.is_output_file("path", PackOptions(output_file=given.OUTPUT_FILE))
+    return given.files(spark, folder).where(f"NOT {own}").select("corpus", "path")
 
 
 @query
@@ -224,53 +217,53 @@ def gitignore_custom(spark, folder):
 
 @query
 def path_parts(spark, folder):
-    path = F.col("path")
-    return given.files(spark, folder).select(
+    return given.files(spark, folder).selectExpr(
         "corpus",
         "path",
-        paths.name_of(path).alias("name"),
-        paths.ext_of(path).alias("ext"),
-        paths.dir_of(path).alias("dir"),
-        paths.depth_of(path).alias("depth"),
+        f"{paths.name_of('path')} AS name",
+        f"{paths.ext_of('path')} AS ext",
+        f"{paths.dir_of('path')} AS dir",
+        f"{paths.depth_of('path')} AS depth",
     )
 
 
 @query
 def normalize_path(spark, folder):
     rows = given.absolute_paths(spark, folder)
-    relative = paths.relative_to(F.col("full_path"), F.col("root"))
-    return rows.select("doc_id", "full_path", relative.alias("relative_path"))
+    relative = paths.relative_to("full_path", "root")
+    return rows.selectExpr("doc_id", "full_path", f"{relative} AS relative_path")
 
 
 @query
 def report_path(spark, folder):
     rows = given.absolute_paths(spark, folder)
-    shown = paths.report_path(F.col("full_path"), F.col("root"), F.lit("owner"), F.col("corpus"))
-    return rows.select("doc_id", "full_path", shown.alias("report_path"))
+    shown = paths.report_path("full_path", "root", "'owner'", "corpus")
+    return rows.selectExpr("doc_id", "full_path", f"{shown} AS report_path")
 
 
 @query
 def display_path(spark, folder):
     rows = given.wordy_paths(spark, folder)
-    return rows.select("doc_id", "path", paths.display_path(F.col("path")).alias("display_path"))
+    return rows.selectExpr("doc_id", "path", f"{paths.display_path('path')} AS display_path")
 
 
 @query
 def output_path(spark, folder):
     """Where each repository's pack goes: bare names, relative and absolute paths."""
-    rows = given.repos(spark, folder).where(F.col("cache_path").isNotNull())
-    output = (
-        F.when(F.col("policy") == "always_pull", F.lit("pack.xml"))
-        .when(F.col("policy") == "force_clone", F.lit("out/pack.xml"))
-        .otherwise(F.lit("/tmp/pack.xml"))
+    output = case(
+        ("policy = 'always_pull'", "'pack.xml'"),
+        ("policy = 'force_clone'", "'out/pack.xml'"),
+        otherwise="'/tmp/pack.xml'",
     )
-    return rows.select("url", paths.output_path(output, F.col("cache_path")).alias("output_path"))
+    rows = given.repos(spark, folder).where("cache_path IS NOT NULL")
+    wanted = rows.selectExpr("url", "cache_path", f"{output} AS output")
+    return wanted.selectExpr("url", f"{paths.output_path('output', 'cache_path')} AS output_path")
 
 
 @query
 def sanitize_path(spark, folder):
     rows = given.wordy_paths(spark, folder)
-    return rows.select("doc_id", paths.sanitize_path(F.col("path")).alias("file_name"))
+    return rows.selectExpr("doc_id", f"{paths.sanitize_path('path')} AS file_name")
 
 
 # --- classification and content ---------------------------------------------------------
@@ -280,11 +273,11 @@ def sanitize_path(spark, folder):
 def classify_text(spark, folder):
     files = given.files(spark, folder)
     trimmed = PackOptions(trim_partial_char=True)
-    return files.select(
+    return files.selectExpr(
         "corpus",
         "path",
-        content.entry_kind(PackOptions()).alias("kind"),
-        content.entry_kind(trimmed).alias("kind_if_trimmed"),
+        f"{content.entry_kind(PackOptions())} AS kind",
+        f"{content.entry_kind(trimmed)} AS kind_if_trimmed",
     )
 
 
@@ -293,7 +286,7 @@ def kind_dispatch(spark, folder):
     """Entries of every kind, by language: files, links and other things."""
     files = given.mixed_kinds(spark, folder)
     kinds = content.classify(content.accepted(files), PackOptions())
-    kept = kinds.groupBy("corpus", "kind").agg(F.count(F.lit(1)).alias("entries"))
+    kept = kinds.groupBy("corpus", "kind").agg(F.expr("count(1) AS entries"))
     rejected = content.rejects(files).withColumnRenamed("reason", "kind")
     return kept.unionByName(rejected)
 
@@ -303,9 +296,9 @@ def symlinks(spark, folder):
     files = content.accepted(given.mixed_kinds(spark, folder))
     options = PackOptions(record_symlinks=True)
     rows = content.with_measures(content.with_content(content.classify(files, options), options))
-    return rows.where(F.col("kind") == "symlink").select(
-        "corpus", "path", "target", "lines", "chars", render.txt_fragment(options).alias("printed")
-    )
+    printed = f"{render.txt_fragment(options)} AS printed"
+    links = rows.where("kind = 'symlink'")
+    return links.selectExpr("corpus", "path", "target", "lines", "chars", printed)
 
 
 @query
@@ -318,9 +311,7 @@ def bounded_content(spark, folder):
 def read_failures(spark, folder):
     """Files with a broken byte at the end; it is only met where the head does not reach."""
     files = given.files(spark, folder)
-    broken = files.withColumns(
-        {"raw": F.concat("raw", F.unhex(F.lit("FF"))), "size": F.col("size") + 1}
-    )
+    broken = files.withColumns({"raw": F.expr("concat(raw, X'FF')"), "size": F.expr("size + 1")})
     options = PackOptions()
     rows = content.with_content(content.classify(broken, options), options)
     return rows.select("corpus", "path", "kind", "read_status", "content")
@@ -328,19 +319,16 @@ def read_failures(spark, folder):
 
 @query
 def size_text(spark, folder):
-    documents = given.parquet(spark, folder, "documents")
-    factor = F.pow(F.lit(2), F.pmod("doc_id", F.lit(24))).cast("bigint")
-    size = F.col("n_chars") * factor
-    return documents.select("doc_id", txt.size_text(size).alias("size_text"))
+    size = "n_chars * cast(pow(2, doc_id % 24) AS BIGINT) AS size"
+    sizes = given.parquet(spark, folder, "documents").selectExpr("doc_id", size)
+    return sizes.selectExpr("doc_id", f"{txt.size_text('size')} AS size_text")
 
 
 @query
 def count_text(spark, folder):
-    documents = given.parquet(spark, folder, "documents")
-    count = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("n_chars") * 50).otherwise(
-        F.col("n_chars") * F.col("doc_id")
-    )
-    return documents.select("doc_id", txt.count_text(count).alias("count_text"))
+    count = "if(doc_id % 2 = 0, n_chars * 50, n_chars * doc_id) AS n"
+    counts = given.parquet(spark, folder, "documents").selectExpr("doc_id", count)
+    return counts.selectExpr("doc_id", f"{txt.count_text('n')} AS count_text")
 
 
 # --- measures ---------------------------------------------------------------------------
@@ -349,29 +337,29 @@ def count_text(spark, folder):
 @query
 def line_count(spark, folder):
     rows = given.text_rows(spark, folder)
-    return rows.select("doc_id", txt.line_count(F.col("text")).alias("lines"))
+    return rows.selectExpr("doc_id", f"{txt.line_count('text')} AS lines")
 
 
 @query
 def char_count(spark, folder):
     rows = given.text_rows(spark, folder)
-    return rows.select("doc_id", txt.char_count(F.col("text")).alias("chars"))
+    return rows.selectExpr("doc_id", f"{txt.char_count('text')} AS chars")
 
 
 @query
 def token_estimate(spark, folder):
-    chars = txt.char_count(F.col("text"))
-    rows = given.text_rows(spark, folder).select("corpus", chars.alias("chars"))
+    chars = f"{txt.char_count('text')} AS chars"
+    rows = given.text_rows(spark, folder).selectExpr("corpus", chars)
     return rows.groupBy("corpus").agg(
-        F.sum(txt.token_estimate(F.col("chars"))).alias("sum_of_files"),
-        txt.token_estimate(F.sum("chars")).alias("of_total"),
+        F.expr(f"sum({txt.token_estimate('chars')}) AS sum_of_files"),
+        F.expr(f"{txt.token_estimate('sum(chars)')} AS of_total"),
     )
 
 
 @query
 def content_hash(spark, folder):
     rows = given.text_rows(spark, folder)
-    return rows.select("doc_id", txt.content_hash(F.col("text")).alias("hash"))
+    return rows.selectExpr("doc_id", f"{txt.content_hash('text')} AS hash")
 
 
 @query
@@ -403,8 +391,8 @@ def cache_misses(spark, folder):
 @query
 def cache_upsert(spark, folder):
     cache = given.token_cache(spark, folder)
-    fresh = cache.where(F.col("model") == given.MODEL).withColumns(
-        {"ts": F.lit(given.NOW_S).cast("bigint"), "tokens": F.col("tokens") + 1}
+    fresh = cache.where(f"model = '{given.MODEL}'").selectExpr(
+        "hash", "model", "tokens + 1 AS tokens", f"{given.NOW_S}L AS ts"
     )
     return tokens.cache_upsert(cache, fresh)
 
@@ -443,16 +431,14 @@ def token_label(spark, folder):
 def context_fit(spark, folder):
     sums = totals.corpus_totals(_measured(spark, folder))
     return tokens.context_fit(
-        sums.select("corpus", txt.token_estimate(F.col("chars")).alias("tokens"))
+        sums.selectExpr("corpus", f"{txt.token_estimate('chars')} AS tokens")
     )
 
 
 @query
 def model_catalog(spark, folder):
-    used = given.token_cache(spark, folder).groupBy(F.col("model").alias("model_id")).agg(
-        F.count(F.lit(1)).alias("entries")
-    )
-    return tokens.model_catalog(used)
+    used = given.token_cache(spark, folder).withColumnRenamed("model", "model_id")
+    return tokens.model_catalog(used.groupBy("model_id").agg(F.expr("count(1) AS entries")))
 
 
 # --- totals and reports -----------------------------------------------------------------
@@ -467,7 +453,7 @@ def corpus_totals(spark, folder):
 def file_details(spark, folder):
     """Details with the counted tokens of the cache."""
     details = staged(totals.file_details(_measured(spark, folder)), "details")
-    hot = hot_keys(details.where(F.col("hash").isNotNull()), "hash")
+    hot = hot_keys(details.where("hash IS NOT NULL"), "hash")
     found = tokens.cache_lookup(details, _live_cache(spark, folder), given.MODEL, hot)
     return found.select("corpus", "report_path", "lines", "chars", "tokens")
 
@@ -505,9 +491,7 @@ def _summary(spark, folder):
         .join(tokens.cached_token_total(keys, cache, given.MODEL), "corpus", "left")
         .join(tokens.cache_hit_rate(keys, cache, given.MODEL), "corpus", "left")
     )
-    return totals.summary_report(
-        base, F.lit(BOUNDED.output_name), F.lit(duration_text(CORPUS_SECONDS))
-    )
+    return totals.summary_report(base, BOUNDED.output_name, duration_text(CORPUS_SECONDS))
 
 
 @query
@@ -545,12 +529,8 @@ def txt_fragments(spark, folder):
 def metadata_block(spark, folder):
     """Leaves of both formats with their metadata."""
     rows = _content(spark, folder, DESCRIBED)
-    return rows.select(
-        "corpus",
-        "path",
-        render.metadata_txt().alias("txt"),
-        render.metadata_xml(F.lit("    ")).alias("xml"),
-    )
+    xml = render.metadata_xml("'    '")
+    return rows.selectExpr("corpus", "path", f"{render.metadata_txt()} AS txt", f"{xml} AS xml")
 
 
 @query
@@ -568,39 +548,39 @@ def xml_overview(spark, folder):
 @query
 def xml_escape(spark, folder):
     rows = given.text_rows(spark, folder)
-    return rows.select(
-        "doc_id",
-        txt.xml_escape(F.col("text")).alias("escaped"),
-        txt.cdata(F.col("text")).alias("section"),
+    return rows.selectExpr(
+        "doc_id", f"{txt.xml_escape('text')} AS escaped", f"{txt.cdata('text')} AS section"
     )
 
 
 def _repo_corpora(spark, folder):
     """Pages as corpora of their repositories; pages outside any repository by host."""
     rows = given.repos(spark, folder)
-    return rows.select(
-        F.coalesce("cache_path", F.concat(F.lit("page/"), F.col("page_id"))).alias("corpus"),
-        F.when(F.col("cache_path").isNotNull(), F.col("url")).alias("repo_url"),
-        F.col("host").alias("repo_host"),
-        F.col("owner").alias("repo_owner"),
-        F.col("name").alias("repo_name"),
-    ).groupBy("corpus", "repo_host", "repo_owner", "repo_name").agg(
-        F.min("repo_url").alias("repo_url")
+    corpora = rows.selectExpr(
+        "coalesce(cache_path, concat('page/', page_id)) AS corpus",
+        "if(cache_path IS NULL, NULL, url) AS repo_url",
+        "host AS repo_host",
+        "owner AS repo_owner",
+        "name AS repo_name",
     )
+    keys = ("corpus", "repo_host", "repo_owner", "repo_name")
+    return corpora.groupBy(*keys).agg(F.min("repo_url").alias("repo_url"))
 
 
 @query
 def pack_header(spark, folder):
     corpora = _repo_corpora(spark, folder)
-    text = render.txt_header(corpora, DESCRIBED).withColumn("format", F.lit("txt"))
-    xml = render.xml_header(corpora, DESCRIBED).withColumn("format", F.lit("xml"))
-    return text.unionByName(xml)
+    both = [
+        render.headers(corpora, replace(DESCRIBED, format=name)).selectExpr("*", f"'{name}' AS format")
+        for name in ("txt", "xml")
+    ]
+    return both[0].unionByName(both[1])
 
 
 @query
 def pack_txt(spark, folder):
     files = content.accepted(filters.select_files(given.files(spark, folder), BOUNDED))
-    frame = render.txt_frame(render.corpora_of(files), BOUNDED)
+    frame = render.txt_frame(files.select("corpus").distinct(), BOUNDED)
     return packs.ordered(files, frame, BOUNDED)
 
 
@@ -609,7 +589,7 @@ def pack_xml(spark, folder):
     options = PackOptions(format="xml", inline_limit=8192)
     files = content.accepted(filters.select_files(given.files(spark, folder), options))
     dirs = tree.directories(files)
-    frame = render.xml_frame(render.corpora_of(dirs), files, dirs, options)
+    frame = render.xml_frame(files, dirs, options)
     return packs.ordered(files, frame, options)
 
 
@@ -629,34 +609,29 @@ def full_run(spark, folder):
 
 def _urls(spark, folder):
     """Page URLs, and SSH and HTTP forms of repositories made from their parts."""
-    url = F.col("url")
-    host = F.regexp_extract(url, r"//([^/]+)", 1)
-    known = F.when(F.pmod("page_id", F.lit(3)) == 0, "github.com").when(
-        F.pmod("page_id", F.lit(3)) == 1, "gitlab.com"
-    ).otherwise("bitbucket.org")
-    page = F.col("page_id").cast("string")
-    forms = F.array(
-        url,
-        F.concat(F.lit("git@"), host, F.lit(":team/r"), page, F.lit(".git")),
-        F.concat(F.lit("git@"), known, F.lit(":team/r"), page),
-        F.concat(F.lit("https://"), known, F.lit("/team/r"), page, F.lit(".git")),
-        F.concat(F.lit("http://user@"), known, F.lit(":8080/a/b/r"), page, F.lit(".git.git")),
-        F.concat(F.lit("https://"), known, F.lit("/"), page),
-        F.concat(F.lit("ssh://git@"), known, F.lit("/team/r"), page),
+    known = "element_at(array('github.com', 'gitlab.com', 'bitbucket.org'), cast(page_id % 3 AS INT) + 1)"
+    pages = given.parquet(spark, folder, "pages").selectExpr(
+        "page_id", "url", "split(url, '/')[2] AS host", f"{known} AS known"
+    )
+    forms = (
+        "url",
+        "concat('git@', host, ':team/r', page_id, '.git')",
+        "concat('git@', known, ':team/r', page_id)",
+        "concat('https://', known, '/team/r', page_id, '.git')",
+        "concat('http://user@', known, ':8080/a/b/r', page_id, '.git.git')",
+        "concat('https://', known, '/', page_id)",
+        "concat('ssh://git@', known, '/team/r', page_id)",
     )
-    pages = given.parquet(spark, folder, "pages")
-    return pages.select("page_id", F.explode(forms).alias("url")).distinct()
+    return pages.selectExpr(f"explode(array({', '.join(forms)})) AS url").distinct()
 
 
 @query
 def is_repo_url(spark, folder):
-    rows = _urls(spark, folder)
-    return rows.select("url", urls.is_repo_url(F.col("url")).alias("is_repo")).distinct()
+    return _urls(spark, folder).selectExpr("url", f"{urls.is_repo_url('url')} AS is_repo")
 
 
 def _parsed(spark, folder, *columns):
-    rows = repos.with_repo(_urls(spark, folder))
-    return rows.select("url", *columns).distinct()
+    return repos.with_repo(_urls(spark, folder)).select("url", *columns)
 
 
 @query

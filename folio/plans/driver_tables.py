@@ -11,10 +11,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import content_hash, piece_count
+from folio.functions import case, quoted
+from folio.functions import text as txt
 from folio.operators.repos import with_repo
 from folio.plans.scratch import staged
-from folio.sources.tables import files_from_texts
+from folio.sources.tables import files_from_texts, spread
 
 NOW_S = 1_704_067_200 + 8 * 86_400
 MODEL = "gpt-4"
@@ -50,50 +51,47 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    documents = parquet(spark, folder, "documents")
+    documents = spread(parquet(spark, folder, "documents"), "doc_id")
     return spark.sql(FILES_SQL, documents=documents)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     rows = text_rows(spark, folder)
     return files_from_texts(
-        rows,
-        F.col("corpus"),
-        F.col("path"),
-        F.col("text"),
-        F.timestamp_seconds("modified_s"),
-        F.col("permissions"),
+        rows, "corpus", "path", "text", "timestamp_seconds(modified_s)", "permissions"
     )
 
 
 def token_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stored write, so a key may occur more than once with different times."""
-    text = F.col("text")
-    return text_rows(spark, folder).where(text != "").select(
-        content_hash(text).alias("hash"),
-        F.when(F.col("lang") == "en", MODEL).otherwise(OTHER_MODEL).alias("model"),
-        piece_count(text).alias("tokens"),
-        (F.lit(NOW_S) - F.pmod(F.col("doc_id") * 6007, F.lit(1_209_600))).alias("ts"),
+    """What earlier runs stored over two weeks: English under one model, the rest under another.
+
+    Every write is there, so a key may occur more than once with different times.
+    """
+    return text_rows(spark, folder).where("text <> ''").selectExpr(
+        f"{txt.content_hash('text')} AS hash",
+        f"if(lang = 'en', '{MODEL}', '{OTHER_MODEL}') AS model",
+        f"{txt.piece_count('text')} AS tokens",
+        f"{NOW_S} - (doc_id * 6007) % 1209600 AS ts",
     )
 
 
 def repos(spark: SparkSession, folder: str) -> DataFrame:
     """Repositories asked for: every page URL, with a policy by top-level domain."""
     pages = with_repo(parquet(spark, folder, "pages").select("page_id", "url"))
-    policy = (
-        F.when(F.endswith("host", F.lit(".com")), "always_pull")
-        .when(F.endswith("host", F.lit(".net")), "force_clone")
-        .otherwise("use_cache")
+    policy = case(
+        ("endswith(host, '.com')", "'always_pull'"),
+        ("endswith(host, '.net')", "'force_clone'"),
+        otherwise="'use_cache'",
     )
-    return pages.withColumn("policy", policy)
+    return pages.selectExpr("*", f"{policy} AS policy")
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Repositories on disk: those of the pages, complete where a page was secure."""
-    found = repos(spark, folder).where(F.col("cache_path").isNotNull())
+    found = repos(spark, folder).where("cache_path IS NOT NULL")
     return found.groupBy("host_kind", "owner", "name", "cache_path").agg(
-        F.max(F.startswith("url", F.lit("https://"))).alias("has_git"),
-        F.max(F.lit(1_704_067_200) + F.col("page_id") * 3600).alias("modified_s"),
+        F.expr("bool_or(startswith(url, 'https://')) AS has_git"),
+        F.expr("max(1704067200 + page_id * 3600) AS modified_s"),
     )
 
 
@@ -107,10 +105,10 @@ CUSTOM_IGNORE = "\n".join(["docs/", "!*.rs", "de_*"])
 
 
 def _per_corpus(rows: DataFrame, *texts: tuple[str, str]) -> DataFrame:
-    files = F.array(
-        *[F.struct(F.lit(path).alias("path"), F.lit(text).alias("content")) for path, text in texts]
+    files = ", ".join(
+        f"struct({quoted(path)} AS path, {quoted(text)} AS content)" for path, text in texts
     )
-    return rows.select("corpus").distinct().select("corpus", F.inline(files))
+    return rows.select("corpus").distinct().selectExpr("corpus", f"inline(array({files}))")
 
 
 def ignore_files(rows: DataFrame) -> DataFrame:
@@ -129,33 +127,28 @@ OUTPUT_FILE = "./docs/en_20.txt"
 
 def absolute_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Paths inside a root, the root itself, beside it, and elsewhere."""
-    root = F.concat(F.lit("/data/"), F.col("corpus"))
-    full = (
-        F.when(F.col("lang") == "en", F.concat(root, F.lit("/"), F.col("path")))
-        .when(F.col("lang") == "fr", F.concat(F.lit("/other/"), F.col("path")))
-        .when(F.col("lang") == "de", root)
-        .otherwise(F.concat(root, F.lit("x/"), F.col("path")))
-    )
-    return text_rows(spark, folder).select(
-        "doc_id", "corpus", root.alias("root"), full.alias("full_path")
+    rows = text_rows(spark, folder).selectExpr("*", "concat('/data/', corpus) AS root")
+    full = case(
+        ("lang = 'en'", "concat(root, '/', path)"),
+        ("lang = 'fr'", "concat('/other/', path)"),
+        ("lang = 'de'", "root"),
+        otherwise="concat(root, 'x/', path)",
     )
+    return rows.selectExpr("doc_id", "corpus", "root", f"{full} AS full_path")
 
 
 def wordy_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Long paths with letters of any width: the first words of a text as folders."""
-    length = F.pmod("doc_id", F.lit(100)) + 20
-    words = F.left(F.regexp_replace("text", r"[\n ]+", "/"), length)
-    solid = F.left(F.regexp_replace("text", r"[\n ]+", "-"), length)
-    path = F.when(F.pmod("doc_id", F.lit(5)) == 0, solid).otherwise(words)
-    return parquet(spark, folder, "documents").select("doc_id", path.alias("path"))
+    path = r"left(regexp_replace(text, '[\\n ]+', if(doc_id % 5 = 0, '-', '/')), doc_id % 100 + 20)"
+    return parquet(spark, folder, "documents").selectExpr("doc_id", f"{path} AS path")
 
 
 def mixed_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Files with links and other entries among them, by the language in the name."""
-    name = F.regexp_extract("path", r"([a-z]{2})_[0-9]", 1)
-    kind = F.when(name == "de", "symlink").when(name == "es", "other").otherwise("file")
-    target = F.when(name == "de", F.concat(F.lit("../ziel/ö/"), F.col("path")))
-    return files(spark, folder).withColumns({"kind": kind, "target": target})
+    name = "regexp_extract(path, '([a-z]{2})_[0-9]', 1)"
+    kind = case((f"{name} = 'de'", "'symlink'"), (f"{name} = 'es'", "'other'"), otherwise="'file'")
+    target = f"if({name} = 'de', concat('../ziel/ö/', path), NULL)"
+    return files(spark, folder).withColumns({"kind": F.expr(kind), "target": F.expr(target)})
 
 
 def written_trees(rows: DataFrame, path: str) -> DataFrame:
@@ -173,9 +166,9 @@ def written_trees(rows: DataFrame, path: str) -> DataFrame:
                 os.utime(full, ns=(row.modified_us * 1000, row.modified_us * 1000))
             yield batch[["corpus"]]
 
-    sent = rows.select(
-        "corpus", "path", "raw", "permissions", F.unix_micros("modified").alias("modified_us")
+    sent = rows.selectExpr(
+        "corpus", "path", "raw", "permissions", "unix_micros(modified) AS modified_us"
     )
     corpora = sent.mapInPandas(write, "corpus STRING").distinct()
     written = staged(corpora, "written")
-    return written.select("corpus", F.concat_ws("/", F.lit(folder), "corpus").alias("root"))
+    return written.selectExpr("corpus", f"concat_ws('/', {quoted(folder)}, corpus) AS root")

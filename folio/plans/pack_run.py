@@ -82,7 +82,7 @@ def run(
             [], tokens.CACHE_SCHEMA
         )
         counted, fresh = count_tokens(measured, packable, known, options)
-        keys = measured.where(F.col("hash").isNotNull())
+        keys = measured.where("hash IS NOT NULL")
         live = tokens.cache_expire(known, options.now_s)
         rates = tokens.cache_hit_rate(keys, live, options.model_id)
         sums = tokens.cached_token_total(keys, counted, options.model_id)
@@ -98,19 +98,16 @@ def run(
 
     base = staged(base, "totals")
     file_rows = staged(largest.files_report(shown), "files")
-    summary = totals.summary_report(
-        base, F.lit(options.output_name), F.lit(duration_text(seconds))
-    )
+    summary = totals.summary_report(base, options.output_name, duration_text(seconds))
 
     if options.format == "txt":
-        frame = render.txt_frame(render.corpora_of(measured, repos), options)
+        frame = render.txt_frame(base.select("corpus"), options, repos)
     else:
         dirs = tree.directories(measured, folders)
         dir_metadata = None if folders is None else folders.withColumnRenamed("path", "dir")
-        corpora = render.corpora_of(dirs, repos)
-        frame = render.xml_frame(corpora, measured, dirs, options, dir_metadata)
+        frame = render.xml_frame(measured, dirs, options, repos, dir_metadata)
     if partitions is None:
-        total = measured.agg(F.sum(F.least("size", F.lit(options.inline_limit)))).first()[0]
+        total = measured.agg(F.expr(f"sum(least(size, {options.inline_limit}))")).first()[0]
         partitions = packs.parts_for(total or 0, files.sparkSession.sparkContext.defaultParallelism)
     packs.write_pack(packable, frame, options, output, partitions)
     return PackRun(measured, base, file_rows, summary, console_report(file_rows, summary), fresh)

@@ -28,8 +28,8 @@ def ordered(
     read and printed behind the shuffle: cutting ranges looks at the input once more, and
     this way that look computes sort keys only.
     """
-    body = files.withColumns(
-        {"section": F.lit(render.BODY), "sort_key": paths.file_key(F.col("path"))}
+    body = files.selectExpr(
+        "*", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key"
     )
     rows = body.unionByName(frame, allowMissingColumns=True)
     if partitions is None:
@@ -38,8 +38,8 @@ def ordered(
         spread = rows.repartitionByRange(partitions, *ORDER)
     in_order = spread.sortWithinPartitions(*ORDER).withColumnRenamed("fragment", "framed")
     printed = content.with_content(content.classify(in_order, options), options)
-    fragment = F.coalesce("framed", render.leaf(options)).alias("fragment")
-    return printed.select(*ORDER, fragment).where(F.col("fragment").isNotNull())
+    fragment = f"coalesce(framed, {render.leaf(options)}) AS fragment"
+    return printed.selectExpr(*ORDER, fragment).where("fragment IS NOT NULL")
 
 
 def write_pack(

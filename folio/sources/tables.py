@@ -13,10 +13,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from folio.functions import quoted
+
 FILES_SCHEMA = T.StructType(
     [
         T.StructField("corpus", T.StringType()),
@@ -32,49 +33,55 @@ FILES_SCHEMA = T.StructType(
 )
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small input over all cores; a large one is left where it is read.
+
+    A file of one row group is read by one task. That is no matter where there are more
+    splits than cores, and there the rows are not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def files_from_texts(
     rows: DataFrame,
-    corpus: Column,
-    path: Column,
-    text: Column,
-    modified: Column | None = None,
-    permissions: Column | None = None,
+    corpus: str,
+    path: str,
+    text: str,
+    modified: str = "timestamp_seconds(0)",
+    permissions: str = "'644'",
 ) -> DataFrame:
-    """Any table with a text per row as a files table."""
-    none = F.lit(None)
-    return rows.select(
-        corpus.cast("string").alias("corpus"),
-        path.alias("path"),
-        F.lit("file").alias("kind"),
-        F.octet_length(text).cast("bigint").alias("size"),
-        (F.timestamp_seconds(F.lit(0)) if modified is None else modified).alias("modified"),
-        (F.lit("644") if permissions is None else permissions).alias("permissions"),
-        none.cast("string").alias("target"),
-        text.cast("binary").alias("raw"),
-        none.cast("string").alias("open_error"),
+    """Any table with a text per row as a files table; the parts are SQL expressions."""
+    return rows.selectExpr(
+        f"cast({corpus} AS STRING) AS corpus",
+        f"{path} AS path",
+        "'file' AS kind",
+        f"cast(octet_length({text}) AS BIGINT) AS size",
+        f"{modified} AS modified",
+        f"{permissions} AS permissions",
+        "cast(NULL AS STRING) AS target",
+        f"cast({text} AS BINARY) AS raw",
+        "cast(NULL AS STRING) AS open_error",
     )
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
     """One corpus per source, one file per document."""
-    path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return files_from_texts(documents, F.col("source"), path, F.col("text"))
+    return files_from_texts(documents, "source", "concat(lang, '/', doc_id, '.txt')", "text")
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
     """One corpus per host; the path is the URL path, with the page id to keep it unique."""
-    parts = r"\Ahttps?://([^/?#]+)/?([^?#]*)"
-    host = F.lower(F.regexp_extract("url", parts, 1))
-    trimmed = F.regexp_replace(F.regexp_extract("url", parts, 2), r"/+\z", "")
-    path = F.concat_ws("/", F.nullif(trimmed, F.lit("")), F.concat("page_id", F.lit(".html")))
-    return files_from_texts(pages, host, path, F.col("html"))
+    parts = quoted(r"\Ahttps?://([^/?#]+)/?([^?#]*)")
+    folder = f"regexp_replace(regexp_extract(url, {parts}, 2), {quoted(r'/+\z')}, '')"
+    path = f"concat_ws('/', nullif({folder}, ''), concat(page_id, '.html'))"
+    return files_from_texts(pages, f"lower(regexp_extract(url, {parts}, 1))", path, "html")
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
     """One corpus per conversation, one file per turn."""
-    turn = F.lpad(F.col("turn").cast("string"), 6, "0")
-    path = F.concat(F.col("role"), F.lit("/"), turn, F.lit(".txt"))
-    return files_from_texts(conversations, F.col("conv_id"), path, F.col("text"))
+    path = "concat(role, '/', lpad(turn, 6, '0'), '.txt')"
+    return files_from_texts(conversations, "conv_id", path, "text")
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import paths
-from folio.operators.filters import is_ignored_name, matches_globs
+from folio.functions import paths, quoted
+from folio.operators.filters import is_ignored_name, is_output_file, matches_globs
 from folio.options import PackOptions
 from folio.plans.scratch import new_path
 from folio.sources.tables import FILES_SCHEMA
@@ -86,17 +86,23 @@ def _lister(record_symlinks: bool):
     return list_folders
 
 
-def _keep_entry(options: PackOptions):
-    name = paths.name_of(F.col("path"))
-    keep = ~is_ignored_name(name, options) & ~paths.is_output_file(F.col("path"), options.output_name)
+def _keep_entry(options: PackOptions) -> str:
+    name = paths.name_of("path")
+    keep = f"NOT {is_ignored_name(name, options)} AND NOT {is_output_file('path', options)}"
     if options.include_patterns:
         included = matches_globs(name, options.include_patterns)
-        if not options.include_dirs:
-            included = included | (F.col("kind") == "directory")
-        keep = keep & included
+        anyway = "false" if options.include_dirs else "kind = 'directory'"
+        keep += f" AND ({anyway} OR {included})"
     return keep
 
 
+def _is_rule_file(options: PackOptions, always: bool = False) -> str:
+    names = [".gitignore"] if options.respect_gitignore or always else []
+    names += [options.custom_ignore_name] if options.custom_ignore_name else []
+    wanted = ", ".join(quoted(name) for name in names)
+    return f"kind = 'file' AND {paths.name_of('path')} IN ({wanted})" if names else "false"
+
+
 def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     """Entries below the roots (corpus, root) that pass the name filters, folders included.
 
@@ -104,20 +110,15 @@ def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     rules count although they are not packed.
     """
     spark = roots.sparkSession
-    rule_files = [".gitignore"] if options.respect_gitignore else []
-    if options.custom_ignore_name:
-        rule_files.append(options.custom_ignore_name)
     path, level = new_path(spark, "listing"), 0
-    folders = roots.select("corpus", F.rtrim("root", F.lit("/")).alias("root"), F.lit("").alias("path"))
+    folders = roots.selectExpr("corpus", "rtrim('/', root) AS root", "'' AS path")
     while True:
         target = f"{path}/level={level}"
         spread = folders.repartition(F.col("corpus"), F.col("path"))
         listed = spread.mapInPandas(_lister(options.record_symlinks), LISTING)
-        name = paths.name_of(F.col("path"))
-        is_rules = name.isin(*rule_files) if rule_files else F.lit(False)
-        kept = listed.withColumn("kept", _keep_entry(options)).where(F.col("kept") | is_rules)
-        kept.write.parquet(target)
-        folders = spark.read.parquet(target).where((F.col("kind") == "directory") & F.col("kept"))
+        marked = listed.selectExpr("*", f"{_keep_entry(options)} AS kept")
+        marked.where(f"kept OR {_is_rule_file(options)}").write.parquet(target)
+        folders = spark.read.parquet(target).where("kind = 'directory' AND kept")
         if folders.isEmpty():
             break
         level += 1
@@ -163,10 +164,10 @@ def read_contents(entries: DataFrame, options: PackOptions) -> DataFrame:
     Tasks are counted by the bytes to read and filled by a hash of the file, so neither a
     large corpus nor a large folder ends up in one of them.
     """
-    readable = F.least(F.col("size"), F.lit(options.inline_limit))
-    total = entries.where(F.col("kind") == "file").agg(F.sum(readable)).first()[0] or 0
+    readable = f"sum(least(size, {options.inline_limit}))"
+    total = entries.where("kind = 'file'").agg(F.expr(readable)).first()[0] or 0
     tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    spread = entries.where(F.col("kind") != "directory").repartition(tasks, "corpus", "path")
+    spread = entries.where("kind <> 'directory'").repartition(tasks, "corpus", "path")
     read = spread.mapInPandas(_reader(options.inline_limit, options.sample_bytes), READ)
     modified = F.timestamp_micros("modified_us").alias("modified")
     return read.withColumn("modified", modified).select(*FILES_SCHEMA.names)
@@ -176,18 +177,10 @@ def scan_trees(roots: DataFrame, options: PackOptions) -> tuple[DataFrame, DataF
     """(files, directories, ignore files) below the roots."""
     listed = list_trees(roots, options)
     files = read_contents(listed.where("kept"), options)
-    folders = listed.where(F.col("kept") & (F.col("kind") == "directory")).select(
-        "corpus",
-        "path",
-        "size",
-        F.timestamp_micros("modified_us").alias("modified"),
-        "permissions",
-    )
-    rule_names = [n for n in (".gitignore", options.custom_ignore_name) if n]
-    rule_files = read_contents(
-        listed.where(paths.name_of(F.col("path")).isin(*rule_names) & (F.col("kind") == "file")),
-        options,
+    folders = listed.where("kept AND kind = 'directory'").selectExpr(
+        "corpus", "path", "size", "timestamp_micros(modified_us) AS modified", "permissions"
     )
+    rule_files = read_contents(listed.where(_is_rule_file(options, always=True)), options)
     return files, folders, rule_files
 
 
