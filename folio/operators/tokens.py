@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from folio.functions import quoted
 from folio.functions import text as txt
+from folio.operators.content import COUNTED
 from folio.operators.skew import lookup
 from folio.options import CACHE_TTL_SECONDS, MODELS
 
@@ -168,6 +169,10 @@ def count_misses(
     )
 
 
+# Every copy of a known content hits; of an unknown one all but the first do.
+_HITS = "sum(if(coalesce(cached, false), n, greatest(n - 1, 0))) AS hits"
+
+
 def _copies(keys: DataFrame) -> DataFrame:
     """How often each content occurs in a corpus; a hot content is one row per corpus."""
     readable = keys.where("hash IS NOT NULL")
@@ -182,9 +187,7 @@ def cache_hit_rate(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFram
     """
     entries = entries_of(cache, model_id).selectExpr("hash", "true AS cached")
     copies = lookup(_copies(keys), entries, "hash")
-    sums = copies.groupBy("corpus").agg(
-        F.expr("sum(if(cached, n, n - 1)) AS hits"), F.expr("sum(n) AS lookups")
-    )
+    sums = copies.groupBy("corpus").agg(F.expr(_HITS), F.expr("sum(n) AS lookups"))
     return sums.selectExpr(
         "corpus", "hits", "lookups - hits AS misses", "lookups", "hits / lookups * 100D AS hit_rate"
     )
@@ -194,3 +197,33 @@ def cached_token_total(keys: DataFrame, cache: DataFrame, model_id: str) -> Data
     """Token total per corpus from the cache; NULL when none of its contents is there."""
     copies = lookup(_copies(keys), entries_of(cache, model_id), "hash")
     return copies.groupBy("corpus").agg(F.expr("sum(n * tokens) AS tokens"))
+
+
+def corpus_summary(
+    measured: DataFrame, cache: DataFrame, fresh: DataFrame | None, model_id: str
+) -> DataFrame:
+    """Totals, tokens and cache hits per corpus in one go.
+
+    `fresh` are entries counted in this run; they give tokens but are no hits. Files are
+    summed per content first, so that the join sees each content once per corpus.
+    """
+    entries = entries_of(cache, model_id).selectExpr("hash", "tokens", "true AS cached")
+    if fresh is not None:
+        counted_now = fresh.selectExpr("hash", "tokens", "false AS cached")
+        entries = entries.unionByName(counted_now)
+    per_content = measured.groupBy("corpus", "hash").agg(
+        F.expr(f"count_if({COUNTED}) AS files"),
+        F.expr("sum(if(read_status = 'ok', lines, 0)) AS lines"),
+        F.expr("sum(if(read_status = 'ok', chars, 0)) AS chars"),
+        F.expr("count(hash) AS n"),
+    )
+    return (
+        lookup(per_content, entries, "hash")
+        .groupBy("corpus")
+        .agg(
+            *[F.sum(name).alias(name) for name in ("files", "lines", "chars")],
+            F.expr("sum(n * tokens) AS tokens"),
+            F.expr(_HITS),
+            F.expr("sum(n) AS lookups"),
+        )
+    )

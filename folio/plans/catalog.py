@@ -409,21 +409,18 @@ def cache_hit_rate(spark, folder):
 
 @query
 def token_total(spark, folder):
-    found = tokens.cached_token_total(
+    """From the cache alone; NULL for a corpus none of whose contents is there."""
+    return tokens.cached_token_total(
         _keys(spark, folder), _live_cache(spark, folder), given.MODEL
     )
-    return totals.corpus_totals(_measured(spark, folder)).join(found, "corpus", "left").select(
-        "corpus", "tokens"
-    )
 
 
 @query
 def token_label(spark, folder):
-    found = tokens.cached_token_total(
-        _keys(spark, folder), _live_cache(spark, folder), given.MODEL
-    )
     return totals.token_label(
-        totals.corpus_totals(_measured(spark, folder)).join(found, "corpus", "left")
+        tokens.corpus_summary(
+            _measured(spark, folder), _live_cache(spark, folder), None, given.MODEL
+        )
     )
 
 
@@ -485,11 +482,8 @@ def files_report(spark, folder):
 
 
 def _summary(spark, folder):
-    keys, cache = _keys(spark, folder), _live_cache(spark, folder)
-    base = (
-        totals.corpus_totals(_measured(spark, folder))
-        .join(tokens.cached_token_total(keys, cache, given.MODEL), "corpus", "left")
-        .join(tokens.cache_hit_rate(keys, cache, given.MODEL), "corpus", "left")
+    base = tokens.corpus_summary(
+        _measured(spark, folder), _live_cache(spark, folder), None, given.MODEL
     )
     return totals.summary_report(base, BOUNDED.output_name, duration_text(CORPUS_SECONDS))
 

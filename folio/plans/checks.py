@@ -441,7 +441,7 @@ WHERE rn = 1""",
 WITH {M_}, {CACHE_}, {LOOKUPS_} SELECT corpus, hits, misses, lookups,
   hits::DOUBLE / lookups::DOUBLE * 100.0::DOUBLE AS hit_rate FROM rates""",
     "token_total": f"""
-WITH {M_}, {CACHE_}, {LOOKUPS_}, {TOTALS_} SELECT t.corpus, tokens FROM t LEFT JOIN rates USING (corpus)""",
+WITH {M_}, {CACHE_}, {LOOKUPS_} SELECT corpus, tokens FROM rates""",
     "token_label": f"""
 WITH {M_}, {CACHE_}, {LOOKUPS_}, {TOTALS_} SELECT t.corpus, coalesce(tokens, chars // 4) AS tokens,
   CASE WHEN tokens IS NULL THEN 'estimated' ELSE 'counted' END AS token_source

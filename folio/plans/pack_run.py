@@ -73,7 +73,6 @@ def run(
     packable = content.accepted(kept)
     measured = staged(content.measured(packable, options), "measured")
 
-    base = totals.corpus_totals(measured)
     details = totals.file_details(measured)
     fresh = None
     no_count = F.lit(None).cast("bigint")
@@ -82,18 +81,13 @@ def run(
             [], tokens.CACHE_SCHEMA
         )
         counted, fresh = count_tokens(measured, packable, known, options)
-        keys = measured.where("hash IS NOT NULL")
         live = tokens.cache_expire(known, options.now_s)
-        rates = tokens.cache_hit_rate(keys, live, options.model_id)
-        sums = tokens.cached_token_total(keys, counted, options.model_id)
-        base = (
-            base.join(sums, "corpus", "left")
-            .join(rates.select("corpus", "hits", "lookups"), "corpus", "left")
-            .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hits", "lookups")})
-        )
+        base = tokens.corpus_summary(measured, live, fresh, options.model_id)
         shown = tokens.cache_lookup(largest.largest_files(details), counted, options.model_id)
     else:
-        base = base.withColumns({c: no_count for c in ("tokens", "hits", "lookups")})
+        base = totals.corpus_totals(measured).withColumns(
+            {c: no_count for c in ("tokens", "hits", "lookups")}
+        )
         shown = largest.largest_files(details).withColumn("tokens", no_count)
 
     base = staged(base, "totals")
