@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels of the printed report.
 ICONS = {
@@ -64,7 +65,7 @@ def _files_title(title: str) -> str:
     return f"📋  {title}  📋" if title.startswith("TOP") else f"📋  {title}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _print(title: pd.Series, files: pd.Series, summary: pd.Series) -> pd.Series:
     def one(heading, file_rows, summary_rows):
         listed = [(r["display_path"], r["lines"], r["tokens"]) for r in file_rows]

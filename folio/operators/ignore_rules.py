@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import paths, quoted
 from folio.functions.globs import compile_ignore_text
@@ -19,7 +20,13 @@ RULES_SCHEMA = (
     "corpus STRING, base_dir STRING, depth INT, line_no INT, regex STRING, "
     "negated BOOLEAN, dir_only BOOLEAN, custom BOOLEAN"
 )
-_COMPILED = "array<struct<line_no INT, regex STRING, negated BOOLEAN, dir_only BOOLEAN>>"
+_COMPILED = T.ArrayType(
+    T.StructType()
+    .add("line_no", T.IntegerType())
+    .add("regex", T.StringType())
+    .add("negated", T.BooleanType())
+    .add("dir_only", T.BooleanType())
+)
 
 
 @F.pandas_udf(_COMPILED)

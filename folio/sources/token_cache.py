@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folio.operators.tokens import CACHE_SCHEMA, cache_expire, cache_upsert
 
-_STORED = T.StructType.fromDDL(CACHE_SCHEMA + ", version BIGINT")
+_STORED = CACHE_SCHEMA + ", version BIGINT"
 
 
 def save_version(entries: DataFrame, path: str, version: int) -> None:
