@@ -267,20 +267,17 @@ def xml_frame(
 ) -> DataFrame:
     """Everything of an XML pack but its files; reads paths and kinds only.
 
-    One pass over the directories emits all of it but the names in the overview: the root
-    brings the header and the ends of the document along.
+    Every corpus has one root directory, which stands for the document as a whole; only
+    these rows meet the repositories, so the join has one row per corpus.
     """
     with_metadata = options.include_metadata and dir_metadata is not None
-
-    def once(text: str) -> str:
-        return f"if(dir = '', {text}, NULL)"
-
     folders = _rows(
-        with_repos(_described(dirs, dir_metadata), repos),
-        _event(HEADER, "''", once(_xml_header(options))),
-        *_overview_events(),
-        _event(OVERVIEW, "'3'", once("'  </overview>'")),
-        *_body_events(with_metadata),
-        _event(TRAILER, "''", once("'</directory_scan>'")),
+        _described(dirs, dir_metadata), *_overview_events(), *_body_events(with_metadata)
     )
-    return _overview_leaves(entries).unionByName(folders)
+    documents = _rows(
+        with_repos(dirs.where("dir = ''").select("corpus"), repos),
+        _event(HEADER, "''", _xml_header(options)),
+        _event(OVERVIEW, "'3'", "'  </overview>'"),
+        _event(TRAILER, "''", "'</directory_scan>'"),
+    )
+    return _overview_leaves(entries).unionByName(folders).unionByName(documents)

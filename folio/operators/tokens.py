@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from folio.functions import quoted
 from folio.functions import text as txt
-from folio.operators.content import COUNTED
+from folio.operators.content import COUNTED, accepted, classify, with_content
 from folio.operators.skew import lookup
-from folio.options import CACHE_TTL_SECONDS, MODELS
+from folio.options import CACHE_TTL_SECONDS, MODELS, PackOptions
 
 CACHE_SCHEMA = "hash STRING, model STRING, tokens BIGINT, ts BIGINT"
 FILE_ID = "xxhash64(corpus, path)"
@@ -150,17 +150,45 @@ def count_misses(
 
     `files` is the files table the misses were found in. The join key names single files, so
     no key is hot even where one content fills a third of the table. Failed counts are left
-    out.
+    out. Where the misses are few, Spark sends them to the files; see `count_in_place` for
+    the case that they are most of the files.
     """
     wanted = misses.select("file_id")
     one_each = (
         files.selectExpr(f"{FILE_ID} AS file_id", "cast(raw AS STRING) AS content")
         .join(wanted, "file_id", "left_semi")
     )
-    counted = one_each.select(
+    return _entries(_counted(one_each, counter_name), model_id, now_s)
+
+
+def count_in_place(
+    files: DataFrame,
+    misses: DataFrame,
+    counter_name: str,
+    model_id: str,
+    now_s: int,
+    options: PackOptions,
+) -> DataFrame:
+    """The same entries, found by counting every readable file where it is read.
+
+    Copies are counted more than once, but no content is moved: what is joined with the
+    misses is one number per content.
+    """
+    contents = with_content(classify(accepted(files), options), options)
+    counted = _counted(contents.where("read_status = 'ok'"), counter_name)
+    distinct = counted.groupBy("hash").agg(F.max("tokens").alias("tokens"))
+    return _entries(distinct.join(misses.select("hash"), "hash", "left_semi"), model_id, now_s)
+
+
+def _counted(contents: DataFrame, counter_name: str) -> DataFrame:
+    """(hash, tokens) of texts. Batches that go to Python are bounded in bytes by Spark."""
+    return contents.select(
         F.expr(txt.content_hash("content")).alias("hash"),
         counter(counter_name)("content").alias("tokens"),
     )
+
+
+def _entries(counted: DataFrame, model_id: str, now_s: int) -> DataFrame:
     return (
         counted.groupBy("hash")
         .agg(F.max("tokens").alias("tokens"))

@@ -424,6 +424,10 @@ FROM n GROUP BY corpus""",
     "count_tokens": f"""
 WITH {M_} SELECT DISTINCT hash, '{MODEL}' AS model, CAST({PIECE_COUNT} AS BIGINT) AS tokens,
   CAST({NOW_S} AS BIGINT) AS ts FROM m WHERE status = 'ok'""",
+    "count_missing_tokens": f"""
+WITH {M_}, {CACHE_} SELECT DISTINCT m.hash, '{MODEL}' AS model, CAST({PIECE_COUNT} AS BIGINT) AS tokens,
+  CAST({NOW_S} AS BIGINT) AS ts FROM m LEFT JOIN known ON m.hash = known.hash
+WHERE status = 'ok' AND known.hash IS NULL""",
     "cache_lookup": f"""
 WITH {M_}, {CACHE_} SELECT m.corpus, m.path, m.hash, known.tokens, known.hash IS NOT NULL AS cached
 FROM m LEFT JOIN known ON m.hash = known.hash WHERE status = 'ok'""",
@@ -470,6 +474,37 @@ WITH m AS (
     "summary_report": f"""
 WITH {M_}, {CACHE_}, {LOOKUPS_}, {TOTALS_}, {SUMMARY_}
 SELECT corpus, CAST(row AS INTEGER) AS row, metric, value FROM s""",
+    "console_report": f"""
+WITH {M_}, {CACHE_}, {LOOKUPS_}, {TOTALS_}, {RANKED_}, {FILE_ROWS_}, {SUMMARY_},
+labelled AS (
+  SELECT *, CASE row WHEN 1 THEN '📂' WHEN 2 THEN '⏱️' WHEN 3 THEN '📄' WHEN 4 THEN '📝' WHEN 5 THEN '📦'
+            ELSE '🔄' END || ' ' || metric AS label FROM s),
+sized AS (
+  SELECT corpus, CAST(greatest(9, max(length(display_path))) AS INTEGER) AS a,
+         CAST(greatest(5, max(length(lines))) AS INTEGER) AS b,
+         CAST(greatest(11, max(length(tokens))) AS INTEGER) AS c FROM reported GROUP BY corpus),
+widths AS (
+  SELECT corpus, CAST(max(length(metric) + 3) AS INTEGER) AS d,
+         CAST(greatest(5, max(length(value))) AS INTEGER) AS e FROM s GROUP BY corpus),
+listed AS (
+  SELECT corpus, any_value(title) AS title, string_agg('│ ' || rpad(display_path, a, ' ') || ' │ ' ||
+           rpad(lines, b, ' ') || ' │ ' || rpad(tokens, c, ' ') || ' │', chr(10) ORDER BY rank) AS body
+  FROM reported JOIN sized USING (corpus) GROUP BY corpus),
+counted AS (
+  SELECT corpus, string_agg('│ ' || label || repeat(' ', d - length(metric) - 3) || ' │ ' ||
+           rpad(value, e, ' ') || ' │', chr(10) ORDER BY row) AS body
+  FROM labelled JOIN widths USING (corpus) GROUP BY corpus)
+SELECT l.corpus, '📋  ' || title || CASE WHEN starts_with(title, 'TOP') THEN '  📋' ELSE '' END || {NL} ||
+  '╭' || repeat('─', a + 2) || '┬' || repeat('─', b + 2) || '┬' || repeat('─', c + 2) || '╮' || {NL} ||
+  '│ ' || rpad('File Path', a, ' ') || ' │ ' || rpad('Lines', b, ' ') || ' │ ' || rpad('Est. Tokens', c, ' ') || ' │' || {NL} ||
+  '├' || repeat('─', a + 2) || '┼' || repeat('─', b + 2) || '┼' || repeat('─', c + 2) || '┤' || {NL} || l.body || {NL} ||
+  '╰' || repeat('─', a + 2) || '┴' || repeat('─', b + 2) || '┴' || repeat('─', c + 2) || '╯' || {NL} || {NL} ||
+  '✅  EXTRACTION COMPLETE' || {NL} ||
+  '╭' || repeat('─', d + 2) || '┬' || repeat('─', e + 2) || '╮' || {NL} ||
+  '│ ' || rpad('Metric', d, ' ') || ' │ ' || rpad('Value', e, ' ') || ' │' || {NL} ||
+  '├' || repeat('─', d + 2) || '┼' || repeat('─', e + 2) || '┤' || {NL} || k.body || {NL} ||
+  '╰' || repeat('─', d + 2) || '┴' || repeat('─', e + 2) || '╯' AS report
+FROM listed l JOIN counted k USING (corpus) JOIN sized USING (corpus) JOIN widths USING (corpus)""",
     "pack_order": f"WITH {K_} SELECT corpus, path, {FILE_KEY} AS sort_key FROM k",
     "directories": f"""
 WITH {K_}, {DIRS_.format(source='k')} SELECT corpus, dir, {DIR_NAME} AS name, {DIR_PATH} AS packed_path,

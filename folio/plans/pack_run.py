@@ -43,13 +43,19 @@ def select(files: DataFrame, options: PackOptions, rules: DataFrame | None = Non
 def count_tokens(
     measured: DataFrame, files: DataFrame, cache: DataFrame, options: PackOptions
 ) -> tuple[DataFrame, DataFrame]:
-    """(new cache, entries counted now). One file per missing content is counted."""
+    """(new cache, entries counted now).
+
+    One file per missing content is counted. When that is most of the files anyway, all of
+    them are counted where they are read, which spares moving their contents.
+    """
     live = tokens.cache_expire(cache, options.now_s)
     misses = staged(tokens.cache_misses(measured, live, options.model_id), "misses")
-    fresh = staged(
-        tokens.count_misses(files, misses, options.counter, options.model_id, options.now_s),
-        "fresh",
-    )
+    how = (options.counter, options.model_id, options.now_s)
+    if misses.count() * 2 > measured.where("hash IS NOT NULL").count():
+        fresh = tokens.count_in_place(files, misses, *how, options)
+    else:
+        fresh = tokens.count_misses(files, misses, *how)
+    fresh = staged(fresh, "fresh")
     return tokens.cache_upsert(live, fresh), fresh
 
 
@@ -121,7 +127,7 @@ def run_trees(
     files = staged(files, "files")
     rules = None
     if options.respect_gitignore or options.custom_ignore_name:
-        texts = rule_files.withColumn("content", F.col("raw").cast("string"))
+        texts = rule_files.withColumn("content", F.expr("cast(raw AS STRING)"))
         rules = spark.createDataFrame([], ignore_rules.RULES_SCHEMA)
         if options.respect_gitignore:
             rules = rules.unionByName(

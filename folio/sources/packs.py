@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio.functions import paths
 from folio.operators import content, render
@@ -50,10 +49,10 @@ def write_pack(
     partitions: int | None = None,
 ) -> None:
     rows = ordered(files, frame, options, partitions)
-    rows.select("corpus", F.col("fragment").alias("value")).write.partitionBy("corpus").text(path)
+    rows.selectExpr("corpus", "fragment AS value").write.partitionBy("corpus").text(path)
 
 
 def read_pack(spark: SparkSession, path: str, corpus: str) -> DataFrame:
     """Lines of one pack with the part they are in."""
     lines = spark.read.text(f"{path}/corpus={corpus}")
-    return lines.select(F.col("_metadata.file_name").alias("part"), "value")
+    return lines.selectExpr("_metadata.file_name AS part", "value")

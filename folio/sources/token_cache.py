@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio.operators.tokens import CACHE_SCHEMA, cache_expire, cache_upsert
 
@@ -31,7 +30,7 @@ def load_versions(spark: SparkSession, path: str, below: int | None = None) -> D
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
     if below is not None:
-        stored = stored.where(F.col("version") < below)
+        stored = stored.where(f"version < {below}")
     return stored.select("hash", "model", "tokens", "ts")
 
 

@@ -110,11 +110,12 @@ def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     rules count although they are not packed.
     """
     spark = roots.sparkSession
-    path, level = new_path(spark, "listing"), 0
+    path, level, tasks = new_path(spark, "listing"), 0, spark.sparkContext.defaultParallelism
     folders = roots.selectExpr("corpus", "rtrim('/', root) AS root", "'' AS path")
     while True:
         target = f"{path}/level={level}"
-        spread = folders.repartition(F.col("corpus"), F.col("path"))
+        # A fixed number, as a few short rows would otherwise be joined into one task.
+        spread = folders.repartition(tasks, "corpus", "path")
         listed = spread.mapInPandas(_lister(options.record_symlinks), LISTING)
         marked = listed.selectExpr("*", f"{_keep_entry(options)} AS kept")
         marked.where(f"kept OR {_is_rule_file(options)}").write.parquet(target)

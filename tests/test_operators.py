@@ -237,6 +237,22 @@ def test_hot_content_is_split_and_nothing_is_lost(spark):
     assert split.count() == 6000
 
 
+def test_counting_in_place_finds_the_same_entries(spark, files_table):
+    entries = {("p", f"f{n}"): (b"license text" if n % 3 else b"own text %d" % n) for n in range(60)}
+    entries[("p", "bytes")] = b"\x00\x01"
+    files = files_table(entries)
+    facts = content.measured(files, PackOptions())
+    known = spark.createDataFrame([("license text", 2)], "text STRING, tokens BIGINT").selectExpr(
+        "sha2(text, 256) AS hash", "'m' AS model", "tokens", "0L AS ts"
+    )
+    for cache, expected in ((known.limit(0), 21), (known, 20)):
+        misses = tokens.cache_misses(facts, cache, "m")
+        moved = tokens.count_misses(files, misses, "pieces", "m", 5)
+        in_place = tokens.count_in_place(files, misses, "pieces", "m", 5, PackOptions())
+        assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, in_place.collect()))
+        assert moved.count() == expected
+
+
 def test_context_windows(spark):
     sums = spark.createDataFrame([("p", 8192), ("q", None)], "corpus STRING, tokens BIGINT")
     rows = tokens.context_fit(sums).collect()
