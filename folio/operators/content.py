@@ -16,7 +16,7 @@ OPEN_FAILED = "Failed to open file: "
 # Entries that count as processed; those that failed to be read do not.
 COUNTED = "read_status IN ('ok', 'oversize', 'binary', 'symlink')"
 
-_UNREADABLE = "(kind = 'file' AND raw IS NULL)"
+_UNREADABLE = "(kind = 'file' AND open_error IS NOT NULL AND raw IS NULL)"
 
 
 def accepted(files: DataFrame) -> DataFrame:

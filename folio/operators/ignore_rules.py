@@ -58,45 +58,38 @@ def _rule_files(rules: DataFrame) -> DataFrame:
     return rules.groupBy("corpus", "base_dir").agg(F.expr(f"collect_list({rule}) AS rules"))
 
 
-def _governing(dirs: DataFrame, rule_files: DataFrame) -> DataFrame:
-    """Per folder, the rules in force in it, strongest first: custom, deepest, last line.
+def _is_ignored(entry: str, is_dir: bool) -> str:
+    """The strongest rule above the entry that matches it decides; none keeps the entry."""
+    start = "if(r.base_dir = '', 1, length(r.base_dir) + 2)"
+    applies = f"substring({entry}, {start}) RLIKE r.regex"
+    if is_dir:
+        below = f"(r.base_dir = '' OR startswith({entry}, concat(r.base_dir, '/')))"
+        applies = f"{below} AND {applies}"
+    else:
+        applies = f"NOT r.dir_only AND {applies}"
+    return f"coalesce(NOT get(filter(rules, r -> {applies}), 0).negated, false)"
+
 
-    Every folder lists its ancestors and finds their rule files by an equality join. The
-    gathered list is bounded by the lines of the ignore files on one chain of folders.
+def governed_dirs(dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Directories with rules in force: (corpus, dir, rules, dead).
+
+    Every folder lists its ancestors and finds their rule files by an equality join. Rules
+    come strongest first: custom, deepest, last line; the list is bounded by the lines of the
+    ignore files on one chain of folders. A folder is dead when it, or one above it, is
+    excluded, and all rules about those are in its own list.
     """
     above = dirs.selectExpr("corpus", "dir", f"{ancestors_of('dir')} AS base_dir")
     gathered = "sort_array(flatten(collect_list(rules)), false) AS rules"
+    chain = f"transform(sequence(1, {paths.depth_of('dir')}), n -> substring_index(dir, '/', n))"
+    dead = f"dir <> '' AND exists({chain}, e -> {_is_ignored('e', is_dir=True)})"
     return (
-        above.join(rule_files, ["corpus", "base_dir"])
+        above.join(_rule_files(rules), ["corpus", "base_dir"])
         .groupBy("corpus", "dir")
         .agg(F.expr(gathered))
+        .selectExpr("*", f"{dead} AS dead")
     )
 
 
-def _is_ignored(path: str, is_dir: bool) -> str:
-    """The strongest rule that matches decides; none keeps the entry."""
-    start = "if(r.base_dir = '', 1, length(r.base_dir) + 2)"
-    applies = f"substring({path}, {start}) RLIKE r.regex"
-    if not is_dir:
-        applies = f"NOT r.dir_only AND {applies}"
-    return f"coalesce(NOT get(filter(rules, r -> {applies}), 0).negated, false)"
-
-
-def ignored_dirs(dirs: DataFrame, governing: DataFrame) -> DataFrame:
-    """Directories (corpus, dir) that are excluded themselves or lie below one that is."""
-    entries = dirs.where("dir <> ''").selectExpr(
-        "corpus", "dir AS entry", f"{paths.dir_of('dir')} AS dir"
-    )
-    own = (
-        entries.join(governing, ["corpus", "dir"])
-        .where(_is_ignored("entry", is_dir=True))
-        .selectExpr("corpus", "entry AS base_dir")
-    )
-    above = dirs.selectExpr("corpus", "dir", f"{ancestors_of('dir')} AS base_dir")
-    below = above.where("base_dir <> ''").join(own, ["corpus", "base_dir"], "left_semi")
-    return below.select("corpus", "dir").distinct()
-
-
 def ignored_files(files: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Files (corpus, path) that the rules exclude.
 
@@ -104,15 +97,10 @@ def ignored_files(files: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS)
     folder, so no file is multiplied by the number of rules, and the files of a folder that
     holds very many are spread over tasks.
     """
-    dirs = directories(files)
-    governing = _governing(dirs, _rule_files(rules))
-    dead = ignored_dirs(dirs, governing).withColumn("dead", F.lit(True))
-    by_dir = governing.join(dead, ["corpus", "dir"], "full")
     keys = files.selectExpr("corpus", "path", f"{paths.dir_of('path')} AS dir")
     hot = hot_keys(keys, ["corpus", "dir"], hot_rows)
-    met = lookup(keys, by_dir, ["corpus", "dir"], "path", hot)
-    out = f"coalesce(dead, false) OR {_is_ignored('path', is_dir=False)}"
-    return met.where(out).select("corpus", "path")
+    met = lookup(keys, governed_dirs(directories(files), rules), ["corpus", "dir"], "path", hot)
+    return met.where(f"dead OR {_is_ignored('path', is_dir=False)}").select("corpus", "path")
 
 
 def drop_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -20,26 +20,25 @@ SPLITS = 32
 def largest_files(details: DataFrame) -> DataFrame:
     """Top 10 by characters where a corpus has more than 15 files, else all; ties by path.
 
-    At most 15 rows of a corpus can be shown, so every task first keeps its own 15 best per
+    Sixteen rows of a corpus tell everything: which files are shown, and by the sixteenth
+    whether there are more than fifteen. So every task first keeps its own best sixteen per
     corpus, then each of a few splits does, and only those rows meet in one place. A corpus
-    that holds a third of all files therefore never lands in one task; its size comes from
-    a plain count.
+    that holds a third of all files never lands in one task, and the input is read once.
     """
+    needed = SHOW_ALL_UP_TO + 1
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
         by_size = W.partitionBy(*keys).orderBy(F.desc("chars"), "path")
-        ranked = rows.withColumn("rank", F.row_number().over(by_size))
-        return ranked.where(f"rank <= {SHOW_ALL_UP_TO}")
+        return rows.withColumn("rank", F.row_number().over(by_size)).where(f"rank <= {needed}")
 
     split = F.pmod(F.spark_partition_id(), F.lit(SPLITS))
-    top = best(best(details.withColumn("split", split), "corpus", "split"), "corpus")
-    sizes = details.groupBy("corpus").agg(F.expr("count(1) AS corpus_files"))
-    title = f"if(corpus_files > {SHOW_ALL_UP_TO}, '{TITLE_TOP}', '{TITLE_ALL}')"
+    top = best(best(details.withColumn("split", split), "corpus", "split"), "corpus").drop("split")
+    many = (F.max("rank").over(W.partitionBy("corpus")) == needed).alias("many")
     return (
-        top.drop("split")
-        .join(sizes, "corpus")
-        .where(f"corpus_files <= {SHOW_ALL_UP_TO} OR rank <= {TOP_FILES}")
-        .withColumn("title", F.expr(title))
+        top.select("*", many)
+        .where(f"NOT many OR rank <= {TOP_FILES}")
+        .withColumn("title", F.expr(f"if(many, '{TITLE_TOP}', '{TITLE_ALL}')"))
+        .drop("many")
     )
 
 
