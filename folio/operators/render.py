@@ -28,9 +28,8 @@ def _event(section: int, key: str, fragment: str) -> str:
 
 
 def _rows(source: DataFrame, *events: str) -> DataFrame:
-    """Pack rows that one pass over `source` emits; rows without a text are left out."""
-    rows = source.selectExpr("corpus", f"inline(array({', '.join(events)}))")
-    return rows.where("fragment IS NOT NULL")
+    """Pack rows that one pass over `source` emits."""
+    return source.selectExpr("corpus", f"inline(array({', '.join(events)}))")
 
 
 def _leaf_rows(source: DataFrame, section: int, fragment: str) -> DataFrame:
@@ -88,7 +87,11 @@ def txt_fragment(options: PackOptions) -> str:
 
 
 def txt_fragments(contents: DataFrame, options: PackOptions) -> DataFrame:
-    return _leaf_rows(contents, BODY, txt_fragment(options)).where("fragment IS NOT NULL")
+    """Text rows of the leaves that print something, made by a generator and not a filter,
+    which would be moved ahead of the classification and repeat it."""
+    event = _event(BODY, paths.file_key("path"), txt_fragment(options))
+    prints = "true" if options.include_metadata else "kind IN ('text', 'symlink')"
+    return contents.selectExpr("corpus", f"inline(if({prints}, array({event}), array()))")
 
 
 # --- XML --------------------------------------------------------------------------------

@@ -37,10 +37,13 @@ def register_counter(name: str, count: Callable[[pd.Series], pd.Series]) -> None
 
     @F.pandas_udf(T.LongType())
     def counted(texts: pd.Series) -> pd.Series:
+        counts = pd.Series(pd.NA, index=texts.index, dtype="Int64")
+        present = texts[texts.notna()]
         try:
-            return count(texts)
+            counts[present.index] = list(count(present)) if len(present) else []
         except Exception:
-            return pd.Series([_count_one(count, text) for text in texts], dtype="Int64")
+            counts[present.index] = [_count_one(count, text) for text in present]
+        return counts
 
     _counters[name] = counted
 
@@ -135,9 +138,10 @@ def cache_misses(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
     it, and the contents themselves stay out of the shuffle.
     """
     distinct = (
-        keys.where("hash IS NOT NULL")
-        .groupBy("hash")
-        .agg(F.expr(f"min({FILE_ID}) AS file_id"))
+        keys.groupBy("hash")
+        .agg(F.expr(f"min({FILE_ID}) AS file_id"), F.expr("count(hash) AS n"))
+        .where("n > 0")
+        .select("hash", "file_id")
     )
     known = cache.where(F.col("model") == model_id).select("hash")
     return distinct.join(known, "hash", "left_anti")
@@ -175,15 +179,20 @@ def count_in_place(
     misses is one number per content.
     """
     contents = with_content(classify(accepted(files), options), options)
-    counted = _counted(contents.where("read_status = 'ok'"), counter_name)
+    readable = contents.selectExpr("if(read_status = 'ok', content, NULL) AS content")
+    counted = _counted(readable, counter_name)
     distinct = counted.groupBy("hash").agg(F.max("tokens").alias("tokens"))
     return _entries(distinct.join(misses.select("hash"), "hash", "left_semi"), model_id, now_s)
 
 
 def _counted(contents: DataFrame, counter_name: str) -> DataFrame:
-    """(hash, tokens) of texts. Batches that go to Python are bounded in bytes by Spark."""
+    """(hash, tokens) of texts. Batches that go to Python are bounded in bytes by Spark.
+
+    A missing text has the hash '', which no text has. So the column is never NULL, and Spark
+    does not hash everything once more to test for it ahead of a join.
+    """
     return contents.select(
-        F.expr(txt.content_hash("content")).alias("hash"),
+        F.expr(f"coalesce({txt.content_hash('content')}, '')").alias("hash"),
         counter(counter_name)("content").alias("tokens"),
     )
 
@@ -198,13 +207,15 @@ def _entries(counted: DataFrame, model_id: str, now_s: int) -> DataFrame:
 
 
 # Every copy of a known content hits; of an unknown one all but the first do.
+#
+# Below, files without a hash are left out after grouping, by their count. A filter on the
+# hash itself would be moved into the scan, where every content would be hashed twice.
 _HITS = "sum(if(coalesce(cached, false), n, greatest(n - 1, 0))) AS hits"
 
 
 def _copies(keys: DataFrame) -> DataFrame:
     """How often each content occurs in a corpus; a hot content is one row per corpus."""
-    readable = keys.where("hash IS NOT NULL")
-    return readable.groupBy("corpus", "hash").agg(F.expr("count(1) AS n"))
+    return keys.groupBy("corpus", "hash").agg(F.expr("count(hash) AS n")).where("n > 0")
 
 
 def cache_hit_rate(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:

@@ -29,12 +29,16 @@ def token_total(with_tokens: DataFrame) -> DataFrame:
 
 
 def file_details(measured: DataFrame) -> DataFrame:
-    """One row per reported path; of several writes the last one stays."""
-    last = "max(struct(modified, size, lines, chars, hash)) AS last"
+    """One row per reported path; of several writes the last one stays.
+
+    As in the totals, what does not count is left out by a condition and after grouping, so
+    that contents are not classified twice.
+    """
+    last = f"max(if({COUNTED}, struct(modified, size, lines, chars, hash), NULL)) AS last"
     return (
-        measured.where(COUNTED)
-        .groupBy("corpus", "path")
+        measured.groupBy("corpus", "path")
         .agg(F.expr(last))
+        .where("last IS NOT NULL")
         .selectExpr(
             "corpus",
             "path",

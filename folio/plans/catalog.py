@@ -62,8 +62,7 @@ def _measured(spark, folder, options=BOUNDED):
 
 
 def _keys(spark, folder):
-    measured = _measured(spark, folder)
-    return measured.where("hash IS NOT NULL").select("corpus", "path", "hash")
+    return _measured(spark, folder).select("corpus", "path", "hash")
 
 
 def _live_cache(spark, folder):
@@ -386,7 +385,7 @@ def count_missing_tokens(spark, folder):
 @query
 def cache_lookup(spark, folder):
     """Per file. The keys are written first, so that finding hot contents reads no contents."""
-    keys = staged(_keys(spark, folder), "keys")
+    keys = staged(_keys(spark, folder), "keys").where("hash IS NOT NULL")
     hot = hot_keys(keys, "hash")
     return tokens.cache_lookup(keys, _live_cache(spark, folder), given.MODEL, hot)
 

@@ -38,7 +38,10 @@ def ordered(
     in_order = spread.sortWithinPartitions(*ORDER).withColumnRenamed("fragment", "framed")
     printed = content.with_content(content.classify(in_order, options), options)
     fragment = f"coalesce(framed, {render.leaf(options)}) AS fragment"
-    return printed.selectExpr(*ORDER, fragment).where("fragment IS NOT NULL")
+    # Spark moves no filter past a column that depends on the task. Without it, the test for
+    # leaves that print nothing would be evaluated ahead of the shuffle, by printing them.
+    placed = printed.selectExpr(*ORDER, fragment, "spark_partition_id() AS part")
+    return placed.where("part >= 0 AND fragment IS NOT NULL").select(*ORDER, "fragment")
 
 
 def write_pack(
