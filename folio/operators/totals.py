@@ -23,11 +23,6 @@ def corpus_totals(measured: DataFrame) -> DataFrame:
     )
 
 
-def token_total(with_tokens: DataFrame) -> DataFrame:
-    """Sum of the counts that succeeded, NULL when none did."""
-    return with_tokens.groupBy("corpus").agg(F.sum("tokens").alias("tokens"))
-
-
 def file_details(measured: DataFrame) -> DataFrame:
     """One row per reported path; of several writes the last one stays.
 

@@ -79,8 +79,10 @@ def _lister(record_symlinks: bool):
                             if len(rows) >= BATCH_ROWS:
                                 yield pd.DataFrame(rows, columns=_COLUMNS)
                                 rows = []
-                except OSError:
-                    continue
+                except OSError as problem:
+                    if not folder:
+                        message = f"Target directory not found: {root}"
+                        raise FileNotFoundError(message) from problem
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return list_folders

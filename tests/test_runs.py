@@ -54,6 +54,11 @@ def test_scan_of_a_tree(spark, base_tree):
     assert moment.selectExpr("unix_micros(modified) AS m").first().m == 1_700_000_000_123_456
 
 
+def test_a_missing_root_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="Target directory not found"):
+        scan_tree(spark, str(tmp_path / "nowhere"), PLAIN).count()
+
+
 def test_links_and_other_entries(spark, base_tree):
     (base_tree / "loop").symlink_to(base_tree)
     (base_tree / "broken").symlink_to("nowhere")
@@ -220,6 +225,26 @@ def test_packs_of_skewed_corpora_parse_and_hold_every_file(files_table, spark):
     assert seen == {key: raw.decode().replace("\x01", "�") for key, raw in entries.items()}
 
 
+def test_text_pack_over_several_parts_keeps_its_order(files_table, spark):
+    rng = random.Random(9)
+    entries = {}
+    for number in range(900):
+        folders = [rng.choice(["a", "a-b", "ab", "z"]) for _ in range(rng.randint(0, 3))]
+        raw = b"\x00\x01" if number % 5 == 0 else b"text %d" % number
+        entries[("hot" if number % 3 else "cold", "/".join([*folders, f"f{number:03d}"]))] = raw
+    out = new_path(spark, "packs")
+    run(files_table(entries), PLAIN, out, partitions=7)
+    for corpus in ("hot", "cold"):
+        text, parts = pack_text(out, corpus)
+        lines = text.split("\n")
+        shown = [lines[i + 1] for i in range(len(lines) - 2) if lines[i] == lines[i + 2] == "=" * 48]
+        wanted = [path for (c, path), raw in entries.items() if c == corpus and raw[0]]
+        wanted.sort(key=lambda p: [(0, part) for part in p.split("/")[:-1]] + [(1, p.split("/")[-1])])
+        assert shown == [f"{corpus}/{path}" for path in wanted]
+        assert (lines[0], lines[-2]) == (f'<codebase name="{corpus}">', "</codebase>")
+    assert parts >= 1 and pack_text(out, "hot")[1] > 2
+
+
 def test_parts_grow_with_the_data():
     assert packs.parts_for(0, 4) == 4
     assert packs.parts_for(100 * 2**40, 4) == 409_600
@@ -312,6 +337,34 @@ def test_reports_do_not_shuffle_contents(stored):
                 assert "raw#" not in line and "content#" not in line
 
 
+def test_contents_are_hashed_and_classified_once(stored):
+    from folio.operators import largest, totals
+
+    spark = stored.sparkSession
+    facts = content.measured(stored, PLAIN)
+    empty = spark.createDataFrame([], tokens.CACHE_SCHEMA)
+    misses = tokens.cache_misses(facts, empty, "m")
+    for df in (
+        misses,
+        tokens.cache_hit_rate(facts, empty, "m"),
+        tokens.corpus_summary(facts, empty, None, "m"),
+        totals.corpus_totals(facts),
+        largest.largest_files(totals.file_details(facts)),
+        tokens.count_in_place(stored, staged(misses), "pieces", "m", 1, PLAIN),
+    ):
+        plan = plan_of(df)
+        assert plan.count("sha2(") <= 1
+        assert plan.count("x0E-") == 1
+
+
+def test_packs_are_printed_behind_the_shuffle(stored):
+    for options in (PLAIN, XML):
+        frame = render.txt_frame(stored.select("corpus").distinct(), options)
+        plan = plan_of(packs.ordered(stored, frame, options))
+        behind, ahead = plan.split("rangepartitioning", 1)
+        assert "x0E-" in behind and "x0E-" not in ahead
+
+
 def test_paths_are_filtered_and_counted_without_contents(stored):
     from folio.operators.filters import count_files
 
