@@ -42,8 +42,8 @@ def select(files: DataFrame, options: PackOptions, rules: DataFrame | None = Non
 
 def count_tokens(
     measured: DataFrame, files: DataFrame, cache: DataFrame, options: PackOptions
-) -> tuple[DataFrame, DataFrame]:
-    """(new cache, entries counted now).
+) -> DataFrame:
+    """Entries counted in this run, to be added to the cache.
 
     One file per missing content is counted. When that is most of the files anyway, all of
     them are counted where they are read, which spares moving their contents.
@@ -55,8 +55,7 @@ def count_tokens(
         fresh = tokens.count_in_place(files, misses, *how, options)
     else:
         fresh = tokens.count_misses(files, misses, *how)
-    fresh = staged(fresh, "fresh")
-    return tokens.cache_upsert(live, fresh), fresh
+    return staged(fresh, "fresh")
 
 
 def run(
@@ -86,10 +85,15 @@ def run(
         known = cache if cache is not None else files.sparkSession.createDataFrame(
             [], tokens.CACHE_SCHEMA
         )
-        counted, fresh = count_tokens(measured, packable, known, options)
+        fresh = count_tokens(measured, packable, known, options)
         live = tokens.cache_expire(known, options.now_s)
+        counted = live.unionByName(fresh)
         base = tokens.corpus_summary(measured, live, fresh, options.model_id)
-        shown = tokens.cache_lookup(largest.largest_files(details), counted, options.model_id)
+        # The shown files are few, so the cache is cut to their hashes before it is grouped.
+        top = staged(largest.largest_files(details), "top")
+        wanted = top.select("hash").distinct()
+        entries = counted.join(wanted, "hash", "left_semi")
+        shown = tokens.cache_lookup(top, entries, options.model_id)
     else:
         base = totals.corpus_totals(measured).withColumns(
             {c: no_count for c in ("tokens", "hits", "lookups")}

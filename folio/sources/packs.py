@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.functions import paths
+from folio.functions import paths, quoted
 from folio.operators import content, render
 from folio.options import PackOptions
 
@@ -57,5 +57,6 @@ def write_pack(
 
 def read_pack(spark: SparkSession, path: str, corpus: str) -> DataFrame:
     """Lines of one pack with the part they are in."""
-    lines = spark.read.text(f"{path}/corpus={corpus}")
-    return lines.selectExpr("_metadata.file_name AS part", "value")
+    lines = spark.read.schema("value STRING, corpus STRING").text(path)
+    of_corpus = lines.where(f"corpus = {quoted(corpus)}")
+    return of_corpus.selectExpr("_metadata.file_name AS part", "value")
