@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, language, lines, near_dedup, packing, pages, quality, winnowing
+from folio.llm import bpe, chat, language, lines, near_dedup, packing, pages, quality, search, winnowing
 from folio.llm.common import crc_of_id
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,12 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(packing.pack(table(spark, folder, "documents"), BYTE_BPE))
 
 
+def op4_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return search.search(search.build(docs), asked)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(crc_of_id("doc_id") % 5 == 0, F.lit(False))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
     "op3_packing": op3_packing,
+    "op4_search": op4_search,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_winnowing": op7_winnowing,
