@@ -1,9 +1,11 @@
 """Byte-level BPE over whole corpora by a distinct-word table.
 
-Texts are split into units whose encodings do not depend on their neighbours. Documents are dealt to blocks; each block
-names its distinct units once, units meet by hash, each is encoded once, and the ids go back to the blocks that asked.
-There every text is the concatenation of its units' ids, in order of position. So what is shuffled is the texts once and
-one row per (block, distinct unit), never one row per occurrence, and a unit that occurs everywhere is one row per block.
+Texts are split into units whose encodings do not depend on their neighbours. Documents travel once, packed and compressed
+by the task that reads them, to blocks of bounded size. A block lists its distinct units, sorted, one packed list per part
+of the unit hashes; in each part every unit is encoded once, whatever number of blocks has it, and each block gets the ids
+of its list in the same order. There every text is the concatenation of its units' ids, in order of position. So the
+shuffles hold the texts once and one entry per (block, distinct unit), never one per occurrence, and a unit that occurs
+everywhere is one entry per block.
 
 Ids are binary: little-endian unsigned 32-bit integers. Null and empty texts have no ids. Special tokens that are spelled
 out in a text become their ids, as the tokenizers library does. Repeated rows stay rows; other columns are carried along,
@@ -14,12 +16,16 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +34,9 @@ from folio.llm.common import parts_for, text_bytes
 
 #: Bytes of text that share one list of distinct units; bounds the memory of a task.
 BLOCK_BYTES = 40_000_000
+#: Bytes of text for each part of the unit hashes, and in each packed batch of documents.
+PART_BYTES = 10_000_000
+BATCH_BYTES = 1_000_000
 #: The code points that the byte-level splitter takes as white space.
 TOKENIZER_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{TOKENIZER_SPACE}]*[^{TOKENIZER_SPACE}]+|[{TOKENIZER_SPACE}]+")
@@ -35,7 +44,6 @@ UNIT = re.compile(f"[{TOKENIZER_SPACE}]*[^{TOKENIZER_SPACE}]+|[{TOKENIZER_SPACE}
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|\0")
 #: Units of code points below this are split alike by both engines.
 MAX_FAST = "\u0250"
-BLOCK = "__block"
 
 
 @cache
@@ -113,51 +121,100 @@ def encode_units(names: list[str], path: str) -> list[bytes]:
     return found
 
 
-def _distinct_units(column: str, path: str):
-    schema = pa.schema([(BLOCK, pa.int32()), ("unit", pa.string())])
+def packed_strings(values: list[str]) -> bytes:
+    """Strings as their lengths and one run of bytes, compressed."""
+    return packed_bytes([v.encode() for v in values])
 
-    def rows(block: int, names: set[str]) -> Iterator[pa.RecordBatch]:
-        names = list(names)
-        for k in range(0, len(names), 100_000):
-            part = names[k : k + 100_000]
-            yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], schema=schema)
+
+def packed_bytes(raw: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 3)
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<u4"), dtype=np.int64) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _packed_documents(column: str, blocks: int):
+    """Batches of whole rows as compressed Arrow streams, each dealt to a block by its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for block, text in zip(batch.column(BLOCK).to_pylist(), batch.column(column)):
-                seen.setdefault(block, set()).update(units(text.as_py() or "", path))
-            if sum(map(len, seen.values())) > 1_500_000:
-                for block, names in seen.items():
-                    yield from rows(block, names)
-                seen = {}
-        for block, names in seen.items():
-            yield from rows(block, names)
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if last > first:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                        writer.write_batch(pa.record_batch(batch.slice(first, last - first).columns, schema=batch.schema))
+                    raw = sink.getvalue().to_pybytes()
+                    block = pa.array([xxhash.xxh3_64_intdigest(raw) % blocks], pa.int32())
+                    yield pa.record_batch([block, pa.array([raw], pa.binary())], names=["block", "rows"])
 
     return run
 
 
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
+def _opened(packs: pa.Table) -> Iterator[pa.Table]:
+    for raw in packs.column("rows"):
+        yield pa.ipc.open_stream(raw.as_buffer()).read_all()
+
+
+def _lists(packs: pa.Table, column: str, parts: int, path: str) -> list[tuple[int, list[str]]]:
+    """The distinct units of a block by part, sorted."""
+    seen: set[str] = set()
+    for rows in _opened(packs):
+        for value in rows.column(column):
+            seen.update(units(value.as_py() or "", path))
+    by_part: dict[int, list[str]] = {}
+    for name in seen:
+        by_part.setdefault(zlib.crc32(name.encode()) % parts, []).append(name)
+    return [(part, sorted(names)) for part, names in sorted(by_part.items())]
+
+
+def _asked(column: str, parts: int, path: str):
+    def run(key: tuple, packs: pa.Table) -> pa.Table:
+        lists = _lists(packs, column, parts, path)
+        return pa.table(
+            {
+                "block": pa.array([key[0].as_py()] * len(lists), pa.int32()),
+                "part": pa.array([p for p, _ in lists], pa.int32()),
+                "units": pa.array([packed_strings(names) for _, names in lists], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _answered(path: str):
+    """Each unit of a part encoded once; every block's list answered in its order."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            names = batch.column("unit").to_pylist()
-            new = [n for n in dict.fromkeys(names) if n not in known]
-            known.update(zip(new, encode_units(new, path)))
-            ids = pa.array([known[n] for n in names], pa.binary())
-            yield pa.record_batch([batch.column(BLOCK), batch.column("unit"), ids], names=[BLOCK, "unit", "ids"])
+            for k in range(batch.num_rows):
+                names = unpacked(batch.column("units")[k].as_py())
+                new = [n for n in names if n not in known]
+                known.update(zip(new, encode_units([n.decode() for n in new], path)))
+                ids = pa.array([packed_bytes([known[n] for n in names])], pa.binary())
+                yield pa.record_batch([batch.column("block").slice(k, 1), batch.column("part").slice(k, 1), ids], names=["block", "part", "ids"])
 
     return run
 
 
-def _joined(column: str, out: str, path: str, fields: list[str]):
-    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+def _joined(column: str, out: str, parts: int, path: str):
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist()))
         known: dict[str, bytes] = {}
-        for batch in table.to_batches():
-            known.update(zip(batch.column("unit").to_pylist(), batch.column("ids").to_pylist()))
-        found = [b"".join(map(known.__getitem__, units(t.as_py() or "", path))) for t in docs.column(column)]
-        kept = [docs.column(f) for f in fields]
-        return pa.table([*kept, pa.array(found, pa.binary())], names=[*fields, out])
+        for part, names in _lists(packs, column, parts, path):
+            known.update(zip(names, unpacked(ids[part])))
+        done = []
+        for rows in _opened(packs):
+            found = [b"".join(map(known.__getitem__, units(t.as_py() or "", path))) for t in rows.column(column)]
+            done.append(rows.append_column(out, pa.array(found, pa.binary())))
+        return pa.concat_tables(done)
 
     return run
 
@@ -167,14 +224,13 @@ def encode(
 ) -> DataFrame:
     """`docs` with the binary column `out`: the ids of each whole text."""
     docs = docs.drop(out)
-    fields = docs.columns
-    blocks = parts_for(text_bytes(docs, text), block_bytes)
-    key = F.pmod(F.xxhash64(*[c for c in fields if not isinstance(docs.schema[c].dataType, T.MapType)]), F.lit(blocks))
-    dealt = docs.withColumn(BLOCK, key.cast("int")).repartition(blocks, BLOCK)
-    asked = dealt.mapInArrow(_distinct_units(text, path), f"{BLOCK} int, unit string")
-    table = asked.repartition("unit").mapInArrow(_encoded(path), f"{BLOCK} int, unit string, ids binary")
+    size = text_bytes(docs, text)
+    blocks, parts = parts_for(size, block_bytes), parts_for(size, min(PART_BYTES, block_bytes))
+    packs = docs.mapInArrow(_packed_documents(text, blocks), "block int, rows binary").repartition(blocks, "block")
+    asked = packs.groupBy("block").applyInArrow(_asked(text, parts, path), "block int, part int, units binary")
+    answers = asked.groupBy("part").applyInArrow(_answered(path), "block int, part int, ids binary")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
-    return dealt.groupBy(BLOCK).cogroup(table.groupBy(BLOCK)).applyInArrow(_joined(text, out, path, fields), schema)
+    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined(text, out, parts, path), schema)
 
 
 @cache
