@@ -2,9 +2,10 @@
 
 A text's set is that of its distinct shingles of `words` consecutive words (a shorter text is one shingle; a text without
 words has an empty set and is linked with nothing). Texts with equal sets form a class, represented by its smallest
-doc_id; all further work is on classes. A class has `SAMPLES` MinHash samples: cut into bands they name the buckets in
-which similar classes meet, and folded into a parity bitmap they give the odd sketch, whose XOR with another counts, by
-its set bits, how many samples differ.
+doc_id; all further work is on classes. A class has `SAMPLES` MinHash samples, which cut into bands name the buckets in
+which similar classes meet, and one more sample for each of `BINS` parts of the hash range (one-permutation MinHash).
+These are folded into a parity bitmap, the odd sketch: the set bits of its XOR with another tell how many samples differ,
+and with the bitmap of the parts that have a sample, how similar the sets are. Small sets are sampled nearly whole.
 
 1. In each bucket every class is paired with the smallest one. Pairs that the sketches put far below the threshold go;
    the rest are confirmed on the full sets. Confirmed links make first components.
@@ -32,9 +33,10 @@ SHINGLE = 5
 PERCENT = 80
 SAMPLES = 128
 BAND = 4
-SKETCH_BITS = 1024
-#: Pairs whose estimate is lower are not confirmed: six deviations below the threshold of 0.8.
-LEAST_ESTIMATE = 0.55
+BINS = 1024
+SKETCH_BITS = 4096
+#: Pairs whose estimate lies further below the threshold are not confirmed: four deviations.
+SLACK = 0.055
 #: Members of a bucket, or partners of a class, that one task compares at once.
 BLOCK = 2_000
 PARTNERS = 256
@@ -93,12 +95,15 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def odd_sketches(found: np.ndarray) -> np.ndarray:
-    """Parity bitmaps: each sample, with its number, flips one of SKETCH_BITS bits; as 64-bit words."""
-    at = mixed(found + _A[None, :]) % np.uint64(SKETCH_BITS)
-    flat = at.astype(np.int64) + SKETCH_BITS * np.arange(len(found))[:, None]
-    parity = np.bincount(flat.ravel(), minlength=SKETCH_BITS * len(found)) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(len(found), SKETCH_BITS), axis=1, bitorder="little").view(np.int64)
+def odd_sketch(values: np.ndarray) -> list[int]:
+    """Parity bitmap of the samples, then the bitmap of the bins that have one; as 64-bit words."""
+    hashes = np.sort(mixed(values * _A[0] + _B[0]))
+    bins, first = np.unique(hashes >> np.uint64(54), return_index=True)
+    at = mixed(hashes[first] + _B[1]) % np.uint64(SKETCH_BITS)
+    bits = np.zeros(SKETCH_BITS + BINS, np.uint8)
+    bits[:SKETCH_BITS] = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits[SKETCH_BITS + bins.astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -118,7 +123,7 @@ def _described(words: int, kind: pa.DataType):
             found = samples([sets[k] for k in full]) if full else np.zeros((0, SAMPLES), np.uint64)
             names: list = [None] * len(sets)
             marks: list = [None] * len(sets)
-            for k, b, o in zip(full, bands(found).tolist(), odd_sketches(found).tolist()):
+            for k, b, o in zip(full, bands(found).tolist(), [odd_sketch(sets[k]) for k in full]):
                 names[k], marks[k] = b, o
             yield pa.record_batch(
                 [
@@ -143,13 +148,29 @@ def described(docs: DataFrame, words: int = SHINGLE, doc_id: str = "doc_id", tex
     return docs.select(doc_id, text).mapInArrow(_described(words, to_arrow_type(kind)), schema)
 
 
-def estimate(differing: str) -> str:
-    """Similarity from the number of set bits in the XOR of two odd sketches."""
-    room = f"greatest(1e-9, 1 - 2.0 * ({differing}) / {SKETCH_BITS})"
-    return f"1 + {SKETCH_BITS / (4 * SAMPLES)} * ln({room})"
+WORDS = SKETCH_BITS // 64
 
 
-_DIFFERING = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+def _bits(array: str) -> str:
+    return f"aggregate({array}, 0, (s, x) -> s + bit_count(x))"
+
+
+def estimate(a: str, b: str) -> str:
+    """SQL: similarity from two odd sketches."""
+    differing = _bits(f"zip_with(slice({a}, 1, {WORDS}), slice({b}, 1, {WORDS}), (x, y) -> x ^ y)")
+    tail_a, tail_b = (f"slice({s}, {WORDS + 1}, {BINS // 64})" for s in (a, b))
+    used = _bits(f"zip_with({tail_a}, {tail_b}, (x, y) -> x | y)")
+    samples_ = f"{-SKETCH_BITS / 2} * ln(greatest(1e-9, 1 - 2.0 * {differing} / {SKETCH_BITS}))"
+    return f"({_bits(tail_a)} + {_bits(tail_b)} - {samples_}) / (2.0 * {used})"
+
+
+def estimates(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The same for many sketches against one."""
+    differing = np.bitwise_count(marks[:, :WORDS] ^ one[:WORDS]).sum(1)
+    used = np.bitwise_count(marks[:, WORDS:] | one[WORDS:]).sum(1)
+    own = np.bitwise_count(marks[:, WORDS:]).sum(1) + int(np.bitwise_count(one[WORDS:]).sum())
+    gone = -SKETCH_BITS / 2 * np.log(np.maximum(1e-9, 1 - 2.0 * differing / SKETCH_BITS))
+    return (own - gone) / (2.0 * used)
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +179,7 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = own.toDF("a", "n_a", "sketch_a")
     right = own.toDF("b", "n_b", "sketch_b")
     sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.where(f"{estimate(_DIFFERING)} >= {LEAST_ESTIMATE}").select("a", "b")
+    return sized.where(f"{estimate('sketch_a', 'sketch_b')} >= {percent / 100 - SLACK}").select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -189,13 +210,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def across(held: DataFrame, percent: int, kind: str) -> DataFrame:
     """Pairs across components within a bucket that sizes and sketches let pass; held: bucket, rep, component, n_shingles,
-    sketch, least (the bucket's smallest class, which was compared with all others before), members."""
+    sketch, bands, least (the bucket's smallest class, which was compared with all others before), members.
+
+    Two classes that share several buckets are a pair of the first of these only."""
     blocks = held.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = blocks.select("*", other.alias("other")).select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "rep", "component", "n_shingles", "sketch", "least",
+        "block", "rep", "component", "n_shingles", "sketch", "bands", "least",
     )
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -207,8 +230,8 @@ def across(held: DataFrame, percent: int, kind: str) -> DataFrame:
         first = np.array([r == s for r, s in zip(reps, rows.column("least").to_pylist())])
         flat = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64)
         marks = flat.reshape(len(reps), -1)
-        # The largest count of differing bits that the estimate lets pass.
-        most = SKETCH_BITS / 2 * (1 - np.exp((LEAST_ESTIMATE - 1) * 4 * SAMPLES / SKETCH_BITS))
+        names = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+        bucket = key[0].as_py()
         a, b = [], []
         for k in np.flatnonzero((block == low) & ~first).tolist():
             may = (block == high) & (comp != comp[k]) & ~first
@@ -217,7 +240,9 @@ def across(held: DataFrame, percent: int, kind: str) -> DataFrame:
             may &= 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
             at = np.flatnonzero(may)
             if len(at):
-                at = at[np.bitwise_count(marks[at] ^ marks[k]).sum(1) <= most]
+                shared = names[at] == names[k]
+                at = at[shared.argmax(1) == np.argmax(names[k] == bucket)]
+                at = at[estimates(marks[at], marks[k]) >= percent / 100 - SLACK]
                 for j in at.tolist():
                     low_high = sorted((reps[k], reps[j]))
                     a.append(low_high[1])
@@ -259,7 +284,7 @@ def link(
     found = F.coalesce("component", "rep").alias("component")
     members = held.join(first.withColumnRenamed("vertex", "rep"), "rep", "left").select("bucket", "rep", "least", "members", found)
     split = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = members.join(split.select("bucket"), "bucket").join(classes.select("rep", "n_shingles", "sketch").distinct(), "rep")
+    open_ = members.join(split.select("bucket"), "bucket").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
     more = staged(across(open_, percent, kind), "across")
     found_too = staged(confirmed(more, plain, words, percent), "links")
     final = components(first.toDF("u", "v").unionAll(found_too.toDF("u", "v")))
