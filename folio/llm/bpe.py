@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from folio.llm.common import parts_for, text_bytes
 
 #: Bytes of text that share one list of distinct units; bounds the memory of a task.
-BLOCK_BYTES = 40_000_000
+BLOCK_BYTES = 20_000_000
 #: Bytes of text for each part of the unit hashes, and in each packed batch of documents.
 PART_BYTES = 10_000_000
 BATCH_BYTES = 1_000_000
