@@ -188,12 +188,11 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     # Copies of a page say nothing about a template: each different page of a host counts once.
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
     schema = "host string, page long, path string, text long, n int, chars long, link_chars long"
-    tokens = rows.mapInPandas(_tokens, schema).distinct()
+    tokens = staged(rows.mapInPandas(_tokens, schema).distinct(), "page-tokens")
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     seen = tokens.groupBy("host", "path", "text").agg(
         vector, F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
     )
-    seen = staged(seen, "page-tokens")
     total = tokens.groupBy("host").agg(F.count_distinct("page").alias("all_pages"))
     classes = seen.groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.max("pages").alias("support"))
     valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("support") >= LEAST_PAGES))
