@@ -113,11 +113,26 @@ def parse_ignore_line(line: str) -> tuple[str, bool, bool] | None:
     return ("" if anchored else "(?:.*/)?") + body, negated, dir_only
 
 
+def _compiles(regex: str) -> bool:
+    try:
+        re.compile(regex)
+    except re.error:
+        return False
+    return True
+
+
+def bad_ignore_lines(text: str) -> list[int]:
+    """Numbers of the lines that compile_ignore_text skips because they are no valid pattern."""
+    lines = enumerate(text.split("\n"), start=1)
+    return [n for n, line in lines if (parsed := parse_ignore_line(line)) and not _compiles(parsed[0])]
+
+
 def compile_ignore_text(text: str) -> list[IgnoreRule]:
     """Rules of one ignore file.
 
     Neighbouring lines of the same kind cannot override each other, so each such run
-    becomes one alternation; only the order between runs matters.
+    becomes one alternation; only the order between runs matters. A line that is no valid
+    pattern, such as one with an open brace or a reversed range, is skipped; see bad_ignore_lines.
     """
     runs: list[tuple[int, bool, bool, list[str]]] = []
     for number, line in enumerate(text.split("\n"), start=1):
@@ -125,6 +140,8 @@ def compile_ignore_text(text: str) -> list[IgnoreRule]:
         if parsed is None:
             continue
         regex, negated, dir_only = parsed
+        if not _compiles(regex):
+            continue
         if runs and runs[-1][1:3] == (negated, dir_only):
             runs[-1][3].append(regex)
         else:

@@ -31,7 +31,7 @@ _COMPILED = T.ArrayType(
 
 @F.pandas_udf(_COMPILED)
 def _compile(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: [rule._asdict() for rule in compile_ignore_text(text)])
+    return texts.map(lambda text: [rule._asdict() for rule in compile_ignore_text(text)] if text else [])
 
 
 def rules_from(ignore_files: DataFrame, custom: bool = False) -> DataFrame:

@@ -148,41 +148,21 @@ def cache_misses(keys: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
 
 
 def count_misses(
-    files: DataFrame, misses: DataFrame, counter_name: str, model_id: str, now_s: int
+    files: DataFrame, misses: DataFrame, counter_name: str, model_id: str, now_s: int, options: PackOptions
 ) -> DataFrame:
-    """Cache entries for the missing contents: one file per content is read and counted.
+    """Cache entries for the missing contents.
 
-    `files` is the files table the misses were found in. The join key names single files, so
-    no key is hot even where one content fills a third of the table. Failed counts are left
-    out. Where the misses are few, Spark sends them to the files; see `count_in_place` for
-    the case that they are most of the files.
+    `files` is the files table the misses were found in. File ids only narrow down what is read: several files may
+    share one, by a repeated path or by chance. What is stored is decided by the hash of what was read, with the test
+    of readability that found the misses. Where the misses are few, Spark sends them to the files. Failed counts are
+    left out.
     """
-    wanted = misses.select("file_id")
-    one_each = (
-        files.selectExpr(f"{FILE_ID} AS file_id", "cast(raw AS STRING) AS content")
-        .join(wanted, "file_id", "left_semi")
-    )
-    return _entries(_counted(one_each, counter_name), model_id, now_s)
-
-
-def count_in_place(
-    files: DataFrame,
-    misses: DataFrame,
-    counter_name: str,
-    model_id: str,
-    now_s: int,
-    options: PackOptions,
-) -> DataFrame:
-    """The same entries, found by counting every readable file where it is read.
-
-    Copies are counted more than once, but no content is moved: what is joined with the
-    misses is one number per content.
-    """
-    contents = with_content(classify(accepted(files), options), options)
+    narrowed = files.join(misses.select("file_id").distinct(), F.expr(FILE_ID) == F.col("file_id"), "left_semi")
+    contents = with_content(classify(accepted(narrowed), options), options)
     readable = contents.selectExpr("if(read_status = 'ok', content, NULL) AS content")
-    counted = _counted(readable, counter_name)
-    distinct = counted.groupBy("hash").agg(F.max("tokens").alias("tokens"))
-    return _entries(distinct.join(misses.select("hash"), "hash", "left_semi"), model_id, now_s)
+    counted = _counted(readable, counter_name).groupBy("hash").agg(F.max("tokens").alias("tokens"))
+    wanted = counted.join(misses.select("hash"), "hash", "left_semi").where("tokens IS NOT NULL")
+    return wanted.selectExpr("hash", f"{quoted(model_id)} AS model", "tokens", f"{now_s}L AS ts")
 
 
 def _counted(contents: DataFrame, counter_name: str) -> DataFrame:
@@ -197,15 +177,6 @@ def _counted(contents: DataFrame, counter_name: str) -> DataFrame:
     )
 
 
-def _entries(counted: DataFrame, model_id: str, now_s: int) -> DataFrame:
-    return (
-        counted.groupBy("hash")
-        .agg(F.max("tokens").alias("tokens"))
-        .where("tokens IS NOT NULL")
-        .selectExpr("hash", f"{quoted(model_id)} AS model", "tokens", f"{now_s}L AS ts")
-    )
-
-
 # Every copy of a known content hits; of an unknown one all but the first do.
 #
 # Below, files without a hash are left out after grouping, by their count. A filter on the
@@ -249,7 +220,9 @@ def corpus_summary(
     entries = entries_of(cache, model_id).selectExpr("hash", "tokens", "true AS cached")
     if fresh is not None:
         counted_now = fresh.selectExpr("hash", "tokens", "false AS cached")
-        entries = entries.unionByName(counted_now)
+        # One entry per content; a cached one comes before one that was counted now.
+        both = entries.unionByName(counted_now).groupBy("hash").agg(F.expr("max(struct(cached, tokens)) AS e"))
+        entries = both.select("hash", "e.tokens", "e.cached")
     per_content = measured.groupBy("corpus", "hash").agg(
         F.expr(f"count_if({COUNTED}) AS files"),
         F.expr("sum(if(read_status = 'ok', lines, 0)) AS lines"),

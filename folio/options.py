@@ -8,6 +8,8 @@ from dataclasses import dataclass
 INLINE_LIMIT_BYTES = 1_048_576
 TEXT_LIMIT_BYTES = 8_000_000
 SAMPLE_BYTES = 8192
+# Above any size: texts are read whole unless a run asks for the limits above.
+NO_LIMIT = 2**62
 CACHE_TTL_SECONDS = 7 * 24 * 60 * 60
 DISPLAY_PATH_BYTES = 60
 TOP_FILES = 10
@@ -73,8 +75,8 @@ class PackOptions:
     custom_ignore_name: str | None = None
     record_symlinks: bool = False
     include_metadata: bool = False
-    inline_limit: int = INLINE_LIMIT_BYTES
-    text_limit: int = TEXT_LIMIT_BYTES
+    inline_limit: int = NO_LIMIT
+    text_limit: int = NO_LIMIT
     sample_bytes: int = SAMPLE_BYTES
     trim_partial_char: bool = False
     model_id: str | None = None

@@ -22,7 +22,7 @@ from folio.operators import (
 )
 from folio.operators.console import console_report, duration_text
 from folio.operators.skew import hot_keys
-from folio.options import PackOptions
+from folio.options import TEXT_LIMIT_BYTES, PackOptions
 from folio.plans import driver_tables as given
 from folio.plans import pack_run
 from folio.plans.scratch import new_path, staged
@@ -31,9 +31,10 @@ from folio.sources.tree import scan_trees
 from folio.streaming.incremental import incremental_tokens
 
 NAMES_ONLY = PackOptions(respect_gitignore=False)
-BOUNDED = PackOptions(inline_limit=8192, model_id=given.MODEL, now_s=given.NOW_S)
+COUNTED = PackOptions(model_id=given.MODEL, now_s=given.NOW_S)
+# Here the limits are the feature.
+LIMITED = PackOptions(inline_limit=8192, text_limit=TEXT_LIMIT_BYTES)
 DESCRIBED = PackOptions(
-    inline_limit=8192,
     include_metadata=True,
     timestamp="2024-01-09T00:00:00+00:00",
     hostname="host<1>",
@@ -52,12 +53,12 @@ def query(function):
     return function
 
 
-def _content(spark, folder, options=BOUNDED):
+def _content(spark, folder, options=COUNTED):
     files = filters.select_files(given.files(spark, folder), options)
     return content.with_content(content.classify(content.accepted(files), options), options)
 
 
-def _measured(spark, folder, options=BOUNDED):
+def _measured(spark, folder, options=COUNTED):
     return content.measured(filters.select_files(given.files(spark, folder), options), options)
 
 
@@ -302,8 +303,8 @@ def symlinks(spark, folder):
 
 @query
 def bounded_content(spark, folder):
-    files = content.classify(given.files(spark, folder), BOUNDED)
-    return content.with_content(files, BOUNDED).select("corpus", "path", "read_status", "content")
+    files = content.classify(given.files(spark, folder), LIMITED)
+    return content.with_content(files, LIMITED).select("corpus", "path", "read_status", "content")
 
 
 @query
@@ -364,19 +365,43 @@ def content_hash(spark, folder):
 @query
 def count_tokens(spark, folder):
     """A cold run: every distinct content is missing and gets counted."""
-    files = filters.select_files(given.files(spark, folder), BOUNDED)
+    files = filters.select_files(given.files(spark, folder), COUNTED)
     empty = spark.createDataFrame([], tokens.CACHE_SCHEMA)
     misses = staged(tokens.cache_misses(_measured(spark, folder), empty, given.MODEL), "misses")
-    return tokens.count_in_place(files, misses, "pieces", given.MODEL, given.NOW_S, BOUNDED)
+    return tokens.count_misses(files, misses, "pieces", given.MODEL, given.NOW_S, COUNTED)
 
 
 @query
 def count_missing_tokens(spark, folder):
     """A warm run: only contents that the cache does not hold are read again and counted."""
-    files = filters.select_files(given.files(spark, folder), BOUNDED)
+    files = filters.select_files(given.files(spark, folder), COUNTED)
     cache = _live_cache(spark, folder)
     misses = staged(tokens.cache_misses(_measured(spark, folder), cache, given.MODEL), "misses")
-    return tokens.count_misses(files, misses, "pieces", given.MODEL, given.NOW_S)
+    return tokens.count_misses(files, misses, "pieces", given.MODEL, given.NOW_S, COUNTED)
+
+
+@query
+def count_with_hook(spark, folder):
+    """A counter of the caller's own, over batches of texts, as a model's vocabulary would be plugged in."""
+    tokens.register_counter("blank_runs", lambda texts: texts.str.count(r"[ \n]+"))
+    rows = given.text_rows(spark, folder)
+    return rows.select("doc_id", "path", tokens.counter("blank_runs")("text").alias("tokens"))
+
+
+@query
+def repeated_paths(spark, folder):
+    """Totals of a cold and of a warm run where every file occurs twice under one path, with different contents."""
+    files = given.files(spark, folder)
+    other = files.withColumns({"raw": F.expr("encode(concat(cast(raw AS STRING), 'x'), 'utf-8')"), "size": F.expr("size + 1")})
+    both = filters.select_files(files.unionByName(other), COUNTED)
+    facts = staged(content.measured(both, COUNTED), "measured")
+    parts = []
+    for name, cache in (("cold", spark.createDataFrame([], tokens.CACHE_SCHEMA)), ("warm", _live_cache(spark, folder))):
+        misses = staged(tokens.cache_misses(facts, cache, given.MODEL), "misses")
+        fresh = staged(tokens.count_misses(both, misses, "pieces", given.MODEL, given.NOW_S, COUNTED), "fresh")
+        summed = tokens.corpus_summary(facts, cache, fresh, given.MODEL)
+        parts.append(summed.selectExpr("corpus", f"'{name}' AS run", "files", "lines", "chars", "tokens", "lookups"))
+    return parts[0].unionByName(parts[1])
 
 
 # --- cache and models -------------------------------------------------------------------
@@ -473,7 +498,7 @@ def largest_files(spark, folder):
 def largest_files_small_corpora(spark, folder):
     """The same over conversations, which are small enough to be shown whole."""
     files = tables.from_conversations(given.parquet(spark, folder, "conversations"))
-    ranked = largest.largest_files(totals.file_details(content.measured(files, BOUNDED)))
+    ranked = largest.largest_files(totals.file_details(content.measured(files, COUNTED)))
     return ranked.select("corpus", "rank", "report_path", "lines", "chars", "title")
 
 
@@ -493,7 +518,7 @@ def _summary(spark, folder):
     base = tokens.corpus_summary(
         _measured(spark, folder), _live_cache(spark, folder), None, given.MODEL
     )
-    return totals.summary_report(base, BOUNDED.output_name, duration_text(CORPUS_SECONDS))
+    return totals.summary_report(base, COUNTED.output_name, duration_text(CORPUS_SECONDS))
 
 
 @query
@@ -524,7 +549,7 @@ def directories(spark, folder):
 
 @query
 def txt_fragments(spark, folder):
-    return render.txt_fragments(_content(spark, folder), BOUNDED)
+    return render.txt_fragments(_content(spark, folder), COUNTED)
 
 
 @query
@@ -543,7 +568,7 @@ def xml_events(spark, folder):
 
 @query
 def xml_overview(spark, folder):
-    files = filters.select_files(given.files(spark, folder), BOUNDED)
+    files = filters.select_files(given.files(spark, folder), COUNTED)
     return render.xml_overview(files, tree.directories(files))
 
 
@@ -581,18 +606,18 @@ def pack_header(spark, folder):
 
 @query
 def pack_txt(spark, folder):
-    files = content.accepted(filters.select_files(given.files(spark, folder), BOUNDED))
-    frame = render.txt_frame(files.select("corpus").distinct(), BOUNDED)
-    return packs.ordered(files, frame, BOUNDED)
+    files = content.accepted(filters.select_files(given.files(spark, folder), COUNTED))
+    frame = render.txt_frame(files.select("corpus").distinct(), COUNTED)
+    return packs.ordered(files, frame, COUNTED).drop("part")
 
 
 @query
 def pack_xml(spark, folder):
-    options = PackOptions(format="xml", inline_limit=8192)
+    options = PackOptions(format="xml")
     files = content.accepted(filters.select_files(given.files(spark, folder), options))
     dirs = tree.directories(files)
     frame = render.xml_frame(files, dirs, options)
-    return packs.ordered(files, frame, options)
+    return packs.ordered(files, frame, options).drop("part")
 
 
 @query
@@ -601,7 +626,7 @@ def full_run(spark, folder):
     files = given.files(spark, folder)
     rules = ignore_rules.rules_from(given.ignore_files(files.select("corpus", "path")))
     result = pack_run.run(
-        files, BOUNDED, new_path(spark, "packs"), rules, given.token_cache(spark, folder)
+        files, COUNTED, new_path(spark, "packs"), rules, given.token_cache(spark, folder)
     )
     return result.totals.select("corpus", "files", "lines", "chars", "tokens", "hits", "lookups")
 
@@ -674,12 +699,12 @@ def snapshot_retention(spark, folder):
 def incremental_tokens_run(spark, folder):
     """The files arrive in several batches; the cache they leave."""
     arrived, cache = new_path(spark, "arrived"), new_path(spark, "cache")
-    files = filters.select_files(given.files(spark, folder), BOUNDED)
+    files = filters.select_files(given.files(spark, folder), COUNTED)
     files.repartition(3, "corpus", "path").write.parquet(arrived)
     stream = (
         spark.readStream.schema(tables.FILES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(arrived)
     )
-    incremental_tokens(stream, cache, new_path(spark, "stream"), BOUNDED).awaitTermination()
+    incremental_tokens(stream, cache, new_path(spark, "stream"), COUNTED).awaitTermination()
     return token_cache.load(spark, cache)
 
 

@@ -5,7 +5,7 @@ A few queries over the same view are written once as common table expressions:
     f   files view          corpus, path, permissions, modified_s, text, doc_id, lang
     k   with path parts     + name, dir, parts, hidden, listed (some folder or name is listed)
     c   with classification + size, kind
-    m   kept and measured   + status, lines, chars, hash (limit 8192, default filters)
+    m   kept and measured   + status, lines, chars, hash (default filters)
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ K_ = f"""{F_}, k AS (
   FROM f)"""
 C_ = f"""{K_}, c AS (
   SELECT *, CAST(strlen(text) AS BIGINT) AS size,
-         CASE WHEN text <> '' AND strlen(text) < 8000000 AND NOT {CUT_INSIDE} AND {FEW_CONTROLS}
+         CASE WHEN text <> '' AND NOT {CUT_INSIDE} AND {FEW_CONTROLS}
               THEN 'text' ELSE 'binary' END AS kind
   FROM k)"""
 M_ = f"""{C_}, m AS (
@@ -99,8 +99,7 @@ M_ = f"""{C_}, m AS (
          CASE WHEN status = 'ok' THEN {LINES} ELSE 0 END AS lines,
          CASE WHEN status = 'ok' THEN {CHARS} ELSE 0 END AS chars,
          CASE WHEN status = 'ok' THEN sha256(text) END AS hash
-  FROM (SELECT *, CASE WHEN kind <> 'text' THEN kind WHEN size > 8192 THEN 'oversize' ELSE 'ok' END
-                  AS status
+  FROM (SELECT *, CASE WHEN kind <> 'text' THEN kind ELSE 'ok' END AS status
         FROM c WHERE NOT hidden AND NOT listed))"""
 # The stored writes, the live ones, and the live entries of the model in question.
 CACHE_ = f"""writes AS (
@@ -281,8 +280,8 @@ MODEL_ROWS = ", ".join(
 )
 MODELS_ = f"models AS (SELECT * FROM (VALUES {MODEL_ROWS}) v(name, model_id, provider, context_window))"
 WORDY = """w AS (
-  SELECT doc_id, left(regexp_replace(text, '[\\n ]+', CASE WHEN doc_id % 5 = 0 THEN '-' ELSE '/' END, 'g'),
-                      CAST(doc_id % 100 + 20 AS INTEGER)) AS path FROM documents)"""
+  SELECT doc_id, regexp_replace(text, '[\\n ]+', CASE WHEN doc_id % 5 = 0 THEN '-' ELSE '/' END, 'g') AS path
+  FROM documents)"""
 ABSOLUTE = """a AS (
   SELECT doc_id, corpus, '/data/' || corpus AS root,
          CASE lang WHEN 'en' THEN '/data/' || corpus || '/' || path WHEN 'fr' THEN '/other/' || path
@@ -467,7 +466,7 @@ WITH {M_}, {RANKED_} SELECT corpus, CAST(rank AS INTEGER) AS rank, corpus || '/'
 WITH m AS (
   SELECT *, CASE WHEN ok THEN {LINES} ELSE 0 END AS lines, CASE WHEN ok THEN {CHARS} ELSE 0 END AS chars
   FROM (SELECT CAST(conv_id AS VARCHAR) AS corpus, role || '/' || printf('%06d', turn) || '.txt' AS path, text,
-               text <> '' AND strlen(text) <= 8192 AND {FEW_CONTROLS} AS ok FROM conversations)),
+               text <> '' AND {FEW_CONTROLS} AS ok FROM conversations)),
 {RANKED_} SELECT corpus, CAST(rank AS INTEGER) AS rank, corpus || '/' || path AS report_path,
   lines, chars, {TITLE} FROM ranked {SHOWN}""",
     "files_report": f"WITH {M_}, {CACHE_}, {RANKED_}, {FILE_ROWS_} SELECT * FROM reported",
@@ -567,6 +566,13 @@ WHERE repos.cache_path IS NOT NULL""",
     "snapshot_retention": f"""
 WITH {REPOS_} SELECT host_kind, count(*) AS removed FROM snapshots
 WHERE has_git AND {NOW_S} - modified_s > 5 * 86400 GROUP BY host_kind""",
+    "count_with_hook": f"""
+WITH {F_} SELECT doc_id, path, CAST(len(regexp_extract_all(text, '[ \\n]+')) AS BIGINT) AS tokens FROM f""",
+    "repeated_paths": f"""
+WITH {M_.replace(FILES, "SELECT * FROM (" + FILES + ") UNION ALL SELECT * REPLACE (text || 'x' AS text) FROM (" + FILES + ")")}
+SELECT corpus, run, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(chars) AS BIGINT) AS chars,
+  CAST(sum({PIECE_COUNT}) FILTER (status = 'ok') AS BIGINT) AS tokens, count(*) FILTER (status = 'ok') AS lookups
+FROM m, (SELECT unnest(['cold', 'warm']) AS run) GROUP BY corpus, run""",
     "incremental_tokens": f"""
 WITH {M_} SELECT DISTINCT hash, '{MODEL}' AS model, CAST({PIECE_COUNT} AS BIGINT) AS tokens,
   CAST({NOW_S} AS BIGINT) AS ts FROM m WHERE status = 'ok'""",
@@ -575,7 +581,7 @@ WITH {RULES_}, {C_.removeprefix(K_ + ', ')}, m AS (
   SELECT corpus, path, status, CASE WHEN status = 'ok' THEN {LINES} ELSE 0 END AS lines,
          CASE WHEN status = 'ok' THEN {CHARS} ELSE 0 END AS chars, text, size,
          CASE WHEN status = 'ok' THEN sha256(text) END AS hash
-  FROM (SELECT c.*, CASE WHEN kind <> 'text' THEN kind WHEN size > 8192 THEN 'oversize' ELSE 'ok' END AS status
+  FROM (SELECT c.*, CASE WHEN kind <> 'text' THEN kind ELSE 'ok' END AS status
         FROM c JOIN e USING (corpus, path)
         WHERE NOT c.hidden AND NOT c.listed AND NOT in_lib AND NOT own_out)),
 {CACHE_}, {LOOKUPS_}, {TOTALS_},

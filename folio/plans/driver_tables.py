@@ -15,7 +15,7 @@ from folio.functions import case, quoted
 from folio.functions import text as txt
 from folio.operators.repos import with_repo
 from folio.plans.scratch import staged
-from folio.sources.tables import files_from_texts, spread
+from folio.sources.tables import files_from_texts
 
 NOW_S = 1_704_067_200 + 8 * 86_400
 MODEL = "gpt-4"
@@ -28,20 +28,24 @@ SELECT corpus,
                 WHEN 3 THEN 'src/target/' WHEN 4 THEN 'src/' WHEN 5 THEN 'src/lib/'
                 WHEN 6 THEN '.github/' ELSE '' END,
               CASE WHEN k % 11 = 0 THEN '_' WHEN k % 13 = 0 THEN '.' ELSE '' END,
-              lang, '_', CAST(doc_id AS STRING),
+              lang, '_', CAST(doc_id AS STRING), CASE edge WHEN 1 THEN '_none' WHEN 2 THEN '_bytes' ELSE '' END,
               CASE CAST(k % 7 AS INT)
                 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' WHEN 3 THEN '.rs'
                 WHEN 4 THEN '.log' WHEN 5 THEN '.min.js' ELSE '' END) AS path,
        CASE WHEN doc_id % 3 = 0 THEN '755' ELSE '644' END AS permissions,
        1704067200 + doc_id * 60 AS modified_s,
-       CASE WHEN doc_id % 97 = 0 THEN ''
-            WHEN doc_id % 89 = 0 THEN REPEAT(CHR(1), 40)
+       CASE WHEN edge = 1 THEN ''
+            WHEN edge = 2 THEN REPEAT(CHR(1), 40)
             WHEN doc_id % 83 = 0 THEN REPLACE(text, CHR(10), CONCAT(CHR(13), CHR(10)))
             WHEN doc_id % 79 = 0 THEN CONCAT(text, ']]> & <x a="1">', CHR(10))
             ELSE text END AS text,
        doc_id, lang
-FROM (SELECT d.*, source AS corpus, CAST(FLOOR(doc_id / 20.0) AS BIGINT) AS k
-      FROM {documents} d) t
+FROM (SELECT d.*, source AS corpus, CAST(FLOOR(doc_id / 20.0) AS BIGINT) AS k, 0 AS edge
+      FROM {documents} d
+      UNION ALL
+      SELECT d.*, source AS corpus, CAST(FLOOR(doc_id / 20.0) AS BIGINT) AS k,
+             CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 2 END AS edge
+      FROM {documents} d WHERE doc_id % 97 = 0 OR doc_id % 89 = 0) t
 """
 
 
@@ -51,7 +55,7 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(parquet(spark, folder, "documents"), "doc_id")
+    documents = parquet(spark, folder, "documents")
     return spark.sql(FILES_SQL, documents=documents)
 
 
@@ -138,8 +142,8 @@ def absolute_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wordy_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Long paths with letters of any width: the first words of a text as folders."""
-    path = r"left(regexp_replace(text, '[\\n ]+', if(doc_id % 5 = 0, '-', '/')), doc_id % 100 + 20)"
+    """Long paths with letters of any width: the words of a text as folders."""
+    path = r"regexp_replace(text, '[\\n ]+', if(doc_id % 5 = 0, '-', '/'))"
     return parquet(spark, folder, "documents").selectExpr("doc_id", f"{path} AS path")
 
 

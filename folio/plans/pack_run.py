@@ -25,6 +25,7 @@ class PackRun:
     summary: DataFrame
     report: DataFrame
     fresh_cache: DataFrame | None
+    rejects: DataFrame  # corpus, reason, entries: what the pack does not hold, or holds as an error
 
 
 def select(files: DataFrame, options: PackOptions, rules: DataFrame | None = None) -> DataFrame:
@@ -45,17 +46,19 @@ def count_tokens(
 ) -> DataFrame:
     """Entries counted in this run, to be added to the cache.
 
-    One file per missing content is counted. When that is most of the files anyway, all of
-    them are counted where they are read, which spares moving their contents.
+    The misses are written first: with their number known, Spark sends few of them to the files.
     """
     live = tokens.cache_expire(cache, options.now_s)
     misses = staged(tokens.cache_misses(measured, live, options.model_id), "misses")
-    how = (options.counter, options.model_id, options.now_s)
-    if misses.count() * 2 > measured.where("hash IS NOT NULL").count():
-        fresh = tokens.count_in_place(files, misses, *how, options)
-    else:
-        fresh = tokens.count_misses(files, misses, *how)
-    return staged(fresh, "fresh")
+    how = (options.counter, options.model_id, options.now_s, options)
+    return staged(tokens.count_misses(files, misses, *how), "fresh")
+
+
+def left_out(files: DataFrame, measured: DataFrame) -> DataFrame:
+    """Entries by corpus and reason that are no file or could not be opened, and files whose text could not be read."""
+    failed = measured.where("read_status IN ('open_error', 'read_error', 'oversize')")
+    failed = failed.groupBy("corpus", F.col("read_status").alias("reason")).agg(F.count("*").alias("entries"))
+    return content.rejects(files).unionByName(failed)
 
 
 def run(
@@ -114,7 +117,7 @@ def run(
         total = measured.agg(F.expr(f"sum(least(size, {options.inline_limit}))")).first()[0]
         partitions = packs.parts_for(total or 0, files.sparkSession.sparkContext.defaultParallelism)
     packs.write_pack(packable, frame, options, output, partitions)
-    return PackRun(measured, base, file_rows, summary, console_report(file_rows, summary), fresh)
+    return PackRun(measured, base, file_rows, summary, console_report(file_rows, summary), fresh, left_out(files, measured))
 
 
 def run_trees(
@@ -131,7 +134,7 @@ def run_trees(
     files = staged(files, "files")
     rules = None
     if options.respect_gitignore or options.custom_ignore_name:
-        texts = rule_files.withColumn("content", F.expr("cast(raw AS STRING)"))
+        texts = rule_files.withColumn("content", F.expr("make_valid_utf8(cast(raw AS STRING))"))
         rules = spark.createDataFrame([], ignore_rules.RULES_SCHEMA)
         if options.respect_gitignore:
             rules = rules.unionByName(

@@ -1,4 +1,8 @@
-"""Packs as text files: a folder per corpus whose parts, in name order, are its pack."""
+"""Packs as text files: a folder per corpus whose parts, in order of block and name, are its pack.
+
+Spark numbers parts with five digits at least, so names of 100 000 parts and more do not sort. Parts lie in blocks of
+BLOCK_PARTS, whose padded numbers do.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,13 @@ from folio.operators import content, render
 from folio.options import PackOptions
 
 ORDER = ("corpus", "section", "sort_key")
+BLOCK_PARTS = 50_000
 PART_BYTES = 256 * 1024 * 1024
 
 
+BLOCK = f"lpad(cast(part div {BLOCK_PARTS} AS STRING), 9, '0')"
+
+
 def parts_for(total_bytes: int, at_least: int) -> int:
     """Partitions that keep a part near PART_BYTES."""
     return max(at_least, -(-total_bytes // PART_BYTES))
@@ -41,7 +49,7 @@ def ordered(
     # Spark moves no filter past a column that depends on the task. Without it, the test for
     # leaves that print nothing would be evaluated ahead of the shuffle, by printing them.
     placed = printed.selectExpr(*ORDER, fragment, "spark_partition_id() AS part")
-    return placed.where("part >= 0 AND fragment IS NOT NULL").select(*ORDER, "fragment")
+    return placed.where("part >= 0 AND fragment IS NOT NULL").select(*ORDER, "fragment", "part")
 
 
 def write_pack(
@@ -52,11 +60,12 @@ def write_pack(
     partitions: int | None = None,
 ) -> None:
     rows = ordered(files, frame, options, partitions)
-    rows.selectExpr("corpus", "fragment AS value").write.partitionBy("corpus").text(path)
+    placed = rows.selectExpr("corpus", f"{BLOCK} AS block", "fragment AS value")
+    placed.write.partitionBy("corpus", "block").text(path)
 
 
 def read_pack(spark: SparkSession, path: str, corpus: str) -> DataFrame:
     """Lines of one pack with the part they are in."""
-    lines = spark.read.schema("value STRING, corpus STRING").text(path)
+    lines = spark.read.schema("value STRING, corpus STRING, block STRING").text(path)
     of_corpus = lines.where(f"corpus = {quoted(corpus)}")
-    return of_corpus.selectExpr("_metadata.file_name AS part", "value")
+    return of_corpus.selectExpr("concat_ws('/', block, _metadata.file_name) AS part", "value")

@@ -33,20 +33,6 @@ FILES_SCHEMA = T.StructType(
 )
 
 
-SMALL_SPLITS = 16
-
-
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of an input of a few splits over all cores; any other is left where it is read.
-
-    A file of one row group is read by one task, which leaves the other cores idle. At most
-    SMALL_SPLITS splits are ever moved; a larger input keeps every core busy as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    return rows.repartition(cores, *keys) if splits < min(cores, SMALL_SPLITS + 1) else rows
-
-
 def files_from_texts(
     rows: DataFrame,
     corpus: str,

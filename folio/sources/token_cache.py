@@ -1,8 +1,8 @@
 """The token cache as a folder of Parquet versions.
 
-Entries are only ever added, one sub-folder per write, so a path that is being read is never
-overwritten. Writing the same version again replaces that version alone, which makes a
-replayed write harmless. `compact` folds all versions into one.
+Entries are only ever added, one sub-folder per writer and write, so a path that is being read is
+never overwritten and writers do not touch each other's versions. Writing the same version again
+replaces that version alone, which makes a replayed write harmless. `compact` folds all versions into one.
 """
 
 from __future__ import annotations
@@ -10,19 +10,22 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.functions import quoted
 from folio.operators.tokens import CACHE_SCHEMA, cache_expire, cache_upsert
 
-_STORED = CACHE_SCHEMA + ", version BIGINT"
+_STORED = CACHE_SCHEMA + ", writer STRING, version BIGINT"
 
 
-def save_version(entries: DataFrame, path: str, version: int) -> None:
-    """Add entries as `version`; the same version again replaces it."""
-    target = f"{path}/version={version}"
+def save_version(entries: DataFrame, path: str, version: int, writer: str = "batch") -> None:
+    """Add entries as `version` of `writer`; the same version again replaces it."""
+    target = f"{path}/writer={writer}/version={version}"
     entries.select("hash", "model", "tokens", "ts").write.mode("overwrite").parquet(target)
 
 
-def load_versions(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """All stored entries; `below` leaves out that version and later ones."""
+def load_versions(
+    spark: SparkSession, path: str, below: int | None = None, writer: str = "batch"
+) -> DataFrame:
+    """All stored entries; `below` leaves out that version of `writer` and later ones of the same writer."""
     try:
         stored = spark.read.schema(_STORED).parquet(path)
     except AnalysisException as problem:
@@ -30,7 +33,7 @@ def load_versions(spark: SparkSession, path: str, below: int | None = None) -> D
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
     if below is not None:
-        stored = stored.where(f"version < {below}")
+        stored = stored.where(f"NOT (writer = {quoted(writer)} AND version >= {below})")
     return stored.select("hash", "model", "tokens", "ts")
 
 

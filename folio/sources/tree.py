@@ -113,7 +113,7 @@ def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     """
     spark = roots.sparkSession
     path, level, tasks = new_path(spark, "listing"), 0, spark.sparkContext.defaultParallelism
-    folders = roots.selectExpr("corpus", "rtrim('/', root) AS root", "'' AS path")
+    folders = roots.selectExpr("corpus", "if(root = '/', '/', rtrim('/', root)) AS root", "'' AS path")
     while True:
         target = f"{path}/level={level}"
         # A fixed number, as a few short rows would otherwise be joined into one task.

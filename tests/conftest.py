@@ -62,9 +62,9 @@ def base_tree(tmp_path):
     (root / "dir1" / "subdir").mkdir(parents=True)
     (root / "dir2").mkdir()
     (root / ".git").mkdir()
-    (root / "file1.txt").write_text("This is a text file with content\n")
-    (root / "dir1" / "file2.txt").write_text("This is another text file\nwith multiple lines\n")
-    (root / "dir1" / "subdir" / "file3.txt").write_text("Nested file content\n")
+    (root / "file1.txt").write_text("Herons in the reeds, seen at dawn\n")
+    (root / "dir1" / "file2.txt").write_text("Two terns\nand a gull\n")
+    (root / "dir1" / "subdir" / "file3.txt").write_text("A plover further down\n")
     (root / ".git" / "config").write_text("[core]\n\trepositoryformatversion = 0\n")
     (root / "binary.bin").write_bytes(bytes([0, 1, 2, 3]))
     (root / "symlink.txt").symlink_to(root / "file1.txt")

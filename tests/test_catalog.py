@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from folio.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "conversations")
@@ -22,7 +23,7 @@ def comparable(columns, rows):
     return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     df = queries()[name](spark, FOLDER)
     got = comparable(df.columns, df.collect())

@@ -177,12 +177,12 @@ def test_sort_key_orders_folders_first(evaluate):
 
 VALID = [
     form.format(host=host)
-    for host in ("github.com", "gitlab.com", "bitbucket.org", "git.example.com")
-    for form in ("https://{host}/username/repo", "https://{host}/username/repo.git", "git@{host}:username/repo.git")
+    for host in ("github.com", "codeberg.org", "forge.test", "10.0.0.7")
+    for form in ("https://{host}/tern/nest", "http://{host}/tern/n.est.git", "git@{host}:t-ern/nest.git")
 ]
 INVALID = [
-    "https://github.com", "https://github.com/username", "git@github.com", "/path/to/local/directory",
-    "username/repo",
+    "https://forge.test", "https://forge.test/tern", "git@forge.test", "./nests/of/terns",
+    "tern/nest",
 ]
 
 

@@ -3,6 +3,7 @@
 import os
 import random
 import xml.etree.ElementTree as ET
+from dataclasses import replace
 
 import pytest
 
@@ -19,9 +20,14 @@ XML = PackOptions(respect_gitignore=False, format="xml")
 
 
 def pack_text(path, corpus):
-    """A pack as its user reads it: the parts in name order."""
+    """A pack as its user reads it: blocks, and the parts in each, in name order."""
     folder = f"{path}/corpus={corpus}"
-    parts = sorted(name for name in os.listdir(folder) if name.startswith("part-"))
+    parts = [
+        f"{block}/{name}"
+        for block in sorted(os.listdir(folder))
+        for name in sorted(os.listdir(f"{folder}/{block}"))
+        if name.startswith("part-")
+    ]
     return "".join(open(f"{folder}/{name}", newline="").read() for name in parts), len(parts)
 
 
@@ -47,7 +53,7 @@ def test_scan_of_a_tree(spark, base_tree):
         "file1.txt", "dir1/file2.txt", "dir1/subdir/file3.txt", "binary.bin", "symlink.txt",
         "__init__.py", ".env.example",
     }
-    assert rows["symlink.txt"].text == "This is a text file with content\n"
+    assert rows["symlink.txt"].text == "Herons in the reeds, seen at dawn\n"
     assert (rows["__init__.py"].size, rows["__init__.py"].permissions) == (0, "750")
     assert rows["__init__.py"].corpus == "project"
     moment = scan_tree(spark, str(base_tree), PLAIN).where("path = '__init__.py'")
@@ -86,14 +92,15 @@ def test_filters_while_listing(spark, base_tree):
 
 
 def test_large_files_are_not_read_whole(spark, base_tree):
-    line = "This is a line of text that will be repeated many times to create a large file.\n"
-    (base_tree / "large_file.txt").write_text(line * 20_000)
-    row = scanned(spark, base_tree, PLAIN)["large_file.txt"]
-    assert (row.size, len(row.raw)) == (1_600_000, 8192)
+    line = "Nine grey herons wade slowly along the reeds while the tide turns.\n"
+    (base_tree / "herons.txt").write_text(line * 20_000)
+    limited = replace(PLAIN, inline_limit=1_048_576)
+    row = scanned(spark, base_tree, limited)["herons.txt"]
+    assert (row.size, len(row.raw)) == (1_340_000, 8192)
     out = new_path(spark, "packs")
-    run_trees(spark, roots_of(spark, base_tree), XML, out)
+    run_trees(spark, roots_of(spark, base_tree), replace(XML, inline_limit=1_048_576), out)
     text, _ = pack_text(out, "project")
-    assert "File too large to include content. Size: 1.53 MB" in text
+    assert "File too large to include content. Size: 1.28 MB" in text
 
 
 def test_pack_of_a_tree(spark, base_tree):
@@ -102,7 +109,7 @@ def test_pack_of_a_tree(spark, base_tree):
     text, _ = pack_text(out, "project")
     for expected in (
         "<directory_scan", "<system_info>", "<hostname>", "<directory name=", '<file name="file1.txt"',
-        "This is a text file with content", '<binary name="binary.bin" path="project/binary.bin">',
+        "Herons in the reeds, seen at dawn", '<binary name="binary.bin" path="project/binary.bin">',
     ):
         assert expected in text
     assert ".git" not in text
@@ -115,8 +122,8 @@ def test_pack_of_a_tree(spark, base_tree):
 
 
 def test_ignore_file_of_a_tree(spark, base_tree):
-    (base_tree / ".gitignore").write_text("# Ignore all .txt files\n*.txt\n# Ignore binary.bin\nbinary.bin\n")
-    (base_tree / "not_ignored.md").write_text("# This file shouldn't be ignored\n")
+    (base_tree / ".gitignore").write_text("# texts\n*.txt\n\n# raw bytes\nbinary.bin\n")
+    (base_tree / "notes.md").write_text("Field notes stay\n")
     (base_tree / "dir1" / ".gitignore").write_text("!file2.txt\n")
     (base_tree / "dir1" / ".packignore").write_text("*.md\n")
     (base_tree / "dir1" / "more.md").write_text("x")
@@ -126,7 +133,7 @@ def test_ignore_file_of_a_tree(spark, base_tree):
     text, _ = pack_text(out, "project")
     for gone in ("file1.txt", "file3.txt", "binary.bin", "more.md", ".gitignore"):
         assert gone not in text
-    assert "project/not_ignored.md" in text and "project/dir1/file2.txt" in text
+    assert "project/notes.md" in text and "project/dir1/file2.txt" in text
 
 
 def test_metadata_of_folders_and_files(spark, base_tree):
@@ -138,7 +145,7 @@ def test_metadata_of_folders_and_files(spark, base_tree):
     root = ET.fromstring(pack_text(out, "project")[0].encode())
     empty = root.find(".//directory[@path='project/dir2']/metadata")
     assert (empty.find("permissions").text, empty.find("modified").text) == ("700", "1970-01-01T00:00:00+00:00")
-    assert root.find(".//file[@path='project/file1.txt']/metadata/size").text == "33"
+    assert root.find(".//file[@path='project/file1.txt']/metadata/size").text == "34"
 
 
 # --- packs ------------------------------------------------------------------------------
@@ -250,6 +257,29 @@ def test_parts_grow_with_the_data():
     assert packs.parts_for(100 * 2**40, 4) == 409_600
 
 
+def test_writers_share_a_cache(spark, files_table):
+    """A stream that starts on the folder of a batch run loses nothing and counts nothing again."""
+    path = new_path(spark, "shared-cache")
+    options = PackOptions(model_id="m")
+    held = spark.createDataFrame([("h", "m", 9, 0)], tokens.CACHE_SCHEMA)
+    token_cache.save_version(held, path, 0)
+    count_batch(files_table({("p", "a"): b"one two"}), 0, path, options, "stream-a")
+    count_batch(files_table({("p", "a"): b"one two", ("p", "b"): b"three"}), 0, path, options, "stream-b")
+    assert token_cache.load_versions(spark, path).count() == 3
+    assert {r.tokens for r in token_cache.load(spark, path).collect()} == {9, 2, 1}
+
+
+def test_parts_beyond_five_digits_sort(spark):
+    rows = spark.range(99_990, 100_010).selectExpr("id AS part", f"concat({packs.BLOCK}, '/part-', lpad(id, greatest(5, length(id)), '0')) AS name")
+    assert [r.part for r in rows.orderBy("name").collect()] == list(range(99_990, 100_010))
+
+
+def test_what_is_left_out_is_told(spark, files_table, tmp_path):
+    files = files_table({("p", "good"): b"x", ("p", "late"): b"a" * 9000 + b"\xff"})
+    result = run(files, PLAIN, new_path(spark, "packs"))
+    assert [tuple(r) for r in result.rejects.collect()] == [("p", "read_error", 1)]
+
+
 def test_read_pack(files_table, spark):
     out = new_path(spark, "packs")
     run(files_table({("github/o/it's", "a"): b"1", ("q", "b"): b"2"}), PLAIN, out)
@@ -313,8 +343,10 @@ def test_stream_counts_each_content_once_and_replays_safely(files_table, spark):
     assert expected == [(1,), (2,), (3,)]
     assert token_cache.load_versions(spark, cache).count() == 3
     replayed = files_table({("q", "d"): b"three four five", ("q", "e"): b"one"})
-    last = max(int(n.split("=")[1]) for n in os.listdir(cache) if n.startswith("version="))
-    count_batch(replayed, last, cache, options)
+    (folder,) = os.listdir(cache)
+    writer = folder.removeprefix("writer=")
+    last = max(int(n.split("=")[1]) for n in os.listdir(f"{cache}/{folder}") if n.startswith("version="))
+    count_batch(replayed, last, cache, options, writer)
     assert token_cache.load_versions(spark, cache).count() == 3
 
 
@@ -352,7 +384,7 @@ def test_contents_are_hashed_and_classified_once(stored):
         tokens.corpus_summary(facts, empty, None, "m"),
         totals.corpus_totals(facts),
         largest.largest_files(totals.file_details(facts)),
-        tokens.count_in_place(stored, staged(misses), "pieces", "m", 1, PLAIN),
+        tokens.count_misses(stored, staged(misses), "pieces", "m", 1, PLAIN),
     ):
         plan = plan_of(df)
         assert plan.count("sha2(") <= 1
