@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from folio.llm.common import parts_for, text_bytes
 
 #: Bytes of text that share one list of distinct units; bounds the memory of a task.
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 10_000_000
 #: Bytes of text for each part of the unit hashes, and in each packed batch of documents.
 PART_BYTES = 10_000_000
 BATCH_BYTES = 1_000_000
@@ -62,7 +62,9 @@ def tokenizer(path: str):
 
 @cache
 def special_tokens(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    """Read from the file: a task that only splits texts has no use for the tokenizer itself."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
 
 
 @cache
