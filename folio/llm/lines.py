@@ -222,7 +222,7 @@ class LineIndex:
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents named in the column doc_id: as if they had never been added."""
-        return self._changed(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        return self._changed(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id"))
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines leave a document."""

@@ -118,16 +118,14 @@ def parsed(page: str | None) -> Iterator[tuple[str, str, int, bool]]:
         elif name in VOID:
             pass
         elif name in RAW:
-            if not rest.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else end
         else:
             if name in CLOSE_P:
                 _close(stack, {"p"}, {"button", "td", "th", "table"})
             if name in CLOSES:
                 _close(stack, CLOSES[name], SCOPE.get(name, {"table"}))
-            if not rest.endswith("/"):
-                stack.append((name, label(name, rest)))
+            stack.append((name, label(name, rest)))
         path = "/".join([mark for _, mark in stack])
         link = any(n == "a" for n, _ in stack)
 
@@ -176,7 +174,8 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     texts[key] = texts.get(key, 0) + 1
             rows += [(host, own, p, None, c, n, m) for p, (c, n, m) in paths.items()]
             rows += [(host, own, p, t, c, 0, 0) for (p, t), c in texts.items()]
-        yield pd.DataFrame(rows, columns=["host", "page", "path", "text", "n", "chars", "link_chars"])
+        made = pd.DataFrame(rows, columns=["host", "page", "path", "text", "n", "chars", "link_chars"], dtype=object)
+        yield made.astype({"text": "Int64"})  # a float column would round the hashes
 
 
 def host_of(url: str) -> F.Column:
