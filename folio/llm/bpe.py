@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import parts_for, text_bytes
+from folio.llm.common import give_back_memory, parts_for, text_bytes
 
 #: Bytes of text that share one list of distinct units; bounds the memory of a task.
 BLOCK_BYTES = 10_000_000
@@ -178,6 +178,7 @@ def _lists(packs: pa.Table, column: str, parts: int, path: str) -> list[tuple[in
 
 def _asked(column: str, parts: int, path: str):
     def run(key: tuple, packs: pa.Table) -> pa.Table:
+        give_back_memory()
         lists = _lists(packs, column, parts, path)
         return pa.table(
             {
@@ -194,6 +195,7 @@ def _answered(path: str):
     """Each unit of a part encoded once; every block's list answered in its order."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         known: dict[bytes, bytes] = {}
         for batch in batches:
             for k in range(batch.num_rows):
@@ -208,6 +210,7 @@ def _answered(path: str):
 
 def _joined(column: str, out: str, parts: int, path: str):
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back_memory()
         ids = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist()))
         known: dict[str, bytes] = {}
         for part, names in _lists(packs, column, parts, path):
@@ -258,6 +261,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.arrow_udf("string")
     def joined(column: pa.Array) -> pa.Array:
+        give_back_memory()
         table = pieces(path)
         texts = []
         for value in column:

@@ -26,7 +26,7 @@ def hex_sha256(column: str) -> F.Column:
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
+    both = bpe.decode(bpe.encode(docs, BYTE_BPE).select("doc_id", "ids"), BYTE_BPE)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
