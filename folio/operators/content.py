@@ -26,7 +26,7 @@ def accepted(files: DataFrame) -> DataFrame:
 
 def rejects(files: DataFrame) -> DataFrame:
     """Entries a pack cannot hold, by corpus and reason."""
-    reason = f"if({_UNREADABLE}, 'unreadable', 'other') AS reason"
+    reason = f"if(kind = 'unreadable' OR {_UNREADABLE}, 'unreadable', 'other') AS reason"
     rejected = files.where(f"kind NOT IN ('file', 'symlink', 'directory') OR {_UNREADABLE}")
     return rejected.selectExpr("corpus", reason).groupBy("corpus", "reason").count().withColumnRenamed(
         "count", "entries"

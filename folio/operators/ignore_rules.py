@@ -1,7 +1,9 @@
 """Ignore files: rules from their text, and the entries they exclude.
 
     rules: corpus STRING, base_dir STRING, depth INT, line_no INT, regex STRING,
-           negated BOOLEAN, dir_only BOOLEAN, custom BOOLEAN
+           negated BOOLEAN, dir_only BOOLEAN, rank INT
+
+Rules of a higher rank come before all others: those of a custom file, then of `.ignore`, then of `.gitignore`.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from folio.operators.tree import ancestors_of, directories
 
 RULES_SCHEMA = (
     "corpus STRING, base_dir STRING, depth INT, line_no INT, regex STRING, "
-    "negated BOOLEAN, dir_only BOOLEAN, custom BOOLEAN"
+    "negated BOOLEAN, dir_only BOOLEAN, rank INT"
 )
+GIT_RANK, PLAIN_RANK, CUSTOM_RANK = 0, 1, 2
 _COMPILED = T.ArrayType(
     T.StructType()
     .add("line_no", T.IntegerType())
@@ -34,7 +37,7 @@ def _compile(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: [rule._asdict() for rule in compile_ignore_text(text)] if text else [])
 
 
-def rules_from(ignore_files: DataFrame, custom: bool = False) -> DataFrame:
+def rules_from(ignore_files: DataFrame, custom: bool = False, rank: int = GIT_RANK) -> DataFrame:
     """Rules of ignore files given as (corpus, path, content)."""
     based = ignore_files.selectExpr("corpus", f"{paths.dir_of('path')} AS base_dir", "content")
     compiled = based.select(
@@ -43,7 +46,7 @@ def rules_from(ignore_files: DataFrame, custom: bool = False) -> DataFrame:
         F.expr(f"{paths.depth_of('base_dir')} AS depth"),
         F.inline(_compile("content")),
     )
-    return compiled.withColumn("custom", F.lit(custom))
+    return compiled.withColumn("rank", F.lit(CUSTOM_RANK if custom else rank))
 
 
 def ignore_files_in(contents: DataFrame, name: str = ".gitignore") -> DataFrame:
@@ -54,7 +57,7 @@ def ignore_files_in(contents: DataFrame, name: str = ".gitignore") -> DataFrame:
 
 def _rule_files(rules: DataFrame) -> DataFrame:
     """One row per folder with ignore files. A list holds the lines of those files only."""
-    rule = "struct(custom, depth, line_no, negated, base_dir, regex, dir_only)"
+    rule = "struct(rank, depth, line_no, negated, base_dir, regex, dir_only)"
     return rules.groupBy("corpus", "base_dir").agg(F.expr(f"collect_list({rule}) AS rules"))
 
 
@@ -74,7 +77,7 @@ def governed_dirs(dirs: DataFrame, rules: DataFrame) -> DataFrame:
     """Directories with rules in force: (corpus, dir, rules, dead).
 
     Every folder lists its ancestors and finds their rule files by an equality join. Rules
-    come strongest first: custom, deepest, last line; the list is bounded by the lines of the
+    come strongest first: rank, deepest, last line; the list is bounded by the lines of the
     ignore files on one chain of folders. A folder is dead when it, or one above it, is
     excluded, and all rules about those are in its own list.
     """

@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key with more rows than this gets split
-HOT_KEYS = 10_000  # so many keys at most are split; this bounds the broadcast
 SPLITS = 64
 
 
 def hot_keys(
     facts: DataFrame, keys: str | list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """The heaviest keys, at most HOT_KEYS of them.
-
-    The bound loses nothing: keys beyond it are joined like any other key.
-    """
+    """The keys with more than `hot_rows` rows: fewer than rows / hot_rows of them, which bounds the broadcast."""
     keys = [keys] if isinstance(keys, str) else keys
     counts = facts.groupBy(*keys).agg(F.expr("count(1) AS n"))
-    heavy = counts.where(f"n > {hot_rows}")
-    return heavy.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys)
+    return counts.where(f"n > {hot_rows}").select(*keys)
 
 
 def lookup(

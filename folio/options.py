@@ -58,7 +58,6 @@ MODELS = [
 ]
 
 FORMATS = ("txt", "xml")
-CACHE_POLICIES = ("always_pull", "force_clone", "use_cache")
 
 
 @dataclass(frozen=True)
@@ -81,7 +80,6 @@ class PackOptions:
     trim_partial_char: bool = False
     model_id: str | None = None
     counter: str = "pieces"
-    cache_policy: str = "always_pull"
     now_s: int = 0
     timestamp: str = "1970-01-01T00:00:00+00:00"
     hostname: str = "unknown"
@@ -91,8 +89,6 @@ class PackOptions:
     def __post_init__(self):
         if self.format not in FORMATS:
             raise ValueError(f"format must be one of {FORMATS}, not {self.format!r}")
-        if self.cache_policy not in CACHE_POLICIES:
-            raise ValueError(f"cache_policy must be one of {CACHE_POLICIES}")
 
     @property
     def output_name(self) -> str:

@@ -158,6 +158,8 @@ def mixed_kinds(spark: SparkSession, folder: str) -> DataFrame:
 def written_trees(rows: DataFrame, path: str) -> DataFrame:
     """Write a files table as one tree per corpus; returns the roots (corpus, root)."""
     folder = path.removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"trees are written with file calls, which do not reach {path}")
 
     def write(batches):
         for batch in batches:

@@ -137,9 +137,9 @@ def run_trees(
         texts = rule_files.withColumn("content", F.expr("make_valid_utf8(cast(raw AS STRING))"))
         rules = spark.createDataFrame([], ignore_rules.RULES_SCHEMA)
         if options.respect_gitignore:
-            rules = rules.unionByName(
-                ignore_rules.rules_from(ignore_rules.ignore_files_in(texts))
-            )
+            for name, rank in ((".gitignore", ignore_rules.GIT_RANK), (".ignore", ignore_rules.PLAIN_RANK)):
+                found = ignore_rules.ignore_files_in(texts, name)
+                rules = rules.unionByName(ignore_rules.rules_from(found, rank=rank))
         if options.custom_ignore_name:
             own = ignore_rules.ignore_files_in(texts, options.custom_ignore_name)
             rules = rules.unionByName(ignore_rules.rules_from(own, custom=True))

@@ -27,7 +27,7 @@ from folio.sources.tables import FILES_SCHEMA
 
 LISTING = (
     "corpus STRING, root STRING, path STRING, kind STRING, size BIGINT, modified_us BIGINT, "
-    "permissions STRING, target STRING"
+    "permissions STRING, target STRING, open_error STRING"
 )
 READ = (
     "corpus STRING, path STRING, kind STRING, size BIGINT, modified_us BIGINT, "
@@ -46,21 +46,25 @@ def _kind(mode: int) -> str:
     return "file" if stat.S_ISREG(mode) else "other"
 
 
+def _unreadable(corpus, root, path, problem):
+    return corpus, root, path, "unreadable", 0, 0, None, None, problem.strerror or str(problem)
+
+
 def _entry(corpus, root, path, record_symlinks):
-    """Facts of one entry, following links; None when it cannot be read."""
+    """Facts of one entry, following links; one of kind `unreadable` when there are none to be had."""
     full = os.path.join(root, path) if path else root
     try:
         link = os.readlink(full) if os.path.islink(full) else None
         info = os.lstat(full) if link is not None and record_symlinks else os.stat(full)
-    except OSError:
-        return None
+    except OSError as problem:
+        return _unreadable(corpus, root, path, problem)
     kind = _kind(info.st_mode)
     if link is not None:
         # A linked folder is not entered: the walk would not end on a cycle.
         kind = "symlink" if record_symlinks else ("other" if kind == "directory" else kind)
     return (
         corpus, root, path, kind, info.st_size, info.st_mtime_ns // 1000,
-        format(stat.S_IMODE(info.st_mode) & 0o777, "o"), link,
+        format(stat.S_IMODE(info.st_mode) & 0o777, "o"), link, None,
     )
 
 
@@ -73,9 +77,7 @@ def _lister(record_symlinks: bool):
                     with os.scandir(os.path.join(root, folder) if folder else root) as names:
                         for name in names:
                             path = f"{folder}/{name.name}" if folder else name.name
-                            row = _entry(corpus, root, path, record_symlinks)
-                            if row is not None:
-                                rows.append(row)
+                            rows.append(_entry(corpus, root, path, record_symlinks))
                             if len(rows) >= BATCH_ROWS:
                                 yield pd.DataFrame(rows, columns=_COLUMNS)
                                 rows = []
@@ -83,6 +85,7 @@ def _lister(record_symlinks: bool):
                     if not folder:
                         message = f"Target directory not found: {root}"
                         raise FileNotFoundError(message) from problem
+                    rows.append(_unreadable(corpus, root, folder, problem))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return list_folders
@@ -93,13 +96,13 @@ def _keep_entry(options: PackOptions) -> str:
     keep = f"NOT {is_ignored_name(name, options)} AND NOT {is_output_file('path', options)}"
     if options.include_patterns:
         included = matches_globs(name, options.include_patterns)
-        anyway = "false" if options.include_dirs else "kind = 'directory'"
+        anyway = "false" if options.include_dirs else "kind IN ('directory', 'unreadable')"
         keep += f" AND ({anyway} OR {included})"
     return keep
 
 
 def _is_rule_file(options: PackOptions, always: bool = False) -> str:
-    names = [".gitignore"] if options.respect_gitignore or always else []
+    names = [".gitignore", ".ignore"] if options.respect_gitignore or always else []
     names += [options.custom_ignore_name] if options.custom_ignore_name else []
     wanted = ", ".join(quoted(name) for name in names)
     return f"kind = 'file' AND {paths.name_of('path')} IN ({wanted})" if names else "false"
@@ -108,6 +111,8 @@ def _is_rule_file(options: PackOptions, always: bool = False) -> str:
 def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     """Entries below the roots (corpus, root) that pass the name filters, folders included.
 
+    What cannot be looked at, a folder that cannot be listed among it, is an entry of kind `unreadable` with the reason.
+
     Ignore files themselves are kept in the listing, marked by `kept` false, since their
     rules count although they are not packed.
     """
@@ -136,7 +141,7 @@ def _reader(inline_limit: int, sample_bytes: int):
         for batch in batches:
             rows, held = [], 0
             for row in batch.itertuples(index=False):
-                raw, error = None, None
+                raw, error = None, row.open_error
                 if row.kind == "file":
                     full = os.path.join(row.root, row.path)
                     try:

@@ -117,19 +117,19 @@ def test_path_parts(evaluate, path, name, ext, folder):
 
 
 def test_paths_of_a_repository(evaluate):
-    root = "/tmp/store/github/username/repo"
-    inputs = [f"{root}/file.txt", f"{root}/src/main.rs", "/other/path/file.txt", root, root + "x/a"]
+    root = "/srv/nests/forge/wader/tern"
+    inputs = [f"{root}/eggs.csv", f"{root}/log/may/9.md", "/srv/gulls/eggs.csv", root, root + "x/a"]
     assert evaluate(paths.relative_to("x", f"'{root}'"), inputs) == [
-        "file.txt", "src/main.rs", "/other/path/file.txt", "", root + "x/a"
+        "eggs.csv", "log/may/9.md", "/srv/gulls/eggs.csv", "", root + "x/a"
     ]
-    shown = evaluate(paths.report_path("x", f"'{root}'", "'username'", "'repo'"), inputs)
+    shown = evaluate(paths.report_path("x", f"'{root}'", "'wader'", "'tern'"), inputs)
     assert shown == [
-        "username/repo/file.txt", "username/repo/src/main.rs", "/other/path/file.txt",
-        "username/repo", root + "x/a",
+        "wader/tern/eggs.csv", "wader/tern/log/may/9.md", "/srv/gulls/eggs.csv",
+        "wader/tern", root + "x/a",
     ]
-    outputs = ["pack.xml", "output/file.xml", "/tmp/output.xml"]
+    outputs = ["all.md", "packs/june/all.md", "/srv/all.md"]
     assert evaluate(paths.output_path("x", f"'{root}'"), outputs) == [
-        f"{root}/pack.xml", "output/file.xml", "/tmp/output.xml"
+        f"{root}/all.md", "packs/june/all.md", "/srv/all.md"
     ]
 
 
@@ -189,7 +189,7 @@ INVALID = [
 def test_repository_urls(evaluate):
     assert evaluate(urls.is_repo_url("x"), VALID + INVALID) == [True] * 12 + [False] * 5
     odd = [
-        "https://github.com/username/repo/", "https://github.com/a/b/tree/main", "https://GitHub.com/a/b",
+        "https://github.com/wader/tern/", "https://github.com/a/b/tree/main", "https://GitHub.com/a/b",
         "https://www.github.com/a/b", "https://u:p@github.com:443/a/b.git.git?x=1", "https://github.com/a/b\n",
         "git@github.com:a/b/c", "ftp://github.com/a/b", "https:///a/b", "http://x y/a/b#f",
     ]
@@ -201,13 +201,13 @@ def test_repository_urls(evaluate):
 
 
 def test_host_names(evaluate):
-    hosts = ["github.com", "gitlab.com", "bitbucket.org", "custom.com"]
+    hosts = ["github.com", "gitlab.com", "bitbucket.org", "forge.test"]
     kind = urls.host_kind("x")
     assert evaluate(kind, hosts) == ["github", "gitlab", "bitbucket", "git"]
-    assert evaluate(urls.host_title(kind, "x"), hosts) == ["GitHub", "GitLab", "Bitbucket", "custom.com"]
-    assert evaluate(urls.repo_display(kind, "x", "'username'", "'repo'"), hosts[:1]) == ["GitHub/username/repo"]
-    stored = evaluate(urls.storage_path(kind, "x", "'username'", "'repo'"), ["github.com", "example.com"])
-    assert stored == ["github/username/repo", "git/example.com/username/repo"]
+    assert evaluate(urls.host_title(kind, "x"), hosts) == ["GitHub", "GitLab", "Bitbucket", "forge.test"]
+    assert evaluate(urls.repo_display(kind, "x", "'wader'", "'tern'"), hosts[:1]) == ["GitHub/wader/tern"]
+    stored = evaluate(urls.storage_path(kind, "x", "'wader'", "'tern'"), ["github.com", "nest.test"])
+    assert stored == ["github/wader/tern", "git/nest.test/wader/tern"]
 
 
 @pytest.mark.parametrize(

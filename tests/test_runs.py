@@ -70,7 +70,7 @@ def test_links_and_other_entries(spark, base_tree):
     (base_tree / "broken").symlink_to("nowhere")
     os.mkfifo(base_tree / "pipe")
     followed = scanned(spark, base_tree, PLAIN)
-    assert "broken" not in followed
+    assert (followed["broken"].kind, followed["broken"].open_error) == ("unreadable", "No such file or directory")
     assert followed["pipe"].kind == followed["loop"].kind == "other"
     recorded = scanned(spark, base_tree, PackOptions(respect_gitignore=False, record_symlinks=True))
     assert recorded["broken"].target == "nowhere"
@@ -127,11 +127,15 @@ def test_ignore_file_of_a_tree(spark, base_tree):
     (base_tree / "dir1" / ".gitignore").write_text("!file2.txt\n")
     (base_tree / "dir1" / ".packignore").write_text("*.md\n")
     (base_tree / "dir1" / "more.md").write_text("x")
+    (base_tree / ".ignore").write_text("!file3.txt\n*.bin\n")
+    (base_tree / "lost").symlink_to("nowhere")
     out = new_path(spark, "packs")
     options = PackOptions(custom_ignore_name=".packignore")
-    run_trees(spark, roots_of(spark, base_tree), options, out)
+    result = run_trees(spark, roots_of(spark, base_tree), options, out)
+    assert ("project", "unreadable", 1) in [tuple(r) for r in result.rejects.collect()]
     text, _ = pack_text(out, "project")
-    for gone in ("file1.txt", "file3.txt", "binary.bin", "more.md", ".gitignore"):
+    assert "file3.txt" in text  # .ignore comes before .gitignore
+    for gone in ("file1.txt", "binary.bin", "more.md", ".gitignore"):
         assert gone not in text
     assert "project/notes.md" in text and "project/dir1/file2.txt" in text
 
