@@ -58,6 +58,8 @@ def vocabulary(path: str) -> dict[str, int]:
 
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall(text.lower()) if text else []
+    if found and not text.isascii():  # signs such as ² or Ⅷ are numbers without being digits
+        found = [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
     if found and max(map(len, found)) > LONGEST:
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found

@@ -286,6 +286,11 @@ def test_forward_sums_all_segmentations():
     assert language.forward(table, p)[0] == pytest.approx(total(language.START + word))
 
 
+def test_words_have_letters():
+    assert language.words_of("x² ² ½ Ⅷ 三 été 7") == ["x²", "三", "été"]
+    assert language.words_of("²" * 100 + " \u0660") == language.words_of(None) == []
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect() if r.lang}
