@@ -317,6 +317,20 @@ def read_failures(spark, folder):
     return rows.select("corpus", "path", "kind", "read_status", "content")
 
 
+@query
+def run_rejects(spark, folder):
+    """What a run leaves out: other things than files, files that do not open, and texts broken past their head."""
+    denied = "kind = 'file' AND permissions = '755'"
+    files = given.mixed_kinds(spark, folder).withColumns(
+        {
+            "raw": F.expr(f"if({denied}, NULL, concat(raw, X'FF'))"),
+            "size": F.expr("size + 1"),
+            "open_error": F.expr(f"if({denied}, 'denied', NULL)"),
+        }
+    )
+    return pack_run.left_out(files, content.measured(content.accepted(files), PackOptions()))
+
+
 @query
 def size_text(spark, folder):
     size = "n_chars * cast(pow(2, doc_id % 24) AS BIGINT) AS size"

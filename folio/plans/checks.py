@@ -407,6 +407,12 @@ WITH {C_}, b AS (SELECT *, CASE WHEN kind <> 'text' THEN kind WHEN size > 8192 T
 WITH {C_} SELECT corpus, path, CASE WHEN kind = 'text' AND size >= 8192 THEN 'text' ELSE 'binary' END AS kind,
   CASE WHEN kind = 'text' AND size >= 8192 THEN 'read_error' ELSE 'binary' END AS read_status,
   CASE WHEN kind = 'text' AND size >= 8192 THEN '{READ_FAILED}' END AS content FROM c""",
+    "run_rejects": f"""
+WITH {KINDS_}, r AS (
+  SELECT c.corpus, CASE WHEN x.kind = 'other' THEN 'other' WHEN x.kind = 'symlink' THEN NULL
+           WHEN permissions = '755' THEN 'unreadable' WHEN x.kind = 'text' AND size >= 8192 THEN 'read_error' END AS reason
+  FROM c JOIN x USING (corpus, path))
+SELECT corpus, reason, count(*) AS entries FROM r WHERE reason IS NOT NULL GROUP BY corpus, reason""",
     "size_text": f"""
 SELECT doc_id, {size_words('size')} AS size_text
 FROM (SELECT doc_id, n_chars * (CAST(1 AS BIGINT) << CAST(doc_id % 24 AS INTEGER)) AS size FROM documents)""",
