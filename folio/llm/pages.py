@@ -8,8 +8,10 @@ are the host's template. What the template leaves open are its slots: the paths
 
 A slot is dropped when its path lies in the frame of a page (menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles, comments: by element, class or id), when most of its text is links outside an article, or when its text
-is part of the template itself. Pages whose host has no valid template are judged by their paths alone. Where a page has
-an article or main element with text, only that element is read.
+is part of the template itself. The last two are judged on whole blocks, so no sentence loses its links or its fixed words:
+a block is mostly links if it is so itself and so are, together, all blocks with its path on the host (links and the text
+beside them); it belongs to the template if every text in it does. Pages whose host has no valid template are judged by
+their paths alone. Where a page has an article or main element with text, only that element is read.
 
 Blocks end at block-level tags; a line break is white space. Null and empty pages give an empty text; repeated rows are
 extracted alike. Other columns are carried along, those named like a result are replaced.
@@ -145,6 +147,14 @@ def inside(path: str) -> bool:
     return any(n in ("article", "main") or role == "main" for n, _, role in names)
 
 
+def block_path(path: str) -> str:
+    """A path up to its last block element: that of the block which holds a text."""
+    elements = path.split("/")
+    while elements and re.split("[.@!]", elements[-1], maxsplit=1)[0] not in BLOCKS:
+        elements.pop()
+    return "/".join(elements)
+
+
 def framed(path: str) -> bool:
     return any(framing(e) for e in path.split("/"))
 
@@ -156,17 +166,21 @@ def _hash(text: str) -> int:
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per page: each path with its count and letters, and each text outside articles as a token of its own."""
+    """Per page: each path with its count, the letters of its blocks, and each text outside articles as a token of its own."""
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"]):
             own = _hash(page or "")
             paths: dict[str, list[int]] = {}
+            holders: dict[str, str] = {}
             texts: dict[tuple[str, int], int] = {}
             for path, text, _, link in parsed(page):
                 n = len(text.strip())
-                seen = paths.setdefault(path, [0, 0, 0])
-                seen[0] += 1
+                if path not in holders:
+                    holders[path] = block_path(path)
+                    paths.setdefault(holders[path], [0, 0, 0])
+                paths.setdefault(path, [0, 0, 0])[0] += 1
+                seen = paths[holders[path]]
                 seen[1] += n
                 seen[2] += n * link
                 if n and not inside(path):
@@ -183,7 +197,7 @@ def host_of(url: str) -> F.Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row per host with a valid template: host, drop_paths, drop_texts (hashes of `path` and text)."""
+    """One row per host with a valid template: host, drop_paths (of blocks made of links), drop_texts (hashes of `path` and text)."""
     # Copies of a page say nothing about a template: each different page of a host counts once.
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
     schema = "host string, page long, path string, text long, n int, chars long, link_chars long"
@@ -212,25 +226,33 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
 def page_text(page: str | None, drop_paths=(), drop_texts=()) -> str:
     """The open slots of a page, as blocks."""
-    verdicts: dict[str, tuple[bool, bool]] = {}
+    verdicts: dict[str, tuple[bool, bool, bool]] = {}
+    # Per kind, the blocks: number, texts, letters, letters in links, letters in texts of the template, whether a slot of links.
     blocks: dict[bool, list[list]] = {True: [], False: []}
-    links, texts = set(drop_paths), set(drop_texts)
-    for path, text, block, _ in parsed(page):
+    links, fixed = set(drop_paths), set(drop_texts)
+    for path, text, block, link in parsed(page):
         if path not in verdicts:
-            main = inside(path)
-            verdicts[path] = (framed(path) or not main and path in links, main)
-        dropped, main = verdicts[path]
+            verdicts[path] = framed(path), inside(path), bool(links) and block_path(path) in links
+        dropped, main, linked = verdicts[path]
         if dropped:
             continue
-        if texts and not main and f"{path}\n{_hash(' '.join(text.split()))}" in texts:
-            continue
         own = blocks[main]
-        if own and own[-1][0] == block:
-            own[-1][1].append(text)
-        else:
-            own.append([block, [text]])
+        if not own or own[-1][0] != block:
+            own.append([block, [], 0, 0, 0, linked])
+        last = own[-1]
+        last[1].append(text)
+        n = len(text.strip())
+        last[2] += n
+        last[3] += n * link
+        if n and fixed and not main and f"{path}\n{_hash(' '.join(text.split()))}" in fixed:
+            last[4] += n
     for main in (True, False):
-        found = [t for _, parts in blocks[main] if (t := " ".join("".join(parts).split()))]
+        found = []
+        for _, parts, n, in_links, in_template, linked in blocks[main]:
+            if not main and n and (linked and in_links > LINK_SHARE * n or in_template == n):
+                continue
+            if t := " ".join("".join(parts).split()):
+                found.append(t)
         if found:
             return "\n".join(found)
     return ""

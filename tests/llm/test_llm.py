@@ -265,6 +265,20 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def host_pages(spark, htmls):
+    table = [(k, "http://one.test/", h) for k, h in enumerate(htmls)]
+    found = pages.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_links_in_sentences_stay(spark):
+    # A menu goes with its separators; a sentence keeps its links, also where its other words are the same on every page.
+    menu = "<div class=m><a href=/>Home</a> | <a href=/n>News</a> | <a href=/{0}>Page {0}</a></div>"
+    post = "<div class=post><p>See <a href=x><b>the</b> report</a> for {0} more<p><a href=/{0}>Link {0}</a><p>Words and words {0}</div>"
+    got = host_pages(spark, [(menu + post).format(k) for k in range(8)])
+    assert got == [f"See the report for {k} more\nLink {k}\nWords and words {k}" for k in range(8)]
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     known = language.vocabulary(PIECES)
