@@ -48,11 +48,21 @@ FRAME = set(
     "nav header footer aside form head script style noscript template iframe svg math button select textarea input menu"
     " dialog title object canvas audio video".split()
 )
+_FRAME = (
+    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?|banner|sidebar|nav|navbar|navigation|menu"
+    r"|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|share"
+    r"|sharing|social|related|recommended|comments?|respond|replies|disqus|pagination|pager|widget|toolbar"
+)
+#: Whole class or id names, or names of parts of a page in front of one (`site-header`) or of forms of one behind (`nav-list`).
 FRAME_NAMES = re.compile(
-    r"(?:\A|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?|banner|sidebar|side|nav|navbar"
-    r"|navigation|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe"
-    r"|signup|login|share|sharing|social|related|recommended|comments?|respond|replies|disqus|form|search|pagination|pager"
-    r"|widget|toolbar)(?:\Z|[-_ ])",
+    rf"(?:{_FRAME}|side|form|search|(?:search|login|signup|comment|contact|subscribe|newsletter)[-_](?:form|box|bar|field)"
+    r"|(?:side|nav|menu|tool|ad|cookie|consent|notice|alert|share|social|promo)[-_]?(?:bar|box|banner|menu|nav|list|links|items?"
+    r"|buttons?|icons?|wrapper|container|area|block|slot|unit)"
+    rf"|(?:site|page|global|main|primary|secondary|top|bottom|left|right|mobile|sticky)[-_](?:{_FRAME})"
+    r"|(?:reader|user|post|article|blog|entry|disqus|fb|facebook)[-_]comments?|comments?[-_](?:list|area|section|wrapper|thread)"
+    r"|(?:related|recommended)[-_](?:posts?|articles?|links?|stories|content|items?)"
+    r"|(?:share|social|sharing|post|article)[-_](?:share|sharing|social|buttons?|icons?)"
+    r"|(?:cookie|privacy|consent|gdpr)[-_](?:notice|consent|banner|popup|modal))",
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "alert", "dialog"}
@@ -65,16 +75,22 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 CLOSE_P = BLOCKS - {"body", "html", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute of a tag, its value with it.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Names do not contain the signs that a path is made of.
+SIGNS = str.maketrans("/@!", "___")
 
 
 def label(name: str, rest: str) -> str:
     """An element as a path names it: its tag, with class, id and role."""
-    if "=" not in rest and "hidden" not in rest:
+    name = name.translate(SIGNS)
+    if "=" not in rest and "hidden" not in rest.lower():
         return name
-    found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(rest)}
-    marks = " ".join(v for k in ("class", "id") if (v := " ".join(found.get(k, "").split())))
-    role = found.get("role", "").strip().lower()
+    found: dict[str, str] = {}
+    for a, x, y, z in ATTRIBUTE.findall(rest):
+        found.setdefault(a.lower(), x or y or z)
+    marks = " ".join(v for k in ("class", "id") if (v := " ".join(found.get(k, "").split()))).translate(SIGNS)
+    role = found.get("role", "").strip().lower().translate(SIGNS)
     return name + (f".{marks}" if marks else "") + (f"@{role}" if role else "") + ("!" if "hidden" in found else "")
 
 
@@ -84,7 +100,7 @@ def framing(element: str) -> bool:
     name, _, marks = body.partition(".")
     if name.rstrip("!") in FRAME or role.rstrip("!") in ROLES or element.endswith("!"):
         return True
-    return bool(marks) and any(FRAME_NAMES.search(m) for m in marks.rstrip("!").split())
+    return bool(marks) and any(FRAME_NAMES.fullmatch(m) for m in marks.rstrip("!").split())
 
 
 def parsed(page: str | None) -> Iterator[tuple[str, str, int, bool]]:

@@ -279,6 +279,18 @@ def test_links_in_sentences_stay(spark):
     assert got == [f"See the report for {k} more\nLink {k}\nWords and words {k}" for k in range(8)]
 
 
+def test_only_attributes_frame_an_element():
+    label = pages.label
+    assert label("div", ' style="overflow:hidden" title="The hidden gem" data-class="footer"') == label("a", ' href="/a?id=footer"').replace("a", "div")
+    assert label("p", " class = 'a  b' ID=c HIDDEN role=Main class=nav") == "p.a b c@main!" and label("p", ' class="w-1/2 !m"') == "p.w-1_2 _m"
+    assert label("img", ' title="it\'s hidden" alt=\'say "id=nav"\' hidden=""') == "img!"
+    for name in ("article-header", "side-by-side", "search-results", "form-factor", "alert-history", "notice-of-award"):
+        assert pages.page_text(f"<article><div class={name}>kept</div><p>x</article>") == "kept\nx", name
+    for name in ("site-header", "reader-comments", "sidebar", "NAV", "x search-form", "cookie-banner", "related_posts"):
+        assert pages.page_text(f"<main><div class='{name}'>gone</div><p>x</main>") == "x", name
+    assert pages.page_text('<main><p style="overflow:hidden">a<p title="The hidden gem">b<a href="/a?id=footer">c</a><p hidden>d') == "a\nbc"
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     known = language.vocabulary(PIECES)
