@@ -3,8 +3,10 @@
 A page is a sequence of tokens: its tags with their paths, and its text nodes. Over the pages of a host every token has an
 occurrence vector, its counts by page. Vectors are not built: an order-free hash of (page, count) stands for them, so
 Spark groups tokens by partial aggregation, whatever the size of a host. Tokens with equal vectors form an equivalence
-class. A class is valid with at least `LEAST_PAGES` pages and `LEAST_TOKENS` tokens; valid classes nest by their paths and
-are the host's template. What the template leaves open are its slots: the paths under which texts vary.
+class. A class is valid with at least `LEAST_PAGES` pages and `LEAST_TOKENS` tokens. Valid classes nest: a class lies in the
+one whose element is nearest above it, and so on no more pages than that. The host's template is made of the classes that
+have elements, such as each of its layouts, and of the classes of texts alone that stand on `TEMPLATE_SHARE` of the pages
+of the class around them; fewer pages with a passage in common are no layout. What the template leaves open are its slots.
 
 A slot is dropped when its path lies in the frame of a page (menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles, comments: by element, class or id), when most of its text is links outside an article, or when its text
@@ -32,7 +34,7 @@ from folio.llm.common import staged
 
 LEAST_PAGES = 5
 LEAST_TOKENS = 2
-#: A text is part of the template when it stands on this share of a host's different pages, outside articles.
+#: Texts of a class without elements are part of the template on this share of the pages of the class around it.
 TEMPLATE_SHARE = 0.6
 LINK_SHARE = 0.6
 SALTS = 16
@@ -103,8 +105,9 @@ def framing(element: str) -> bool:
     return bool(marks) and any(FRAME_NAMES.fullmatch(m) for m in marks.rstrip("!").split())
 
 
-def parsed(page: str | None) -> Iterator[tuple[str, str, int, bool]]:
-    """The texts of a page in order: path, text, number of the block, whether it lies in a link."""
+def parsed(page: str | None, tags: bool = False) -> Iterator[tuple[str, str, int, bool]]:
+    """The texts of a page in order: path, text, number of the block, whether it lies in a link; with `tags`, an empty text
+    for every element that opens."""
     page = page or ""
     stack: list[tuple[str, str]] = []
     block, at, path, link = 0, 0, "", False
@@ -146,6 +149,8 @@ def parsed(page: str | None) -> Iterator[tuple[str, str, int, bool]]:
             stack.append((name, label(name, rest)))
         path = "/".join([mark for _, mark in stack])
         link = any(n == "a" for n, _ in stack)
+        if tags and not closing and name not in VOID and name not in RAW:
+            yield path, "", block, link
 
 
 def _close(stack: list[tuple[str, str]], names: set[str], scope: set[str]) -> None:
@@ -182,7 +187,7 @@ def _hash(text: str) -> int:
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per page: each path with its count, the letters of its blocks, and each text outside articles as a token of its own."""
+    """Per page: each path with its count of elements, the letters of its blocks, and each text outside articles as a token of its own."""
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"]):
@@ -190,12 +195,12 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             paths: dict[str, list[int]] = {}
             holders: dict[str, str] = {}
             texts: dict[tuple[str, int], int] = {}
-            for path, text, _, link in parsed(page):
+            for path, text, _, link in parsed(page, tags=True):
                 n = len(text.strip())
                 if path not in holders:
                     holders[path] = block_path(path)
                     paths.setdefault(holders[path], [0, 0, 0])
-                paths.setdefault(path, [0, 0, 0])[0] += 1
+                paths.setdefault(path, [0, 0, 0])[0] += text == ""
                 seen = paths[holders[path]]
                 seen[1] += n
                 seen[2] += n * link
@@ -222,15 +227,26 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     seen = tokens.groupBy("host", "path", "text").agg(
         vector, F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
     )
-    total = tokens.groupBy("host").agg(F.count_distinct("page").alias("all_pages"))
-    classes = seen.groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.max("pages").alias("support"))
+    # Tokens of a class stand on the same pages: texts on fewer pages are in no valid one.
+    seen = staged(seen.where(F.col("text").isNull() | (F.col("pages") >= LEAST_PAGES)), "page-classes")
+    classes = seen.groupBy("host", "vector").agg(
+        F.count("*").alias("tokens"), F.max("pages").alias("support"), F.max(F.col("text").isNull()).alias("has_elements")
+    )
     valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("support") >= LEAST_PAGES))
-    hosts = valid.select("host").distinct().join(total, "host")
-    # A text in the class of what stands on nearly every page belongs to the template; so do slots made of links.
-    judged = seen.join(hosts, "host")
-    fixed = judged.where(F.col("text").isNotNull() & (F.col("pages") >= LEAST_PAGES))
-    fixed = fixed.where(F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages"))
-    slots = judged.where(F.col("text").isNull() & (F.col("link_chars") > LINK_SHARE * F.col("chars")))
+    members = seen.join(valid, ["host", "vector"])
+    hosts = valid.groupBy("host").agg(F.max("support").alias("top"))
+    texts = members.where(F.col("text").isNotNull())
+    # The class around a text: that of the nearest element above it which is in a class; without one, the widest of the host.
+    around = members.where(F.col("text").isNull()).select("host", F.col("path").alias("above"), F.col("support").alias("outer"))
+    prefixes = "transform(split(path, '/'), (e, k) -> array_join(slice(split(path, '/'), 1, k + 1), '/'))"
+    alone = texts.where(~F.col("has_elements")).withColumn("above", F.explode(F.expr(prefixes)))
+    nested = alone.join(around, ["host", "above"], "left").groupBy("host", "path", "text").agg(
+        F.max("support").alias("support"), F.max_by("outer", F.when(F.col("outer").isNotNull(), F.length("above"))).alias("outer")
+    )
+    nested = nested.join(hosts, "host").where(F.col("support") >= TEMPLATE_SHARE * F.coalesce("outer", "top"))
+    fixed = texts.where("has_elements").select("host", "path", "text").unionByName(nested.select("host", "path", "text"))
+    # Slots made of links.
+    slots = seen.where(F.col("text").isNull() & (F.col("link_chars") > LINK_SHARE * F.col("chars"))).join(hosts, "host")
     drops = slots.select("host", F.col("path"), F.lit(None).cast("long").alias("text")).unionByName(
         fixed.select("host", "path", "text")
     )

@@ -291,6 +291,24 @@ def test_only_attributes_frame_an_element():
     assert pages.page_text('<main><p style="overflow:hidden">a<p title="The hidden gem">b<a href="/a?id=footer">c</a><p hidden>d') == "a\nbc"
 
 
+def test_every_layout_of_a_host_is_template(spark):
+    # Three layouts, each on a third of the pages, with varying numbers of paragraphs; a passage that some pages share is text.
+    made, want = [], []
+    for k in range(30):
+        kind, paragraphs = "abc"[k % 3], [f"Own {k} {j}" for j in range(1 + k % 4)] + ["Passage one", "Passage two"] * (k < 6)
+        body = "".join(f"<p>{t}</p>" for t in paragraphs)
+        made.append(f"<body><div class=l{kind}><p>Shop {kind}</p><div>{body}</div><p>Call {kind} now</p></div></body>")
+        want.append("\n".join(paragraphs))
+    assert host_pages(spark, made) == want
+    # A text on most pages whose occurrences no other token shares is in no class.
+    made = [f"<body><p>Own {k}</p>{'<p>Some news</p>' * (k > 2)}</body>" for k in range(12)]
+    made = [m + f"<p>more {k}</p>" * (k % 2) for k, m in enumerate(made)]
+    assert ["Some news" in t for t in host_pages(spark, made)] == [k > 2 for k in range(12)]
+    # Two texts of one class on most pages are in it.
+    made = [f"<body><p>Own {k}</p>{'<p>Some news</p><p>Other news</p>' * (k > 2)}{f'<p>more {k}</p>' * (k % 2)}</body>" for k in range(12)]
+    assert host_pages(spark, made) == [f"Own {k}" + f"\nmore {k}" * (k % 2) for k in range(12)]
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     known = language.vocabulary(PIECES)
