@@ -8,7 +8,7 @@ expectation maximisation: expected counts of pieces are summed by Spark over the
 A text is scored by the sum over its words plus the log share of the language; `score` is the share of the winner among
 all languages, as a probability. Texts that are null or have no letter, and all texts when nothing could be learned, are
 `und` with score 0. Words of more than `LONGEST` letters are scored in parts of that length. Ties go to the language
-that comes first by name. Repeated rows are scored alike; other columns are carried along.
+that comes first by name. All labelled documents are learned from. Repeated rows are scored alike; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import staged
 
-#: At most about this many labelled documents are used to learn the probabilities.
-TRAIN_DOCUMENTS = 12_000
 ROUNDS = 3
 LONGEST_PIECE = 8
 LONGEST = 40
@@ -126,14 +124,12 @@ class Languages:
     path: str
 
 
-def train(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Languages:
-    """Piece probabilities from rows with a text and a language; of more than TRAIN_DOCUMENTS rows, a share by hash."""
+def train(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang") -> Languages:
+    """Piece probabilities from all rows with a text and a language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     shares = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     names = sorted(shares)
     total = sum(shares.values())
-    share = min(1.0, TRAIN_DOCUMENTS / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(29), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,7 +138,7 @@ def train(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang"
                 counts[name].update(words_of(value))
             yield pd.DataFrame([(g, w, c) for g, ws in counts.items() for w, c in ws.items()], columns=["g", "w", "c"])
 
-    words = chosen.select(lang, text).mapInPandas(count_words, "g string, w string, c long")
+    words = rows.select(lang, text).mapInPandas(count_words, "g string, w string, c long")
     words = staged(words.groupBy("g", "w").agg(F.sum("c").alias("c")), "language-words")
     size = len(vocabulary(path)) + 2
     p = np.full((size, max(1, len(names))), 1.0 / size)

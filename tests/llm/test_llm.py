@@ -349,6 +349,16 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 and r.part == 0 for r in odd.values())
 
 
+def test_small_languages_are_learned(spark):
+    # Three documents of one language among very many of another.
+    many = spark.range(40_000).selectExpr("id AS doc_id", "'the cat sat on the mat' AS text", "'en' AS lang")
+    few = spark.createDataFrame([(100_000 + k, "le chat est assis sur le tapis", "fr") for k in range(3)], many.schema)
+    model = language.train(many.unionByName(few), PIECES)
+    assert model.names == ["en", "fr"] and all(p.max() > 9 * p[2:].min() for p in model.p.T)
+    asked = spark.createDataFrame([(1, "le chat sur le tapis"), (2, "the cat on the mat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()} == {1: "fr", 2: "en"}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)] + [(7, 7)]
