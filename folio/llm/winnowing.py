@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-Grams are runs of `GRAM` words (white space ends a word, and so does every `WORD_CHARS`th character of a longer one).
+Grams are runs of `GRAM` words. White space ends a word; of runs of more than `WORD_CHARS` characters without white space,
+as in Chinese, Japanese or Thai, every character is a word, so no gram depends on how far into its run it lies.
 Their hashes roll by doubling: a gram's hash is made from those of its halves. In each window of `WINDOW` grams the
 smallest hash is chosen, the rightmost of equal ones: hash and position are packed into one number whose order is that of
 the choice, so a window's choice is a minimum, and sliding minima are built by doubling too. Texts that share a run of
@@ -33,7 +34,7 @@ def _let(name: str, value: str, then: str) -> str:
 
 def chosen(text: str) -> str:
     """SQL: the chosen grams of a text, as packed numbers in order of their windows."""
-    words = f"regexp_extract_all({text}, '\\\\S{{1,{WORD_CHARS}}}', 0)"
+    words = f"regexp_extract_all({text}, '(?<!\\\\S)\\\\S{{1,{WORD_CHARS}}}(?!\\\\S)|\\\\S', 0)"
     hashes = "transform(w, x -> xxhash64(x))"
     pairs = "zip_with(h, slice(h, 2, size(h)), (x, y) -> xxhash64(x, y))"
     fours = "slice(zip_with(p, slice(p, 3, size(p)), (x, y) -> xxhash64(x, y)), 1, size(p) - 3)"

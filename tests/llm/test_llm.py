@@ -246,6 +246,19 @@ def test_winnowing(spark):
     assert winnowing.fingerprints(rows(spark, [])).count() == 0
 
 
+def test_winnowing_without_white_space(spark):
+    rng = random.Random(5)
+    for start, size in ((0x4E00, 3000), (0x20000, 3000), (0x61, 26)):
+        text = "".join(chr(start + rng.randrange(size)) for _ in range(400))
+        other = "".join(chr(start + rng.randrange(size)) for _ in range(150))
+        asked = {"whole": text, "moved": chr(start) + text, "part": other[:77] + text[100:119] + other[77:]}
+        values = ", ".join(f"('{k}', '{v}')" for k, v in asked.items())
+        marks = spark.sql(f"SELECT k, {winnowing.hashes_of(winnowing.chosen('t'))} AS m FROM VALUES {values} AS v(k, t)").collect()
+        found = {r.k: set(r.m) for r in marks}
+        assert len(found["whole"] & found["moved"]) >= 0.9 * len(found["whole"] | found["moved"])
+        assert found["whole"] & found["part"]
+
+
 def test_pages(spark):
     nav = "<nav><ul><li><a href=x>menu</a></ul></nav>"
     html = {
