@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from folio.llm.common import staged
 
 ROUNDS = 3
-LONGEST_PIECE = 8
 LONGEST = 40
 SMOOTHING = 0.1
 #: Words whose scores a process keeps; beyond it the table starts anew.
 KEPT_WORDS = 400_000
 START = "▁"
+#: No longer piece, with the start mark, can lie in a word.
+LONGEST_PIECE = LONGEST + 1
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Piece numbers: no such piece, and a character that the vocabulary lacks.
@@ -54,6 +55,12 @@ def vocabulary(path: str) -> dict[str, int]:
     return found
 
 
+@cache
+def longest(path: str) -> int:
+    """Characters of the longest piece of the vocabulary, 1 at least."""
+    return max(map(len, vocabulary(path)), default=1)
+
+
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall(text.lower()) if text else []
     if found and not text.isascii():  # signs such as ² or Ⅷ are numbers without being digits
@@ -65,13 +72,13 @@ def words_of(text: str | None) -> list[str]:
 
 def lattices(words: list[str], path: str) -> Iterator[tuple[list[int], np.ndarray]]:
     """For words of one length at a time: their places, and the piece that starts at i and has m + 1 characters."""
-    pieces = vocabulary(path)
+    pieces, most = vocabulary(path), longest(path)
     by_length = defaultdict(list)
     for k, word in enumerate(words):
         by_length[len(word) + 1].append(k)
     for length, places in by_length.items():
-        spans = [(i, m) for i in range(length) for m in range(min(LONGEST_PIECE, length - i))]
-        table = np.zeros((len(places), length, LONGEST_PIECE), np.int32)
+        spans = [(i, m) for i in range(length) for m in range(min(most, length - i))]
+        table = np.zeros((len(places), length, most), np.int32)
         marked = [START + words[k] for k in places]
         for i, m in spans:
             table[:, i, m] = [pieces.get(w[i : i + m + 1], NO_PIECE) for w in marked]
@@ -100,18 +107,17 @@ def expected(table: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray
     n, length, most = table.shape
     before, after = np.zeros((length + 1, n)), np.zeros((length + 1, n))
     before[0], after[length] = 1, 1
-    for i in range(length):
-        for m in range(min(most, length - i)):
-            before[i + m + 1] += before[i] * p[table[:, i, m]]
-    for i in range(length - 1, -1, -1):
-        for m in range(min(most, length - i)):
-            after[i] += after[i + m + 1] * p[table[:, i, m]]
+    # Places of each span that have a piece there; spans without one add nothing.
+    some = {(i, m): np.flatnonzero(table[:, i, m]) for i in range(length) for m in range(min(most, length - i))}
+    spans = [(i, m, at, table[at, i, m]) for (i, m), at in some.items() if len(at)]
+    for i, m, at, piece in spans:
+        before[i + m + 1, at] += before[i, at] * p[piece]
+    for i, m, at, piece in reversed(spans):
+        after[i, at] += after[i + m + 1, at] * p[piece]
     scale = weight / np.maximum(before[length], 1e-300)
     counts = np.zeros(len(p))
-    for i in range(length):
-        for m in range(min(most, length - i)):
-            used = before[i] * p[table[:, i, m]] * after[i + m + 1] * scale
-            counts += np.bincount(table[:, i, m], used, len(p))
+    for i, m, at, piece in spans:
+        counts += np.bincount(piece, before[i, at] * p[piece] * after[i + m + 1, at] * scale[at], len(p))
     counts[NO_PIECE] = 0
     return counts
 

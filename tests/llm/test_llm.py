@@ -343,6 +343,18 @@ def test_forward_sums_all_segmentations():
     assert language.forward(table, p)[0] == pytest.approx(total(language.START + word))
 
 
+def test_the_longest_pieces_count():
+    known = language.vocabulary(PIECES)
+    piece = max(known, key=len)
+    assert len(piece) == language.longest(PIECES) > 8 and piece[0] == language.START
+    p = np.zeros((len(known) + 2, 1))
+    p[known[piece]] = 0.25
+    ((_, table),) = language.lattices([piece[1:]], PIECES)
+    assert language.forward(table, p).tolist() == [[0.25]]
+    counts = language.expected(table, p[:, 0], np.array([3.0]))
+    assert counts[known[piece]] == pytest.approx(3) and counts.sum() == pytest.approx(3)
+
+
 def test_words_have_letters():
     assert language.words_of("x² ² ½ Ⅷ 三 été 7") == ["x²", "三", "été"]
     assert language.words_of("²" * 100 + " \u0660") == language.words_of(None) == []
