@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, language, lines, near_dedup, packing, pages, quality, search, winnowing
+from folio.llm import bpe, chat, language, lines, near_dedup, packing, pages, quality, search, token_counts, winnowing
 from folio.llm.common import crc_of_id
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,6 +106,11 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.link(table(spark, folder, "documents"), words=4)
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count(table(spark, folder, "documents").select("doc_id", "text"), BYTE_BPE)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
+    "op13_token_counts": op13_token_counts,
 }
 
 #: Turns escaped as the template does; a control string behind its first character, after any backslashes.
