@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, language, lines, near_dedup, packing, pages, quality, search, token_counts, winnowing
+from folio.llm import bpe, chat, hard_negatives, language, lines, near_dedup, packing, pages, quality, search, token_counts, winnowing
 from folio.llm.common import crc_of_id
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,6 +106,11 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.link(table(spark, folder, "documents"), words=4)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count(table(spark, folder, "documents").select("doc_id", "text"), BYTE_BPE)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -129,6 +135,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g')"
 
 CHECKS: dict[str, str] = {
+    "op12_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+           list_dot_product(a.e, o.e)::BIGINT AS score
+    FROM v a JOIN v o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score
+    FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n
+  ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
+""",
     "op2_chat": f"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
