@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, hard_negatives, language, lines, near_dedup, packing, pages, quality, search, token_counts, winnowing
+from folio.llm import bpe, chat, hard_negatives, language, lines, near_dedup, packing, pages, prefix_trie, quality, search, token_counts, winnowing
 from folio.llm.common import crc_of_id
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,6 +106,11 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.link(table(spark, folder, "documents"), words=4)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, folder, "conversations"))
+    return prefix_trie.build(*prefix_trie.with_lent_heads(turns)).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }
@@ -134,7 +140,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Turns escaped as the template does; a control string behind its first character, after any backslashes.
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g')"
 
+#: crc32 of the decimal text of conv_id, bit by bit: each byte comes in with the first of its eight steps.
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, e: CASE WHEN xor(c, e) % 2 = 1 THEN xor(xor(c, e) // 2, 3988292384::BIGINT) ELSE xor(c, e) // 2 END
+), 4294967295::BIGINT)"""
+
 CHECKS: dict[str, str] = {
+    "op11_prefix_trie": f"""
+WITH own AS (
+    SELECT conv_id, {_CRC} % 9 AS h,
+           list(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')
+                ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns,
+           list(strlen(coalesce(text, ''))::BIGINT ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS sizes
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+    SELECT own.conv_id,
+           list_concat(list_slice(coalesce(base.turns, []), 1, own.h), list_slice(own.turns, own.h + 1, 1000000)) AS turns,
+           list_concat(list_slice(coalesce(base.sizes, []), 1, own.h), list_slice(own.sizes, own.h + 1, 1000000)) AS sizes
+    FROM own LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 5
+), paths AS (
+    SELECT conv_id, d AS depth, len(turns) AS n,
+           CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size,
+           sha256(array_to_string(list_transform(list_slice(turns, 1, d), lambda x: sha256(x)), ',')) AS node,
+           CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(list_slice(turns, 1, d - 1), lambda x: sha256(x)), ',')) END AS parent
+    FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+           max(n) = depth AS is_leaf, (count(*) - 1) * any_value(size) AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+    FROM paths GROUP BY node, depth
+), children AS (
+    SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM nodes GROUP BY parent, depth
+), sums AS (
+    SELECT p.node, p.depth, count(*) FILTER (WHERE is_leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM nodes JOIN paths p ON p.conv_id = nodes.conv_id AND p.depth <= nodes.depth GROUP BY p.node, p.depth
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes
+JOIN sums ON sums.node = nodes.node AND sums.depth = nodes.depth
+LEFT JOIN children ON children.parent = nodes.node AND children.depth = nodes.depth
+LEFT JOIN nodes up ON up.node = nodes.parent AND up.depth = nodes.depth - 1
+""",
     "op12_hard_negatives": """
 WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
