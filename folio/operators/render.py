@@ -208,7 +208,7 @@ def _txt_header(options: PackOptions) -> str:
     return lines(
         system,
         f"if(repo_url IS NULL, NULL, {repository})",
-        "concat('<codebase name=\"', corpus, '\">')",
+        "concat('<codebase name=\"', coalesce(corpus, ''), '\">')",
     )
 
 

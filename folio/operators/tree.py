@@ -30,7 +30,7 @@ def directory_rows(dirs: DataFrame) -> DataFrame:
     return dirs.selectExpr(
         "corpus",
         "dir",
-        f"if(dir = '', corpus, {paths.name_of('dir')}) AS name",
+        f"if(dir = '', coalesce(corpus, ''), {paths.name_of('dir')}) AS name",
         f"{paths.packed_path('dir')} AS packed_path",
         f"{paths.depth_of('dir')} AS depth",
     )

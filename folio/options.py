@@ -17,30 +17,36 @@ SHOW_ALL_UP_TO = 15
 
 # Names that are skipped unless the caller asks otherwise. Entries with a
 # glob character only take effect when `default_globs` is set.
-DEFAULT_IGNORE = """
-.git .svn .hg .bzr .gitignore .gitattributes
-.DS_Store Thumbs.db desktop.ini ehthumbs.db *.lnk *.url .directory
-node_modules bower_components .npm package-lock.json yarn.lock pnpm-lock.yaml .pnpm .yarn
-yarn-error.log vendor composer.lock .pnpm-store npm-shrinkwrap.json lerna-debug.log .yalc .turbo
-dist build out bin release *.min.js *.min.css bundle.* .parcel-cache .next .nuxt .output .cache
-.rollup.cache .webpack .serverless .netlify storybook-static
-__pycache__ .pytest_cache .coverage venv env .env .venv *.pyc *.pyo *.pyd .python-version
-*.egg-info *.egg develop-eggs
-target Cargo.lock .cargo
-.idea .vscode .vs .sublime-* *.swp *.swo *~ .project .settings .classpath .factorypath
-*.iml *.iws *.ipr
-.cache tmp temp logs .sass-cache .eslintcache *.log npm-debug.log* yarn-debug.log* yarn-error.log*
-.gradle gradle .maven .m2 *.class *.jar *.war *.ear
-coverage .nyc_output .next *.tsbuildinfo .nuxt .output
-bin obj Debug Release packages *.suo *.user *.pubxml *.pubxml.user
-_site .jekyll-cache .docusaurus
-.gradle build xcuserdata *.xcworkspace Pods/ .expo
-*.sqlite *.sqlite3 *.db
-*.zip *.tar.gz *.tgz *.rar
-.kube *.kubeconfig
-.terraform *.tfstate *.tfvars
-*.retry
-""".split()
+DEFAULT_IGNORE = (
+    ".git", ".svn", ".hg", ".bzr", ".gitignore", ".gitattributes",
+    ".DS_Store", "Thumbs.db", "desktop.ini", "ehthumbs.db", "*.lnk", "*.url", ".directory",
+    "node_modules", "bower_components", ".npm", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".pnpm",
+    ".yarn",
+    "yarn-error.log", "vendor", "composer.lock", ".pnpm-store", "npm-shrinkwrap.json", "lerna-debug.log", ".yalc",
+    ".turbo",
+    "dist", "build", "out", "bin", "release", "*.min.js", "*.min.css", "bundle.*", ".parcel-cache", ".next",
+    ".nuxt", ".output", ".cache",
+    ".rollup.cache", ".webpack", ".serverless", ".netlify", "storybook-static",
+    "__pycache__", ".pytest_cache", ".coverage", "venv", "env", ".env", ".venv", "*.pyc", "*.pyo", "*.pyd",
+    ".python-version",
+    "*.egg-info", "*.egg", "develop-eggs",
+    "target", "Cargo.lock", ".cargo",
+    ".idea", ".vscode", ".vs", ".sublime-*", "*.swp", "*.swo", "*~", ".project", ".settings", ".classpath",
+    ".factorypath",
+    "*.iml", "*.iws", "*.ipr",
+    ".cache", "tmp", "temp", "logs", ".sass-cache", ".eslintcache", "*.log", "npm-debug.log*", "yarn-debug.log*",
+    "yarn-error.log*",
+    ".gradle", "gradle", ".maven", ".m2", "*.class", "*.jar", "*.war", "*.ear",
+    "coverage", ".nyc_output", ".next", "*.tsbuildinfo", ".nuxt", ".output",
+    "bin", "obj", "Debug", "Release", "packages", "*.suo", "*.user", "*.pubxml", "*.pubxml.user",
+    "_site", ".jekyll-cache", ".docusaurus",
+    ".gradle", "build", "xcuserdata", "*.xcworkspace", "Pods/", ".expo",
+    "*.sqlite", "*.sqlite3", "*.db",
+    "*.zip", "*.tar.gz", "*.tgz", "*.rar",
+    ".kube", "*.kubeconfig",
+    ".terraform", "*.tfstate", "*.tfvars",
+    "*.retry",
+)
 
 # Name, model id, provider, context window.
 MODELS = [
@@ -58,6 +64,8 @@ MODELS = [
 ]
 
 FORMATS = ("txt", "xml")
+# Formats of the caller's own, by name; see `folio.operators.writers`.
+WRITERS: dict = {}
 
 
 @dataclass(frozen=True)
@@ -87,10 +95,11 @@ class PackOptions:
     kernel: str = "unix"
 
     def __post_init__(self):
-        if self.format not in FORMATS:
-            raise ValueError(f"format must be one of {FORMATS}, not {self.format!r}")
+        known = (*FORMATS, *WRITERS)
+        if self.format not in known:
+            raise ValueError(f"format must be one of {known}, not {self.format!r}")
 
     @property
     def output_name(self) -> str:
         """Name of the pack file, by format unless given."""
-        return self.output_file or {"txt": ".context.md", "xml": ".context.xml"}[self.format]
+        return self.output_file or {"txt": ".context.md"}.get(self.format, f".context.{self.format}")

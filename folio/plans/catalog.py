@@ -19,6 +19,7 @@ from folio.operators import (
     tokens,
     totals,
     tree,
+    writers,
 )
 from folio.operators.console import console_report, duration_text
 from folio.operators.skew import hot_keys
@@ -634,6 +635,50 @@ def pack_xml(spark, folder):
     return packs.ordered(files, frame, options).drop("part")
 
 
+def _written_packs(spark, folder, options, renamed="corpus", damaged=False):
+    """Packs of all files, written and published; corpora by an expression, and on request with closings missing."""
+    files = content.accepted(filters.select_files(given.files(spark, folder), options))
+    files = files.withColumn("corpus", F.expr(renamed))
+    path = new_path(spark, "packs")
+    dirs = tree.directories(files)
+    corpora = dirs.where("dir = ''").select("corpus")
+    if options.format == "txt":
+        frame = render.txt_frame(corpora, options)
+    elif options.format == "xml":
+        frame = render.xml_frame(files, dirs, options)
+    else:
+        frame = writers.event_frame(corpora, dirs)
+    if damaged:
+        frame = frame.where(f"NOT ({given.PLANTED_FAULT})")
+    packs.write_pack(files, frame, options, path, checksums=True)
+    return path
+
+
+@query
+def pack_published(spark, folder):
+    """Packs as a reader finds them, those of a corpus without name and of one with an empty name apart."""
+    path = _written_packs(spark, folder, COUNTED, given.ODD_CORPORA)
+    listed = packs.manifest(spark, path).groupBy("corpus").agg(F.sum("bytes").alias("bytes"), F.sum("lines").alias("lines"))
+    return listed.selectExpr(f"{packs.corpus_of('corpus')} AS corpus", "bytes", "lines")
+
+
+@query
+def pack_balance(spark, folder):
+    """The nesting of written XML packs, some of which lost the end of a folder."""
+    path = _written_packs(spark, folder, PackOptions(format="xml"), damaged=True)
+    return packs.pack_faults(spark, path)
+
+
+@query
+def pack_with_hook(spark, folder):
+    """A format of the caller's own: one line for each event, with the size of what is read."""
+    writers.register_writer("outline", given.outline)
+    path = _written_packs(spark, folder, PackOptions(format="outline"))
+    corpora = given.files(spark, folder).select("corpus").distinct()
+    stored = packs.stored_lines(spark, path)
+    return stored.join(corpora, "corpus", "left_semi").select("corpus", "value")
+
+
 @query
 def full_run(spark, folder):
     """A whole run with rules and a cache: packs written, and the totals it reports."""

@@ -16,7 +16,7 @@ from folio.options import DEFAULT_IGNORE, MODELS
 from folio.plans import driver_tables as given
 from folio.plans.driver_tables import FILES_SQL, MODEL, NOW_S
 
-FILES = FILES_SQL.format(documents="documents")
+FILES = FILES_SQL.format(documents="documents", edges=given.CHECK_EDGES)
 
 
 def _text_list(values) -> str:
@@ -559,6 +559,27 @@ UNION ALL SELECT DISTINCT corpus, 0, '', '<?xml version="1.0" encoding="UTF-8"?>
   '    <kernel>unix</kernel>' || {NL} || '  </system_info>' || {NL} || '  <overview>' FROM m
 UNION ALL SELECT DISTINCT corpus, 1, '3', '  </overview>' FROM m
 UNION ALL SELECT DISTINCT corpus, 3, '', '</directory_scan>' FROM m""",
+    "pack_published": f"""
+WITH {M_}, o AS (SELECT *, {given.ODD_CORPORA} AS o FROM m), lines AS (
+  SELECT o, {FENCED.replace("corpus || '/' || path", "CASE WHEN o IS NULL THEN path ELSE o || '/' || path END")} AS fragment
+  FROM o WHERE kind = 'text'
+  UNION ALL SELECT DISTINCT o, '<codebase name="' || coalesce(o, '') || '">' FROM o
+  UNION ALL SELECT DISTINCT o, '</codebase>' FROM o)
+SELECT o AS corpus, CAST(sum(strlen(fragment) + 1) AS BIGINT) AS bytes,
+       CAST(sum(len(string_split(fragment, chr(10)))) AS BIGINT) AS lines
+FROM lines GROUP BY o""",
+    "pack_balance": f"""
+WITH {M_}, {DIRS_.format(source='m')}
+SELECT corpus, CASE WHEN corpus IN ('src1', 'src3', 'src5') AND bool_or(dir = 'docs')
+                    THEN '</directory_scan> closes <contents>' END AS fault
+FROM dirs GROUP BY corpus""",
+    "pack_with_hook": f"""
+WITH {M_}, {DIRS_.format(source='m')}
+SELECT corpus, len(parts) || '|' || kind || '|' || corpus || '/' || path || '|' ||
+       CASE WHEN kind = 'text' THEN CAST(length(text) AS VARCHAR) ELSE '' END AS value FROM m
+UNION ALL SELECT corpus, depth || '|' || unnest(['open', 'close']) || '|' || {DIR_PATH} || '|' FROM dirs
+UNION ALL SELECT corpus, '0|' || unnest(['begin', 'end']) || '|' || corpus || '|' FROM dirs WHERE dir = ''
+""",
     "is_repo_url": f"WITH {URLS_}, {parsed('u')} SELECT url, x IS NOT NULL AS is_repo FROM q",
     "parse_repo_url": f"WITH {URLS_}, {parsed('u')} SELECT url, host, owner, name FROM q",
     "host_kind": f"WITH {URLS_}, {parsed('u')} SELECT url, host_kind FROM q",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import content, filters, ignore_rules, largest, render, tokens, totals, tree
+from folio.operators import content, filters, ignore_rules, largest, render, tokens, totals, tree, writers
 from folio.operators.console import console_report, duration_text
 from folio.options import PackOptions
 from folio.plans.scratch import staged
@@ -110,13 +110,17 @@ def run(
     if options.format == "txt":
         frame = render.txt_frame(base.select("corpus"), options, repos)
     else:
-        dirs = tree.directories(measured, folders)
+        dirs = staged(tree.directories(measured, folders), "dirs")
         dir_metadata = None if folders is None else folders.withColumnRenamed("path", "dir")
-        frame = render.xml_frame(measured, dirs, options, repos, dir_metadata)
+        if options.format == "xml":
+            frame = render.xml_frame(measured, dirs, options, repos, dir_metadata)
+        else:
+            frame = writers.event_frame(base.select("corpus"), dirs)
+    sizes = measured.selectExpr("corpus", "path", "if(read_status = 'ok', size, 0L) AS size")
     if partitions is None:
-        total = measured.agg(F.expr(f"sum(least(size, {options.inline_limit}))")).first()[0]
+        total = sizes.agg(F.sum("size")).first()[0]
         partitions = packs.parts_for(total or 0, files.sparkSession.sparkContext.defaultParallelism)
-    packs.write_pack(packable, frame, options, output, partitions)
+    packs.write_pack(packable, frame, options, output, partitions, sizes)
     return PackRun(measured, base, file_rows, summary, console_report(file_rows, summary), fresh, left_out(files, measured))
 
 

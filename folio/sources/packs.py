@@ -1,23 +1,34 @@
 """Packs as text files: a folder per corpus whose parts, in order of block and name, are its pack.
 
-Spark numbers parts with five digits at least, so names of 100 000 parts and more do not sort. Parts lie in blocks of
-BLOCK_PARTS, whose padded numbers do.
+    <path>/version=<n>/corpus=<name>/block=<b>/part-...
+    <path>/manifests/version=<n>/part-...     the parts of that version, written last
+
+A pack is what the newest manifest lists. A run that fails leaves files no manifest names; the pack before stays, and the
+next run takes a version of its own. Spark numbers parts with five digits at least, so names of 100 000 parts and more
+do not sort. Parts lie in blocks of BLOCK_PARTS, whose padded numbers do.
 """
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.functions import paths, quoted
-from folio.operators import content, render
-from folio.options import PackOptions
+from folio.functions import case, paths, quoted
+from folio.operators import balance, content, prefix_sums, render, writers
+from folio.options import FORMATS, PackOptions
+from folio.plans.scratch import staged
 
 ORDER = ("corpus", "section", "sort_key")
 BLOCK_PARTS = 50_000
 PART_BYTES = 256 * 1024 * 1024
-
+# What a leaf prints besides its content, in bytes, for the weight of a part.
+LEAF_BYTES = 100
 
 BLOCK = f"lpad(cast(part div {BLOCK_PARTS} AS STRING), 9, '0')"
+_MANIFEST = "corpus STRING, block STRING, part STRING, bytes BIGINT, lines BIGINT, hash BIGINT"
 
 
 def parts_for(total_bytes: int, at_least: int) -> int:
@@ -25,31 +36,86 @@ def parts_for(total_bytes: int, at_least: int) -> int:
     return max(at_least, -(-total_bytes // PART_BYTES))
 
 
-def ordered(
-    files: DataFrame, frame: DataFrame, options: PackOptions, partitions: int | None = None
+def corpus_folder(corpus: str) -> str:
+    """Name of a corpus as a folder: none, the empty one and the name that Spark gives both are told apart."""
+    return case(
+        (f"{corpus} IS NULL", "'%none'"),
+        (f"{corpus} = ''", "'%empty'"),
+        (f"startswith({corpus}, '%') OR startswith({corpus}, '__HIVE_')", f"concat('%', {corpus})"),
+        otherwise=corpus,
+    )
+
+
+def corpus_of(folder: str) -> str:
+    """The corpus of a folder."""
+    return case(
+        (f"{folder} = '%none'", "NULL"),
+        (f"{folder} = '%empty'", "''"),
+        (f"startswith({folder}, '%')", f"substring({folder}, 2)"),
+        otherwise=folder,
+    )
+
+
+# Parts hold ranges of this key; the rows of a corpus follow each other in it as in ORDER.
+_KEY = f"concat_ws('\\u0000', {corpus_folder('corpus')}, cast(section AS STRING), sort_key)"
+
+
+def _weights(files: DataFrame, frame: DataFrame) -> DataFrame:
+    """(key, weight) of all rows of a pack, from names and sizes."""
+    leaf = f"size + 4 * octet_length(path) + {LEAF_BYTES}"
+    leaves = files.selectExpr("corpus", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key", f"{leaf} AS weight")
+    printed = "octet_length(fragment)" if "fragment" in frame.columns else f"2 * octet_length(path) + {LEAF_BYTES}"
+    rest = frame.selectExpr("corpus", "section", "sort_key", f"coalesce({printed}, {LEAF_BYTES}) AS weight")
+    return leaves.unionByName(rest).selectExpr(f"{_KEY} AS key", "cast(coalesce(weight, 0) AS BIGINT) AS weight")
+
+
+def in_order(
+    files: DataFrame, frame: DataFrame, options: PackOptions, partitions: int | None = None, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Pack rows (corpus, section, sort_key, fragment) in their order over all partitions.
+    """Rows of packs, files classified and read, in their order over all partitions; `part` is the partition.
 
-    Ranges are cut on the whole key, so a corpus that holds a third of all rows is spread
-    over as many partitions as its share asks for. Files travel as they are and are tested,
-    read and printed behind the shuffle: cutting ranges looks at the input once more, and
-    this way that look computes sort keys only.
+    Parts are cut by bytes: a prefix sum of the sizes in pack order gives the first key of each, so a corpus that holds
+    a third of all bytes fills that share of the parts, and a few large files do not share one. Files travel once, as
+    they are, and are tested, read and printed behind the shuffle. `sizes` (corpus, path, size) are those
+    files' printed sizes, where a table without contents has them.
     """
-    body = files.selectExpr(
-        "*", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key"
-    )
-    rows = body.unionByName(frame, allowMissingColumns=True)
+    frame = staged(frame, "frame")
     if partitions is None:
-        spread = rows.repartitionByRange(*ORDER)
-    else:
-        spread = rows.repartitionByRange(partitions, *ORDER)
-    in_order = spread.sortWithinPartitions(*ORDER).withColumnRenamed("fragment", "framed")
-    printed = content.with_content(content.classify(in_order, options), options)
-    fragment = f"coalesce(framed, {render.leaf(options)}) AS fragment"
+        partitions = files.sparkSession.sparkContext.defaultParallelism
+    if sizes is None:
+        sizes = staged(files.select("corpus", "path", "size"), "sizes")
+    cuts = prefix_sums.cut_keys(_weights(sizes, frame), partitions)
+    body = files.selectExpr("*", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key")
+    rows = body.unionByName(frame, allowMissingColumns=True)
+    part = prefix_sums.part_of(_KEY, cuts)
+    dealt = rows.repartitionById(max(1, len(cuts)), F.expr(part)).sortWithinPartitions(*ORDER)
+    if "fragment" in dealt.columns:
+        dealt = dealt.withColumnRenamed("fragment", "framed")
+    read = content.with_content(content.classify(dealt, options), options)
+    return read.withColumn("part", F.spark_partition_id())
+
+
+def ordered(
+    files: DataFrame, frame: DataFrame, options: PackOptions, partitions: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Pack rows (corpus, section, sort_key, fragment, part) of a built-in format, in order."""
+    read = in_order(files, frame, options, partitions, sizes)
     # Spark moves no filter past a column that depends on the task. Without it, the test for
     # leaves that print nothing would be evaluated ahead of the shuffle, by printing them.
-    placed = printed.selectExpr(*ORDER, fragment, "spark_partition_id() AS part")
-    return placed.where("part >= 0 AND fragment IS NOT NULL").select(*ORDER, "fragment", "part")
+    placed = read.selectExpr(*ORDER, f"coalesce(framed, {render.leaf(options)}) AS fragment", "part")
+    return placed.where("part >= 0 AND fragment IS NOT NULL")
+
+
+def lines(
+    files: DataFrame, frame: DataFrame, options: PackOptions, partitions: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
+    """(corpus, part, fragment) of packs in the format of the options, a registered one included."""
+    if options.format in FORMATS:
+        return ordered(files, frame, options, partitions, sizes).select("corpus", "part", "fragment")
+    return writers.written(writers.described(in_order(files, frame, options, partitions, sizes)), options.format)
+
+
+# --- versions -----------------------------------------------------------------------------
 
 
 def write_pack(
@@ -58,14 +124,96 @@ def write_pack(
     options: PackOptions,
     path: str,
     partitions: int | None = None,
-) -> None:
-    rows = ordered(files, frame, options, partitions)
-    placed = rows.selectExpr("corpus", f"{BLOCK} AS block", "fragment AS value")
-    placed.write.partitionBy("corpus", "block").text(path)
-
-
-def read_pack(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """Lines of one pack with the part they are in."""
-    lines = spark.read.schema("value STRING, corpus STRING, block STRING").text(path)
-    of_corpus = lines.where(f"corpus = {quoted(corpus)}")
-    return of_corpus.selectExpr("concat_ws('/', block, _metadata.file_name) AS part", "value")
+    sizes: DataFrame | None = None,
+    checksums: bool = False,
+) -> int:
+    """Write packs as a new version and publish it; returns the version."""
+    version = time.time_ns()
+    placed = lines(files, frame, options, partitions, sizes)
+    placed = placed.selectExpr(f"{corpus_folder('corpus')} AS corpus", f"{BLOCK} AS block", "fragment AS value")
+    placed.write.partitionBy("corpus", "block").text(f"{path}/version={version}")
+    publish(files.sparkSession, path, version, checksums)
+    return version
+
+
+def listing(spark: SparkSession, path: str, version: int, checksums: bool = False) -> DataFrame:
+    """The parts of a version as they lie there: their bytes, and with `checksums` their lines and an order-free hash of these."""
+    folder = f"{path}/version={version}"
+    names = [f"url_decode(replace(regexp_extract(path, {quoted(f'/{k}=([^/]*)/')}, 1), '+', '%2B')) AS {k}" for k in ("corpus", "block")]
+    part = "substring_index(path, '/', -1) AS part"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = found.where("length > 0").selectExpr(*names, part, "length AS bytes")
+    if not checksums:
+        return found.selectExpr("*", "cast(NULL AS BIGINT) AS lines", "cast(NULL AS BIGINT) AS hash")
+    # One group for each file; tasks send one row of each they read.
+    read = _stored(spark, folder).groupBy("corpus", "block", "part")
+    sums = read.agg(F.count("*").alias("lines"), F.expr("bit_xor(xxhash64(value)) AS hash"))
+    return found.join(sums, ["corpus", "block", "part"], "left")
+
+
+def publish(spark: SparkSession, path: str, version: int, checksums: bool = False) -> None:
+    """Make a written version the current one. The manifest is one file, which appears whole or not at all."""
+    listing(spark, path, version, checksums).coalesce(1).write.parquet(f"{path}/manifests/version={version}")
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Parts (corpus, block, part, bytes, lines, hash) of a published version, the newest one unless given."""
+    try:
+        published = spark.read.schema(_MANIFEST + ", version BIGINT").parquet(f"{path}/manifests")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST + ", version BIGINT")
+    if version is None:
+        version = published.agg(F.max("version")).first()[0]
+    return published.where(F.col("version") == F.lit(version))
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    return manifest(spark, path).agg(F.max("version")).first()[0]
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.schema("value STRING, corpus STRING, block STRING").option("lineSep", "\n").text(folder)
+    return rows.selectExpr("corpus", "block", "_metadata.file_name AS part", "_metadata.file_block_start AS start", "value")
+
+
+def read_pack(spark: SparkSession, path: str, corpus: str | None) -> DataFrame:
+    """Lines (part, value) of one published pack; no rows where nothing is published."""
+    name = "NULL" if corpus is None else quoted(corpus)
+    of_corpus = f"corpus <=> cast({name} AS STRING)"
+    return stored_lines(spark, path).where(of_corpus).select("part", "value")
+
+
+def stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (corpus, part, value) of all published packs."""
+    listed = manifest(spark, path)
+    version = listed.agg(F.max("version")).first()[0]
+    if version is None:
+        return spark.createDataFrame([], "corpus STRING, part STRING, value STRING")
+    parts = listed.select("corpus", "block", "part")
+    kept = _stored(spark, f"{path}/version={version}").join(parts, ["corpus", "block", "part"], "left_semi")
+    return kept.selectExpr(f"{corpus_of('corpus')} AS corpus", "concat_ws('/', block, part) AS part", "value")
+
+
+def pack_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Where the elements of published XML packs do not nest: (corpus, fault), the fault NULL for a sound pack."""
+    version = current_version(spark, path)
+    if version is None:
+        return spark.createDataFrame([], "corpus STRING, fault STRING")
+    found = balance.pack_faults(_stored(spark, f"{path}/version={version}"))
+    return found.selectExpr(f"{corpus_of('corpus')} AS corpus", "fault")
+
+
+def damaged_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parts of the published version that are missing or differ from the manifest: (corpus, block, part)."""
+    listed = manifest(spark, path)
+    version = listed.agg(F.max("version")).first()[0]
+    if version is None:
+        return listed.select("corpus", "block", "part")
+    with_sums = listed.where("hash IS NOT NULL").limit(1).count() > 0
+    there = listing(spark, path, version, with_sums).select("corpus", "block", "part", "bytes", "lines", "hash")
+    keys = ["corpus", "block", "part"]
+    sound = listed.alias("l").join(there.alias("t"), keys, "left")
+    differs = " OR ".join(f"NOT (l.{c} <=> t.{c})" for c in ("bytes", "lines", "hash"))
+    return sound.where(f"t.bytes IS NULL OR {differs}").select(*keys)

@@ -56,16 +56,16 @@ def evaluate(spark):
 
 
 @pytest.fixture
-def base_tree(tmp_path):
-    """Three text files at three depths, an empty folder, repository data, bytes, a link."""
-    root = tmp_path / "project"
-    (root / "dir1" / "subdir").mkdir(parents=True)
-    (root / "dir2").mkdir()
-    (root / ".git").mkdir()
-    (root / "file1.txt").write_text("Herons in the reeds, seen at dawn\n")
-    (root / "dir1" / "file2.txt").write_text("Two terns\nand a gull\n")
-    (root / "dir1" / "subdir" / "file3.txt").write_text("A plover further down\n")
-    (root / ".git" / "config").write_text("[core]\n\trepositoryformatversion = 0\n")
-    (root / "binary.bin").write_bytes(bytes([0, 1, 2, 3]))
-    (root / "symlink.txt").symlink_to(root / "file1.txt")
+def shore(tmp_path):
+    """A tree four folders deep: a table, a log, notes without extension, control bytes, a named link, an empty folder."""
+    root = tmp_path / "shore"
+    for folder in ("maps/old/1890/east", "tides", "maps/blank", ".svn"):
+        (root / folder).mkdir(parents=True)
+    (root / "birds.csv").write_text("name;seen\nknot;12\ncurlew;7\n")
+    (root / "maps" / "NOTES").write_text("north is up")
+    (root / "maps" / "old" / "1890" / "east" / "inlet.geo").write_text("POINT 3 4\r\nPOINT 5 6\r\n")
+    (root / "tides" / "gauge.dat").write_bytes(bytes(range(1, 9)) * 5)
+    (root / "tides" / "week.log").write_text("mon 2.1\n")
+    (root / ".svn" / "entries").write_text("12\n")
+    (root / "newest").symlink_to(root / "maps" / "NOTES")
     return root

@@ -175,19 +175,26 @@ def test_sort_key_orders_folders_first(evaluate):
     assert sorted(tree, key=lambda p: keys[p].encode()) == list(walk(tree))
 
 
-VALID = [
-    form.format(host=host)
-    for host in ("github.com", "codeberg.org", "forge.test", "10.0.0.7")
-    for form in ("https://{host}/tern/nest", "http://{host}/tern/n.est.git", "git@{host}:t-ern/nest.git")
-]
-INVALID = [
-    "https://forge.test", "https://forge.test/tern", "git@forge.test", "./nests/of/terns",
-    "tern/nest",
-]
+def repository_urls(n, seed=11):
+    """URLs put together from the grammar, each with whether it names a repository: owner and name behind a host."""
+    rng = random.Random(seed)
+    word = lambda letters="abcxyz019-_.": "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    for _ in range(n):
+        host, owner, name = f"{word('abxyz')}.{word('abxyz')}", word("abxyz019-"), word("abxyz019-")
+        parts = [owner, name][: rng.randint(0, 2)]
+        suffix = rng.choice(["", ".git"]) if len(parts) == 2 else ""
+        if rng.random() < 0.4:
+            yield f"git@{host}:{'/'.join(parts)}{suffix}", len(parts) == 2
+        else:
+            scheme = rng.choice(["http", "https", "https", "ftp", "file", "ssh"])
+            yield f"{scheme}://{host}/{'/'.join(parts)}{suffix}", scheme.startswith("http") and len(parts) == 2
+        yield "/".join(parts), False
 
 
 def test_repository_urls(evaluate):
-    assert evaluate(urls.is_repo_url("x"), VALID + INVALID) == [True] * 12 + [False] * 5
+    given = list(repository_urls(200))
+    assert {wanted for _, wanted in given} == {True, False}
+    assert evaluate(urls.is_repo_url("x"), [url for url, _ in given]) == [wanted for _, wanted in given]
     odd = [
         "https://github.com/wader/tern/", "https://github.com/a/b/tree/main", "https://GitHub.com/a/b",
         "https://www.github.com/a/b", "https://u:p@github.com:443/a/b.git.git?x=1", "https://github.com/a/b\n",

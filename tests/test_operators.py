@@ -2,6 +2,7 @@
 
 import random
 import re
+from fnmatch import fnmatchcase as fnmatch
 
 import pandas as pd
 import pytest
@@ -18,52 +19,48 @@ def paths_of(df):
     return {r.path for r in df.select("path").collect()}
 
 
+HERBS = (
+    "sage", "beds/thyme.herb", "beds/north/mint.herb", ".hg/dirstate", "seeds.zip", "venv/lib.herb", "lanes/vendor/a/b.c",
+    "plots/plan.sow", ".shed/key", "notes/.env.sample", "style.min.css", "Pods/pea", "dist/plan.ctx", "plan.ctx",
+)
+
+
 @pytest.fixture
-def base_files(files_table):
-    return files_table(
-        {
-            ("p", path): b"text\n"
-            for path in (
-                "file1.txt", "dir1/file2.txt", "dir1/subdir/file3.txt", ".git/config", "binary.bin",
-                "build/x.txt", "a/node_modules/b/c.js", "src/main.rs", ".hidden/x", "docs/.env.example",
-                "x.min.js", "Pods/y", "out/pack.xml", "pack.xml",
-            )
-        }
-    )
+def herbs(files_table):
+    return files_table({("p", path): b"text\n" for path in HERBS})
 
 
-def test_default_names_are_literal(base_files):
-    kept = paths_of(filters.select_files(base_files, SHOW))
-    assert {".git/config", "build/x.txt", "a/node_modules/b/c.js", "out/pack.xml"}.isdisjoint(kept)
-    assert {"x.min.js", "Pods/y", ".hidden/x", "docs/.env.example"} <= kept
-    globbed = paths_of(filters.select_files(base_files, PackOptions(respect_gitignore=False, default_globs=True)))
-    assert kept - globbed == {"x.min.js", "Pods/y"}
-    hidden = paths_of(filters.select_files(base_files, PackOptions()))
-    assert kept - hidden == {".hidden/x", "docs/.env.example"}
+def test_default_names_are_literal(herbs):
+    kept = paths_of(filters.select_files(herbs, SHOW))
+    assert set(HERBS) - kept == {".hg/dirstate", "venv/lib.herb", "lanes/vendor/a/b.c", "dist/plan.ctx"}
+    globbed = paths_of(filters.select_files(herbs, PackOptions(respect_gitignore=False, default_globs=True)))
+    assert kept - globbed == {"style.min.css", "Pods/pea", "seeds.zip"}
+    hidden = paths_of(filters.select_files(herbs, PackOptions()))
+    assert kept - hidden == {".shed/key", "notes/.env.sample"}
     assert len(set(DEFAULT_IGNORE)) == 126
 
 
-def test_ignore_and_include_globs(base_files):
+def test_ignore_and_include_globs(herbs):
     def kept(**options):
-        return paths_of(filters.select_files(base_files, PackOptions(respect_gitignore=False, **options)))
+        return paths_of(filters.select_files(herbs, PackOptions(respect_gitignore=False, **options)))
 
-    assert not any(p.endswith(".txt") for p in kept(ignore_patterns=("*.txt",)))
-    assert "binary.bin" in kept(ignore_patterns=("*.txt",))
-    assert kept(ignore_patterns=("dir1",)) & {"dir1/file2.txt", "dir1/subdir/file3.txt"} == set()
-    assert kept(ignore_patterns=("!*.bin",)) == {"binary.bin"}
-    assert kept(include_patterns=("*.bin",)) == {"binary.bin"}
-    assert kept(include_patterns=("*.rs",)) == {"src/main.rs"}
-    assert kept(include_patterns=("*.rs",), include_dirs=True) == set()
-    assert kept(include_patterns=("s*", "*.rs"), include_dirs=True) == {"src/main.rs"}
-    assert kept(include_patterns=("!*.txt",)) == {p for p in kept() if not p.endswith(".txt")}
-    assert kept(output_file="./pack.xml") == kept() - {"pack.xml"}
+    every = kept()
+    named = lambda glob: {p for p in every if fnmatch(p.rsplit("/", 1)[-1], glob)}
+    for glob in ("*.herb", "s*", "?a*", "[p-t]*.*", "plan.ctx"):
+        assert kept(ignore_patterns=(glob,)) == every - {p for p in every if any(fnmatch(c, glob) for c in p.split("/"))}
+        assert kept(include_patterns=(glob,)) == named(glob)
+        assert kept(include_patterns=("!" + glob,)) == every - named(glob)
+    assert kept(ignore_patterns=("!*.zip",)) == {"seeds.zip"}
+    assert kept(include_patterns=("*.sow",), include_dirs=True) == set()
+    assert kept(include_patterns=("pl*", "*.sow"), include_dirs=True) == {"plots/plan.sow", "plan.ctx"}
+    assert kept(output_file="./plan.ctx") == every - {"plan.ctx"}
 
 
-def test_counts_of_files(base_files):
+def test_counts_of_files(herbs):
     def files(**kwargs):
-        return filters.count_files(base_files, SHOW, **kwargs).first()["files"]
+        return filters.count_files(herbs, SHOW, **kwargs).first()["files"]
 
-    assert files() == len(paths_of(filters.select_files(base_files, SHOW)))
+    assert files() == len(paths_of(filters.select_files(herbs, SHOW)))
     assert files(by_name_only=True) > files()
 
 

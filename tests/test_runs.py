@@ -5,9 +5,10 @@ import random
 import xml.etree.ElementTree as ET
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 
-from folio.operators import content, render, tokens, tree
+from folio.operators import balance, content, prefix_sums, render, tokens, tree, writers
 from folio.options import PackOptions
 from folio.plans.pack_run import run, run_trees
 from folio.plans.scratch import new_path, staged
@@ -20,8 +21,9 @@ XML = PackOptions(respect_gitignore=False, format="xml")
 
 
 def pack_text(path, corpus):
-    """A pack as its user reads it: blocks, and the parts in each, in name order."""
-    folder = f"{path}/corpus={corpus}"
+    """A pack as its user reads it: blocks of the published version, and the parts in each, in name order."""
+    version = sorted(name for name in os.listdir(f"{path}/manifests") if name.startswith("version="))[-1]
+    folder = f"{path}/{version}/corpus={corpus}"
     parts = [
         f"{block}/{name}"
         for block in sorted(os.listdir(folder))
@@ -42,22 +44,23 @@ def scanned(spark, root, options):
 
 # --- trees ------------------------------------------------------------------------------
 
+SHORE = {"birds.csv", "maps/NOTES", "maps/old/1890/east/inlet.geo", "tides/gauge.dat", "tides/week.log", "newest"}
 
-def test_scan_of_a_tree(spark, base_tree):
-    (base_tree / "__init__.py").write_text("")
-    (base_tree / ".env.example").write_text("A=1\n")
-    os.chmod(base_tree / "__init__.py", 0o750)
-    os.utime(base_tree / "__init__.py", ns=(0, 1_700_000_000_123_456_000))
-    rows = scanned(spark, base_tree, PLAIN)
-    assert set(rows) == {
-        "file1.txt", "dir1/file2.txt", "dir1/subdir/file3.txt", "binary.bin", "symlink.txt",
-        "__init__.py", ".env.example",
-    }
-    assert rows["symlink.txt"].text == "Herons in the reeds, seen at dawn\n"
-    assert (rows["__init__.py"].size, rows["__init__.py"].permissions) == (0, "750")
-    assert rows["__init__.py"].corpus == "project"
-    moment = scan_tree(spark, str(base_tree), PLAIN).where("path = '__init__.py'")
-    assert moment.selectExpr("unix_micros(modified) AS m").first().m == 1_700_000_000_123_456
+
+def test_scan_of_a_tree(spark, shore):
+    """Names that Spark's own sources leave out are there; default names, repository data among them, are not."""
+    (shore / "_draft").write_text("")
+    (shore / ".eelgrass").write_text("zostera\n")
+    os.chmod(shore / "_draft", 0o640)
+    os.utime(shore / "_draft", ns=(0, 1_600_000_000_987_654_000))
+    (shore / "target").mkdir()
+    (shore / "target" / "never").write_text("x")
+    rows = scanned(spark, shore, PLAIN)
+    assert set(rows) == SHORE | {"_draft", ".eelgrass"}
+    assert rows["newest"].text == "north is up"
+    assert (rows["_draft"].size, rows["_draft"].permissions, rows["_draft"].corpus) == (0, "640", "shore")
+    moment = scan_tree(spark, str(shore), PLAIN).where("path = '_draft'")
+    assert moment.selectExpr("unix_micros(modified) AS m").first().m == 1_600_000_000_987_654
 
 
 def test_a_missing_root_is_an_error(spark, tmp_path):
@@ -65,91 +68,97 @@ def test_a_missing_root_is_an_error(spark, tmp_path):
         scan_tree(spark, str(tmp_path / "nowhere"), PLAIN).count()
 
 
-def test_links_and_other_entries(spark, base_tree):
-    (base_tree / "loop").symlink_to(base_tree)
-    (base_tree / "broken").symlink_to("nowhere")
-    os.mkfifo(base_tree / "pipe")
-    followed = scanned(spark, base_tree, PLAIN)
-    assert (followed["broken"].kind, followed["broken"].open_error) == ("unreadable", "No such file or directory")
-    assert followed["pipe"].kind == followed["loop"].kind == "other"
-    recorded = scanned(spark, base_tree, PackOptions(respect_gitignore=False, record_symlinks=True))
-    assert recorded["broken"].target == "nowhere"
-    assert recorded["loop"].kind == "symlink"
-    assert recorded["symlink.txt"].target.endswith("file1.txt")
-
-
-def test_filters_while_listing(spark, base_tree):
-    names = set(scanned(spark, base_tree, PackOptions(respect_gitignore=False, ignore_patterns=("*.txt",))))
-    assert names == {"binary.bin"}
-    assert set(scanned(spark, base_tree, PackOptions(respect_gitignore=False, include_patterns=("*.bin",)))) == {"binary.bin"}
-    assert "dir1/file2.txt" not in scanned(spark, base_tree, PackOptions(ignore_patterns=("dir1",)))
-    only = PackOptions(respect_gitignore=False, include_patterns=("*2.txt",))
-    assert set(scanned(spark, base_tree, only)) == {"dir1/file2.txt"}
-    strict = PackOptions(respect_gitignore=False, include_patterns=("*2.txt",), include_dirs=True)
-    assert set(scanned(spark, base_tree, strict)) == set()
-    _, folders, _ = scan_trees(roots_of(spark, base_tree), PLAIN)
-    assert {r.path for r in folders.collect()} == {"dir1", "dir1/subdir", "dir2"}
-
-
-def test_large_files_are_not_read_whole(spark, base_tree):
-    line = "Nine grey herons wade slowly along the reeds while the tide turns.\n"
-    (base_tree / "herons.txt").write_text(line * 20_000)
-    limited = replace(PLAIN, inline_limit=1_048_576)
-    row = scanned(spark, base_tree, limited)["herons.txt"]
-    assert (row.size, len(row.raw)) == (1_340_000, 8192)
-    out = new_path(spark, "packs")
-    run_trees(spark, roots_of(spark, base_tree), replace(XML, inline_limit=1_048_576), out)
-    text, _ = pack_text(out, "project")
-    assert "File too large to include content. Size: 1.28 MB" in text
-
-
-def test_pack_of_a_tree(spark, base_tree):
+def test_links_and_other_entries(spark, shore):
+    (shore / "round").symlink_to(shore)
+    (shore / "dead").symlink_to("drowned")
+    os.mkfifo(shore / "horn")
+    followed = scanned(spark, shore, PLAIN)
+    assert (followed["dead"].kind, followed["dead"].open_error) == ("unreadable", "No such file or directory")
+    assert followed["horn"].kind == followed["round"].kind == "other"
+    recorded = scanned(spark, shore, PackOptions(respect_gitignore=False, record_symlinks=True))
+    assert recorded["dead"].target == "drowned"
+    assert recorded["round"].kind == "symlink"
+    assert recorded["newest"].target.endswith("maps/NOTES")
+
+
+@pytest.mark.parametrize(
+    "options, kept",
+    [
+        ({"ignore_patterns": ("*.[gl]*",)}, SHORE - {"maps/old/1890/east/inlet.geo", "tides/week.log"}),
+        ({"ignore_patterns": ("old", "tides")}, {"birds.csv", "maps/NOTES", "newest"}),
+        ({"include_patterns": ("*.csv", "N*")}, {"birds.csv", "maps/NOTES"}),
+        ({"include_patterns": ("N*",), "include_dirs": True}, set()),
+        ({"include_patterns": ("N*", "m*s"), "include_dirs": True}, {"maps/NOTES"}),
+    ],
+)
+def test_filters_while_listing(spark, shore, options, kept):
+    assert set(scanned(spark, shore, PackOptions(respect_gitignore=False, **options))) == kept
+
+
+def test_folders_of_a_tree(spark, shore):
+    _, folders, _ = scan_trees(roots_of(spark, shore), PLAIN)
+    assert {r.path for r in folders.collect()} == {"maps", "maps/blank", "maps/old", "maps/old/1890", "maps/old/1890/east", "tides"}
+
+
+@pytest.mark.parametrize("limit", [9000, 20_000])
+@pytest.mark.parametrize("above", [-1, 0, 1])
+def test_the_limit_is_the_last_size_that_is_read(spark, shore, limit, above):
+    (shore / "long").write_bytes(random.Random(limit).randbytes(limit // 2 + 1).hex()[: limit + above].encode())
+    options = replace(PLAIN, inline_limit=limit, ignore_patterns=("*.*",))
+    files = scan_tree(spark, str(shore), options).where("path = 'long'")
+    row = content.with_content(content.classify(files, options), options).first()
+    if above > 0:
+        assert (row.read_status, row.content) == ("oversize", f"File too large to include content. Size: {(limit + 1) / 1024:.2f} KB")
+        assert len(files.first().raw) == 8192
+    else:
+        assert (row.read_status, len(row.content)) == ("ok", limit + above)
+
+
+def test_pack_of_a_tree(spark, shore):
     out = new_path(spark, "packs")
-    result = run_trees(spark, roots_of(spark, base_tree), XML, out)
-    text, _ = pack_text(out, "project")
-    for expected in (
-        "<directory_scan", "<system_info>", "<hostname>", "<directory name=", '<file name="file1.txt"',
-        "Herons in the reeds, seen at dawn", '<binary name="binary.bin" path="project/binary.bin">',
-    ):
-        assert expected in text
-    assert ".git" not in text
+    result = run_trees(spark, roots_of(spark, shore), XML, out)
+    text, _ = pack_text(out, "shore")
     root = ET.fromstring(text.encode())
-    assert [d.get("name") for d in root.find("directory/contents").findall("directory")] == ["dir1", "dir2"]
-    assert root.find("overview/directory").get("name") == "project"
+    folders = {d.get("path") for d in root.find("directory").iter("directory")}
+    assert folders == {"shore", *(f"shore/{d}" for d in ("maps", "maps/blank", "maps/old", "maps/old/1890", "maps/old/1890/east", "tides"))}
+    assert {f.get("path"): f.find("content").text for f in root.iter("file") if f.get("path")} == {
+        "shore/birds.csv": "name;seen\nknot;12\ncurlew;7\n", "shore/maps/NOTES": "north is up", "shore/newest": "north is up",
+        "shore/maps/old/1890/east/inlet.geo": "POINT 3 4\nPOINT 5 6\n", "shore/tides/week.log": "mon 2.1\n",
+    }
+    assert [b.get("path") for b in root.iter("binary")] == ["shore/tides/gauge.dat"]
+    assert "POINT 3 4\r\n" in text  # parsers fold line ends, the pack does not
     total = result.totals.first()
-    assert (total.files, total.lines) == (5, 5)
+    assert (total.files, total.lines) == (6, 3 + 1 + 1 + 2 + 1)
     assert "PROCESSED FILES" in result.report.first().report
 
 
-def test_ignore_file_of_a_tree(spark, base_tree):
-    (base_tree / ".gitignore").write_text("# texts\n*.txt\n\n# raw bytes\nbinary.bin\n")
-    (base_tree / "notes.md").write_text("Field notes stay\n")
-    (base_tree / "dir1" / ".gitignore").write_text("!file2.txt\n")
-    (base_tree / "dir1" / ".packignore").write_text("*.md\n")
-    (base_tree / "dir1" / "more.md").write_text("x")
-    (base_tree / ".ignore").write_text("!file3.txt\n*.bin\n")
-    (base_tree / "lost").symlink_to("nowhere")
-    out = new_path(spark, "packs")
-    options = PackOptions(custom_ignore_name=".packignore")
-    result = run_trees(spark, roots_of(spark, base_tree), options, out)
-    assert ("project", "unreadable", 1) in [tuple(r) for r in result.rejects.collect()]
-    text, _ = pack_text(out, "project")
-    assert "file3.txt" in text  # .ignore comes before .gitignore
-    for gone in ("file1.txt", "binary.bin", "more.md", ".gitignore"):
-        assert gone not in text
-    assert "project/notes.md" in text and "project/dir1/file2.txt" in text
-
-
-def test_metadata_of_folders_and_files(spark, base_tree):
-    os.chmod(base_tree / "dir2", 0o700)
-    os.utime(base_tree / "dir2", ns=(0, 0))
+def test_ignore_files_of_a_tree(spark, shore):
+    """A deeper file beats a higher one, `.ignore` beats `.gitignore`, and the custom file beats both."""
+    (shore / ".gitignore").write_text("tides/\n*.csv\n/newest\n")
+    (shore / "maps" / ".gitignore").write_text("old/1890/east/*\n!old/1890/east/inlet.geo\nNOTES\n")
+    (shore / "maps" / ".ignore").write_text("!NOTES\n")
+    (shore / ".keep").write_text("!*.csv\nN*S\n")
+    (shore / "maps" / "old" / "1890" / "east" / "reef.geo").write_text("x")
+    (shore / "gone").symlink_to("nowhere")
+    names = {"custom_ignore_name": ".keep"}
+    for custom, kept in (({}, {"maps/NOTES", "maps/old/1890/east/inlet.geo"}), (names, {"birds.csv", "maps/old/1890/east/inlet.geo"})):
+        out = new_path(spark, "packs")
+        result = run_trees(spark, roots_of(spark, shore), PackOptions(**custom), out)
+        shown = {line.removeprefix("shore/") for line in pack_text(out, "shore")[0].split("\n") if line.startswith("shore/")}
+        assert shown == kept
+        assert ("shore", "unreadable", 1) in [tuple(r) for r in result.rejects.collect()]
+
+
+def test_metadata_of_folders_and_files(spark, shore):
+    os.chmod(shore / "maps" / "blank", 0o711)
+    os.utime(shore / "maps" / "blank", ns=(0, 86_400 * 10**9))
     out = new_path(spark, "packs")
     options = PackOptions(respect_gitignore=False, format="xml", include_metadata=True)
-    run_trees(spark, roots_of(spark, base_tree), options, out)
-    root = ET.fromstring(pack_text(out, "project")[0].encode())
-    empty = root.find(".//directory[@path='project/dir2']/metadata")
-    assert (empty.find("permissions").text, empty.find("modified").text) == ("700", "1970-01-01T00:00:00+00:00")
-    assert root.find(".//file[@path='project/file1.txt']/metadata/size").text == "34"
+    run_trees(spark, roots_of(spark, shore), options, out)
+    root = ET.fromstring(pack_text(out, "shore")[0].encode())
+    empty = root.find(".//directory[@path='shore/maps/blank']/metadata")
+    assert (empty.find("permissions").text, empty.find("modified").text) == ("711", "1970-01-02T00:00:00+00:00")
+    assert root.find(".//file[@path='shore/maps/NOTES']/metadata/size").text == "11"
 
 
 # --- packs ------------------------------------------------------------------------------
@@ -256,6 +265,123 @@ def test_text_pack_over_several_parts_keeps_its_order(files_table, spark):
     assert parts >= 1 and pack_text(out, "hot")[1] > 2
 
 
+def test_parts_are_cut_by_bytes(files_table, spark):
+    """A few large files ahead of very many small ones: no part is much heavier than its share."""
+    entries = {("p", f"a/large{n:02d}"): b"x" * 400_000 for n in range(40)}
+    entries |= {("p", f"b/small{n:04d}"): b"y" * 100 for n in range(4000)}
+    out = new_path(spark, "packs")
+    run(files_table(entries), PLAIN, out, partitions=8)
+    sizes = [r.bytes for r in packs.manifest(spark, out).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.5 * sum(sizes) / 8
+    text, _ = pack_text(out, "p")
+    shown = [line for line in text.split("\n") if line.startswith("p/")]
+    assert shown == [f"p/{path}" for _, path in sorted(entries)]
+
+
+def test_cut_keys_are_where_the_running_sum_says(spark):
+    rng = random.Random(4)
+    rows = [(f"k{n:05d}", rng.choice([0, 1, 5, 400])) for n in range(3000)]
+    total, parts, before, wanted = sum(w for _, w in rows), 13, 0, {}
+    for key, weight in rows:
+        wanted.setdefault(min(before * parts // total, parts - 1), key)
+        before += weight
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "key STRING, weight BIGINT")
+    cuts = prefix_sums.cut_keys(table, parts)
+    assert cuts == sorted(wanted.values())
+    placed = table.selectExpr("key", f"{prefix_sums.part_of('key', cuts)} AS part").collect()
+    assert {r.key: r.part for r in placed} == {k: sum(c <= k for c in cuts) - 1 for k, _ in rows}
+    assert prefix_sums.cut_keys(table.limit(0), parts) == [] and prefix_sums.part_of("key", []) == "0"
+
+
+def test_packs_of_corpora_without_name_are_apart(files_table, spark):
+    names = [None, "", "%none", "__HIVE_DEFAULT_PARTITION__", "a+b %41=/'é"]
+    files = files_table({(name, f"f{k}"): b"text %d" % k for k, name in enumerate(names)})
+    out = new_path(spark, "packs")
+    run(files, XML, out)
+    for k, name in enumerate(names):
+        lines = [r.value for r in packs.read_pack(spark, out, name).collect()]
+        assert sum("<content>" in line for line in lines) == 1 and any(f"text {k}]]" in line for line in lines)
+    assert [r.fault for r in packs.pack_faults(spark, out).collect()] == [None] * len(names)
+
+
+def test_a_failed_run_leaves_the_pack_before(files_table, spark, monkeypatch):
+    out = new_path(spark, "packs")
+    assert packs.read_pack(spark, out, "p").count() == 0
+    run(files_table({("p", "a"): b"first"}), PLAIN, out)
+    before = [r.value for r in packs.read_pack(spark, out, "p").collect()]
+    with monkeypatch.context() as broken:
+        broken.setattr(packs, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost the driver")))
+        with pytest.raises(RuntimeError):
+            run(files_table({("p", "a"): b"second"}), PLAIN, out)
+    assert len([n for n in os.listdir(out) if n.startswith("version=")]) == 2
+    assert [r.value for r in packs.read_pack(spark, out, "p").collect()] == before
+    run(files_table({("p", "a"): b"third"}), PLAIN, out)
+    assert "third" in [r.value for r in packs.read_pack(spark, out, "p").collect()]
+
+
+def test_damaged_parts_are_found(files_table, spark):
+    files = files_table({("p", "a"): b"one\r\ntwo", ("q", "b"): b"three"})
+    out = new_path(spark, "packs")
+    frame = render.txt_frame(files.select("corpus").distinct(), PLAIN)
+    version = packs.write_pack(files, frame, PLAIN, out, 1, checksums=True)
+    assert packs.damaged_parts(spark, out).count() == 0
+    folder = f"{out}/version={version}/corpus=q/block=000000000"
+    (name,) = [n for n in os.listdir(folder) if n.startswith("part-")]
+    text = open(f"{folder}/{name}").read()
+    for n in os.listdir(folder):
+        if n.startswith("."):
+            os.remove(f"{folder}/{n}")
+    with open(f"{folder}/{name}", "w") as changed:
+        changed.write(text.replace("three", "threw"))
+    assert [r.corpus for r in packs.damaged_parts(spark, out).collect()] == ["q"]
+
+
+def test_a_format_of_ones_own(files_table, spark):
+    """Events come in order with their depth; the lines of every part follow each other."""
+    def write(events):
+        for e in events:
+            if e.event in ("text", "open"):
+                yield "  " * e.depth + (e.name if e.event == "open" else f"{e.name}: {e.content}")
+
+    writers.register_writer("indented", write)
+    files = files_table({("p", "b/c/x"): b"1", ("p", "b/a"): b"2", ("p", "z"): b"3", ("q", "a\u00e9"): b"4", ("q", "n"): b"\x00"})
+    out = new_path(spark, "packs")
+    run(files, replace(PLAIN, format="indented"), out, partitions=3)
+    assert pack_text(out, "p")[0] == "p\n  b\n    c\n      x: 1\n    a: 2\n  z: 3\n"
+    assert pack_text(out, "q")[0] == "q\n  a\u00e9: 4\n"
+    with pytest.raises(ValueError, match="format must be one of"):
+        PackOptions(format="nothing of the kind")
+
+
+BALANCED = """<?xml version="1.0"?>
+<a x="1"><b/><c><![CDATA[ </a> <b> ]] ]]]]><![CDATA[> ]]></c>
+<c><![CDATA[
+</c>
+]]></c></a>"""
+
+
+@pytest.mark.parametrize(
+    "text, fault",
+    [
+        (BALANCED, ""), (BALANCED[:-4], "<a> stays open"), (BALANCED + "</a>", "</a> closes nothing"),
+        (BALANCED.replace("</c>\n<c>", "\n<c>"), "</a> closes <c>"), (BALANCED.replace("\n]]></c></a>", ""), "open"),
+    ],
+)
+def test_balance_is_the_same_wherever_lines_are_cut(text, fault):
+    lines = text.split("\n")
+    for first in range(len(lines) + 1):
+        for second in range(first, len(lines) + 1):
+            whole = balance.Summary()
+            for some in (lines[:first], lines[first:second], lines[second:]):
+                outside, inside = balance.summed_up(some), balance.summed_up(some, True)
+                whole = balance.joined(whole, inside if whole.inside else outside)
+            assert whole == balance.summed_up(lines)
+            table = pa.table({"block": ["0"], "part": ["0"], "start": [0], "outside": [balance._packed(whole)], "inside": [""]})
+            found = balance._verdict((pa.scalar("p"),), table).column("fault")[0].as_py()
+            assert (found or "").endswith(fault) and bool(found) == bool(fault)
+
+
 def test_parts_grow_with_the_data():
     assert packs.parts_for(0, 4) == 4
     assert packs.parts_for(100 * 2**40, 4) == 409_600
@@ -399,7 +525,7 @@ def test_packs_are_printed_behind_the_shuffle(stored):
     for options in (PLAIN, XML):
         frame = render.txt_frame(stored.select("corpus").distinct(), options)
         plan = plan_of(packs.ordered(stored, frame, options))
-        behind, ahead = plan.split("rangepartitioning", 1)
+        behind, ahead = plan.split("Exchange ", 1)
         assert "x0E-" in behind and "x0E-" not in ahead
 
 
