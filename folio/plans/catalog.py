@@ -201,7 +201,7 @@ def skip_hidden(spark, folder):
 
 @query
 def gitignore_filter(spark, folder):
-    files = given.files(spark, folder).select("corpus", "path")
+    files = staged(given.files(spark, folder).select("corpus", "path"), "paths")
     rules = ignore_rules.rules_from(given.ignore_files(files))
     ignored = ignore_rules.ignored_files(files, rules)
     return ignore_rules.drop_ignored(files, ignored)
@@ -209,7 +209,7 @@ def gitignore_filter(spark, folder):
 
 @query
 def gitignore_custom(spark, folder):
-    files = given.files(spark, folder).select("corpus", "path")
+    files = staged(given.files(spark, folder).select("corpus", "path"), "paths")
     rules = ignore_rules.rules_from(given.ignore_files(files)).unionByName(
         ignore_rules.rules_from(given.custom_ignore_files(files), custom=True)
     )

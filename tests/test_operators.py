@@ -124,7 +124,7 @@ def test_content_of_every_status(spark, files_table):
         ("p", "ok.txt"): "é\r\nb".encode(),
         ("p", "empty"): b"",
         ("p", "bytes.bin"): bytes([0, 1, 2, 3]),
-        ("p", "big.txt"): b"Nine grey herons wade slowly along the reeds while the tide turns.\n" * 20_000,
+        ("p", "big.txt"): b"=" * 1_342_178,
         ("p", "late.txt"): b"a" * 9000 + b"\xff",
     }
     files = files_table(entries).unionByName(
@@ -255,6 +255,29 @@ def test_repeated_paths_count_alike_cold_and_warm(spark, files_table):
     assert len(set(found.values())) == 1 and next(iter(found.values()))[0] == 11
 
 
+def test_a_matcher_finds_the_last_line_that_matches():
+    """Names, paths and suffixes that are looked up, and expressions, decide as trying every line does."""
+    rng = random.Random(12)
+    lines = ["tern", "*.egg", "*.tar.gz", "!/nest/tern", "/nest/", "n?st", "**/egg", "!*.egg", "nest/*.egg", "a\\*b", "*", "!tern/", "[a-n]est", ".*"]
+    names = ["tern", "nest", "x.egg", "y.tar.gz", "a*b", "egg", ".egg", "new\nline.egg"]
+    for _ in range(300):
+        text = "\n".join(rng.choices(lines, k=rng.randint(0, 6)))
+        matcher = ignore_rules.Matcher(text)
+        path, is_dir = "/".join(rng.choices(names, k=rng.randint(1, 3))), rng.random() < 0.5
+        rules = [r for r in compile_ignore_text(text) if is_dir or not r.dir_only]
+        last = [r for r in rules if re.match(r.regex.replace(r"\z", r"\Z"), path)]
+        found = matcher.verdict(path, is_dir)
+        assert (found and found.negated) == (last[-1].negated if last else None)
+
+
+def test_deep_folders_and_many_lines():
+    chain = ignore_rules.Chain([(0, ignore_rules.Matcher("\n".join(f"name{n}\n*.ext{n}\n/p/{n}" for n in range(20_000)) + "\ndead/"))])
+    assert not chain.excludes("/".join(["alive"] * 3000 + ["file"]))
+    assert chain.excludes("/".join(["alive"] * 3000 + ["dead", "file"]))
+    for path, out in (("a/name19999", True), ("a/b.ext7", True), ("p/5", True), ("q/p/5", False), ("dead", False)):
+        assert chain.excludes(path) == out
+
+
 def test_bad_ignore_lines_are_skipped(spark, files_table):
     texts = [("p", ".gitignore", "{{a}\n[z-a]\n*.log\n# caf\ufffd\n"), ("q", ".gitignore", None)]
     rules = ignore_rules.rules_from(spark.createDataFrame(texts, "corpus STRING, path STRING, content STRING"))
