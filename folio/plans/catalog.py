@@ -121,14 +121,24 @@ def scan_tree(spark, folder):
 
 @query
 def cache_roundtrip(spark, folder):
-    """Live and expired entries saved as two versions, folded into one, and read back."""
+    """Live entries, and all of them, saved as two writes and read back."""
     cache = given.token_cache(spark, folder)
-    first, second = new_path(spark, "cache"), new_path(spark, "cache")
-    live = tokens.cache_expire(cache, given.NOW_S)
-    token_cache.save_version(live, first, 0)
-    token_cache.save_version(cache, first, 1)
-    token_cache.compact(spark, first, second, given.NOW_S)
-    return token_cache.load(spark, second)
+    path = new_path(spark, "cache")
+    token_cache.save_version(tokens.cache_expire(cache, given.NOW_S), path)
+    token_cache.save_version(cache, path)
+    return token_cache.load(spark, path, given.NOW_S)
+
+
+@query
+def cache_compacted(spark, folder):
+    """Writes of single days, merged by size, and the contents of one language looked up among them."""
+    cache = staged(given.token_cache(spark, folder), "writes")
+    path = new_path(spark, "cache")
+    for part in range(token_cache.FANOUT + 1):
+        token_cache.save_version(cache.where(f"pmod(ts, {token_cache.FANOUT + 1}) = {part}"), path)
+    token_cache.compact(spark, path)
+    english = given.text_rows(spark, folder).where("lang = 'en' AND text <> ''")
+    return token_cache.load_for(english.selectExpr(f"{txt.content_hash('text')} AS hash"), path, given.NOW_S)
 
 
 @query

@@ -333,6 +333,9 @@ WITH {K_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS s
     "cache_roundtrip": f"""
 WITH {F_}, {CACHE_} SELECT hash, model, arg_max(tokens, ts) AS tokens, max(ts) AS ts
 FROM live GROUP BY hash, model""",
+    "cache_compacted": f"""
+WITH {F_}, {CACHE_}, english AS (SELECT DISTINCT sha256(text) AS hash FROM f WHERE lang = 'en' AND text <> '')
+SELECT hash, model, arg_max(tokens, ts) AS tokens, max(ts) AS ts FROM live JOIN english USING (hash) GROUP BY hash, model""",
     "count_files": f"""
 WITH {K_} SELECT corpus, count(*) AS files FROM k WHERE NOT hidden AND NOT listed GROUP BY corpus""",
     "count_files_by_name": f"""

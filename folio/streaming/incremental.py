@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.operators.content import measured
-from folio.operators.tokens import cache_expire, cache_misses, count_misses
+from folio.operators.tokens import cache_misses, count_misses
 from folio.options import PackOptions
 from folio.plans.scratch import staged
-from folio.sources.token_cache import load_versions, save_version
+from folio.sources.token_cache import load_for, save_version
 
 
 def count_batch(
@@ -25,9 +25,9 @@ def count_batch(
     consulted, so a batch that is replayed after a failure writes its entries to the same place, and a cache that
     came from elsewhere is kept and used.
     """
-    spark = files.sparkSession
-    known = cache_expire(load_versions(spark, cache_path, below=version, writer=writer), options.now_s)
-    facts = measured(files, options)
+    facts = staged(measured(files, options), "measured")
+    # Only the buckets that may hold a content of this batch are opened.
+    known = load_for(facts.select("hash"), cache_path, options.now_s, below=version, writer=writer)
     misses = staged(cache_misses(facts, known, options.model_id), "misses")
     fresh = count_misses(files, misses, options.counter, options.model_id, options.now_s, options)
     save_version(fresh, cache_path, version, writer)

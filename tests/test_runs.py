@@ -5,6 +5,7 @@ import random
 import xml.etree.ElementTree as ET
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -439,18 +440,62 @@ def test_second_run_hits_the_cache(files_table, spark):
     assert token_cache.load(spark, path, 1000 + 7 * 86_400).count() == 0
 
 
+def entries(spark, *rows):
+    return spark.createDataFrame(list(rows), tokens.CACHE_SCHEMA)
+
+
 def test_versions_of_a_cache(spark):
     path = new_path(spark, "cache")
-    assert token_cache.load(spark, path).count() == 0
-    rows = lambda *r: spark.createDataFrame(list(r), tokens.CACHE_SCHEMA)
-    token_cache.save_version(rows(("h", "m", 1, 10), ("g", "m", 2, 10)), path, 0)
-    token_cache.save_version(rows(("h", "m", 5, 20)), path, 1)
-    token_cache.save_version(rows(("h", "m", 6, 20)), path, 1)  # a replay replaces its version
+    assert token_cache.load(spark, path).count() == 0 and token_cache.compact(spark, path) == 0
+    token_cache.save_version(entries(spark, ("h", "m", 1, 10), ("g", "m", 2, 10)), path, 0, "w")
+    token_cache.save_version(entries(spark, ("h", "m", 5, 20)), path, 1, "w")
+    token_cache.save_version(entries(spark, ("h", "m", 6, 20)), path, 1, "w")  # a replay replaces its version
     assert sorted(map(tuple, token_cache.load(spark, path).collect())) == [("g", "m", 2, 10), ("h", "m", 6, 20)]
-    assert token_cache.load_versions(spark, path, below=1).count() == 2
-    target = new_path(spark, "cache")
-    token_cache.compact(spark, path, target)
-    assert token_cache.load_versions(spark, target).count() == 2
+    assert token_cache.load_versions(spark, path, below=1, writer="w").count() == 2
+    # Writes of two runs that name no version are kept apart.
+    token_cache.save_version(entries(spark, ("k", "m", 7, 20)), path)
+    token_cache.save_version(entries(spark, ("l", "m", 8, 20)), path)
+    token_cache.save_version(entries(spark), path)
+    assert {r.hash for r in token_cache.load(spark, path).collect()} == {"g", "h", "k", "l"}
+
+
+def test_a_lookup_opens_only_buckets_that_may_hold_its_hashes(spark, monkeypatch):
+    path = new_path(spark, "cache")
+    monkeypatch.setattr(token_cache, "BUCKET_ENTRIES", 25)
+    for part in range(3):
+        token_cache.save_version(entries(spark, *[(f"{part}-{n}", "m", n, 10) for n in range(200)]), path)
+    every = token_cache._folders(path, token_cache.live_segments(spark, path))
+    assert len(every) == 3 * 8
+    wanted = entries(spark, ("1-7", "", 0, 0), ("1-7", "", 0, 0), ("absent", "", 0, 0), (None, "", 0, 0)).select("hash")
+    opened = token_cache.folders_for(wanted, path)
+    assert set(opened) <= set(every) and len(opened) <= 3  # one that holds it, and few by chance
+    assert [tuple(r) for r in token_cache.load_for(wanted, path).collect()] == [("1-7", "m", 7, 10)]
+    assert set(token_cache.load_for(wanted, path).inputFiles()) <= {f for f in token_cache.load_versions(spark, path).inputFiles()}
+    assert token_cache.folders_for(wanted.limit(0), path) == []
+
+
+def test_filters_miss_nothing_and_pass_little():
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(2**63), 2**63 - 1, (4, 20_000))
+    packed = token_cache.filter_of(h[0], h[1])
+    assert token_cache.may_hold(packed, h[0], h[1]).all()
+    assert token_cache.may_hold(packed, h[2], h[3]).mean() < 0.02
+
+
+def test_compaction_keeps_segments_few_and_entries_newest(spark):
+    path = new_path(spark, "cache")
+    for n in range(token_cache.FANOUT):
+        token_cache.save_version(entries(spark, ("same", "m", n, 10 + n), (f"own{n}", "m", n, 0 if n == 2 else 10)), path)
+    before = token_cache.load_versions(spark, path)
+    assert token_cache.compact(spark, path, 7 * 86_400 + 5) == token_cache.FANOUT
+    live = token_cache.live_segments(spark, path)
+    assert live.select("segment").distinct().count() == 1
+    found = {r.hash: r.tokens for r in token_cache.load(spark, path).collect()}
+    last = token_cache.FANOUT - 1
+    assert found == {"same": last, **{f"own{n}": n for n in range(token_cache.FANOUT) if n != 2}}
+    assert before.count() == 2 * token_cache.FANOUT  # readers of the segments before are not disturbed
+    assert token_cache.compact(spark, path) == 0
+    assert [token_cache.tier_of(n) for n in (0, 1, 3, 4, 15, 16, 64)] == [0, 0, 0, 1, 1, 2, 3]
 
 
 def test_stream_counts_each_content_once_and_replays_safely(files_table, spark):
@@ -473,10 +518,8 @@ def test_stream_counts_each_content_once_and_replays_safely(files_table, spark):
     assert expected == [(1,), (2,), (3,)]
     assert token_cache.load_versions(spark, cache).count() == 3
     replayed = files_table({("q", "d"): b"three four five", ("q", "e"): b"one"})
-    (folder,) = os.listdir(cache)
-    writer = folder.removeprefix("writer=")
-    last = max(int(n.split("=")[1]) for n in os.listdir(f"{cache}/{folder}") if n.startswith("version="))
-    count_batch(replayed, last, cache, options, writer)
+    last = token_cache.live_segments(spark, cache).selectExpr("max(struct(version, writer)) AS last").first().last
+    count_batch(replayed, last.version, cache, options, last.writer)
     assert token_cache.load_versions(spark, cache).count() == 3
 
 
