@@ -23,21 +23,26 @@ def corpus_totals(measured: DataFrame) -> DataFrame:
     )
 
 
-def file_details(measured: DataFrame) -> DataFrame:
+def file_details(measured: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """One row per reported path; of several writes the last one stays.
 
+    Files of a repository (`repos` with corpus, repo_owner, repo_name) are reported below its owner and name.
+
     As in the totals, what does not count is left out by a condition and after grouping, so
     that contents are not classified twice.
     """
     last = f"max(if({COUNTED}, struct(modified, size, lines, chars, hash), NULL)) AS last"
+    rows = measured.groupBy("corpus", "path").agg(F.expr(last)).where("last IS NOT NULL")
+    shown = paths.packed_path("path")
+    if repos is not None:
+        rows = rows.join(repos.select("corpus", "repo_owner", "repo_name"), "corpus", "left")
+        inside = paths.report_path("concat_ws('/', corpus, path)", "corpus", "repo_owner", "repo_name")
+        shown = f"if(repo_name IS NULL, {shown}, {inside})"
     return (
-        measured.groupBy("corpus", "path")
-        .agg(F.expr(last))
-        .where("last IS NOT NULL")
-        .selectExpr(
+        rows.selectExpr(
             "corpus",
             "path",
-            f"{paths.packed_path('path')} AS report_path",
+            f"{shown} AS report_path",
             "last.lines",
             "last.chars",
             "last.hash",

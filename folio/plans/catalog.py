@@ -25,7 +25,7 @@ from folio.operators.console import console_report, duration_text
 from folio.operators.skew import hot_keys
 from folio.options import TEXT_LIMIT_BYTES, PackOptions
 from folio.plans import driver_tables as given
-from folio.plans import pack_run
+from folio.plans import pack_run, rerun
 from folio.plans.scratch import new_path, staged
 from folio.sources import packs, tables, token_cache
 from folio.sources.tree import scan_trees
@@ -700,6 +700,37 @@ def full_run(spark, folder):
     return result.totals.select("corpus", "files", "lines", "chars", "tokens", "hits", "lookups")
 
 
+@query
+def rerun_totals(spark, folder):
+    """Totals after French files changed, German ones went and Spanish ones came, from those of the run before."""
+    files = filters.select_files(given.files(spark, folder), COUNTED)
+    lang = "regexp_extract(path, '([a-z]{2})_[0-9]', 1)"
+    first = content.accepted(files.where(f"{lang} <> 'es'"))
+    snapshot = staged(content.measured(first, COUNTED), "snapshot")
+    french = f"{lang} = 'fr'"
+    second = files.where(f"{lang} <> 'de'").withColumns(
+        {
+            "raw": F.expr(f"if({french}, concat(raw, X'78'), raw)"),
+            "size": F.expr(f"if({french}, size + 1, size)"),
+            "modified": F.expr(f"if({french}, modified + INTERVAL 1 DAY, modified)"),
+        }
+    )
+    found = rerun.rerun_files(second, snapshot, rerun.contributions(snapshot), COUNTED)
+    return found.totals.select("corpus", "files", "lines", "chars")
+
+
+@query
+def run_of_repos(spark, folder):
+    """A run over repositories: how their files are reported, and where each pack belongs."""
+    pages = given.parquet(spark, folder, "pages").select("page_id", "html")
+    known = given.repos(spark, folder).where("cache_path IS NOT NULL")
+    rows = known.join(pages, "page_id")
+    files = tables.files_from_texts(rows, "cache_path", "concat('src/page', page_id, '.html')", "html")
+    owned = _repo_corpora(spark, folder).where("repo_url IS NOT NULL")
+    result = pack_run.run(files, NAMES_ONLY, new_path(spark, "packs"), repos=staged(owned, "repos"))
+    return result.details.join(result.outputs, "corpus").select("corpus", "report_path", "lines", "chars", "output")
+
+
 # --- repositories -----------------------------------------------------------------------
 
 

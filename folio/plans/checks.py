@@ -83,6 +83,11 @@ def section(text: str) -> str:
 
 
 F_ = f"f AS ({FILES})"
+# The files of the second of two runs.
+RERUN_FILES = (
+    "SELECT corpus, path, permissions, modified_s, CASE WHEN lang = 'fr' THEN text || 'x' ELSE text END AS text, doc_id, lang "
+    f"FROM ({FILES}) WHERE lang <> 'de'"
+)
 K_ = f"""{F_}, k AS (
   SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name,
          array_to_string(string_split(path, '/')[:-2], '/') AS dir,
@@ -583,6 +588,17 @@ SELECT corpus, len(parts) || '|' || kind || '|' || corpus || '/' || path || '|'
 UNION ALL SELECT corpus, depth || '|' || unnest(['open', 'close']) || '|' || {DIR_PATH} || '|' FROM dirs
 UNION ALL SELECT corpus, '0|' || unnest(['begin', 'end']) || '|' || corpus || '|' FROM dirs WHERE dir = ''
 """,
+    "rerun_totals": f"""
+WITH {M_.replace(FILES, RERUN_FILES)}, {TOTALS_} SELECT * FROM t""",
+    "run_of_repos": f"""
+WITH {REPOS_}, h AS (
+  SELECT cache_path, owner, name, page_id, html AS text, html <> '' AND NOT {CUT_INSIDE.replace("text", "html")}
+         AND {FEW_CONTROLS.replace("text", "html")} AS ok
+  FROM repos JOIN pages USING (page_id) WHERE cache_path IS NOT NULL)
+SELECT cache_path AS corpus, owner || '/' || name || '/src/page' || page_id || '.html' AS report_path,
+       CAST(CASE WHEN ok THEN {LINES} ELSE 0 END AS BIGINT) AS lines,
+       CAST(CASE WHEN ok THEN {CHARS} ELSE 0 END AS BIGINT) AS chars, cache_path || '/.context.md' AS output
+FROM h""",
     "is_repo_url": f"WITH {URLS_}, {parsed('u')} SELECT url, x IS NOT NULL AS is_repo FROM q",
     "parse_repo_url": f"WITH {URLS_}, {parsed('u')} SELECT url, host, owner, name FROM q",
     "host_kind": f"WITH {URLS_}, {parsed('u')} SELECT url, host_kind FROM q",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import paths, quoted
 from folio.operators import content, filters, ignore_rules, largest, render, tokens, totals, tree, writers
 from folio.operators.console import console_report, duration_text
 from folio.options import PackOptions
@@ -26,6 +27,8 @@ class PackRun:
     report: DataFrame
     fresh_cache: DataFrame | None
     rejects: DataFrame  # corpus, reason, entries: what the pack does not hold, or holds as an error
+    details: DataFrame  # one row per reported path
+    outputs: DataFrame  # corpus, output: where the pack of a repository belongs, or of any other corpus by its name
 
 
 def select(files: DataFrame, options: PackOptions, rules: DataFrame | None = None) -> DataFrame:
@@ -81,7 +84,7 @@ def run(
     packable = content.accepted(kept)
     measured = staged(content.measured(packable, options), "measured")
 
-    details = totals.file_details(measured)
+    details = totals.file_details(measured, repos)
     fresh = None
     no_count = F.lit(None).cast("bigint")
     if options.model_id is not None:
@@ -121,7 +124,10 @@ def run(
         total = sizes.agg(F.sum("size")).first()[0]
         partitions = packs.parts_for(total or 0, files.sparkSession.sparkContext.defaultParallelism)
     packs.write_pack(packable, frame, options, output, partitions, sizes)
-    return PackRun(measured, base, file_rows, summary, console_report(file_rows, summary), fresh, left_out(files, measured))
+    placed = paths.output_path(quoted(options.output_name), "coalesce(corpus, '')")
+    outputs = base.selectExpr("corpus", f"{placed} AS output")
+    report = console_report(file_rows, summary)
+    return PackRun(measured, base, file_rows, summary, report, fresh, left_out(files, measured), details, outputs)
 
 
 def run_trees(

@@ -38,6 +38,7 @@ _COLUMNS = [field.split()[0] for field in LISTING.split(", ")]
 BATCH_ROWS = 4096
 BATCH_BYTES = 32 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
+TASK_FOLDERS = 1000
 
 
 def _kind(mode: int) -> str:
@@ -118,16 +119,18 @@ def list_trees(roots: DataFrame, options: PackOptions) -> DataFrame:
     """
     spark = roots.sparkSession
     path, level, tasks = new_path(spark, "listing"), 0, spark.sparkContext.defaultParallelism
+    found = roots.count()
     folders = roots.selectExpr("corpus", "if(root = '/', '/', rtrim('/', root)) AS root", "'' AS path")
     while True:
         target = f"{path}/level={level}"
-        # A fixed number, as a few short rows would otherwise be joined into one task.
-        spread = folders.repartition(tasks, "corpus", "path")
+        # A number of our own, as a few short rows would otherwise be joined into one task.
+        spread = folders.repartition(max(tasks, -(-found // TASK_FOLDERS)), "corpus", "path")
         listed = spread.mapInPandas(_lister(options.record_symlinks), LISTING)
         marked = listed.selectExpr("*", f"{_keep_entry(options)} AS kept")
         marked.where(f"kept OR {_is_rule_file(options)}").write.parquet(target)
         folders = spark.read.parquet(target).where("kind = 'directory' AND kept")
-        if folders.isEmpty():
+        found = folders.count()
+        if not found:
             break
         level += 1
     levels = [f"{path}/level={n}" for n in range(level + 1)]
