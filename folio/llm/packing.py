@@ -15,6 +15,7 @@ once each; an empty table gives no rows; other columns are left out of the piece
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -89,10 +90,15 @@ def sentence_ends(path: str) -> np.ndarray:
 
 
 _KNOWN: dict[str, dict[str, bytes]] = {}
+#: Letters that only the tokenizers library itself splits as it does.
+_FAR = re.compile(f"[{bpe.MAX_FAST}-\U0010ffff]")
 
 
 def text_ids(text: str, path: str) -> bytes:
-    """Ids of one text; units that this process has met are not encoded again."""
+    """Ids of one text. A text of Latin letters is encoded whole; of others the units that this process has not met."""
+    fast = bpe.merger(path)
+    if fast is not None and _FAR.search(text) is None and not any(t in text for t in bpe.special_tokens(path)):
+        return array("I", fast.encode_ordinary(text)).tobytes()
     known = _KNOWN.setdefault(path, {})
     names = bpe.units(text, path)
     try:
