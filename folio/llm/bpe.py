@@ -208,17 +208,37 @@ def _answered(path: str):
     return run
 
 
+def _numbered(packs: pa.Table, column: str, path: str) -> tuple[dict[str, int], list[list[array]]]:
+    """The distinct units of a block with a number each, and the numbers of every row's units; each text is split once."""
+    numbers: dict[str, int] = {}
+    rows = []
+    for opened in _opened(packs):
+        found = []
+        for value in opened.column(column):
+            names = units(value.as_py() or "", path)
+            for name in names:
+                if name not in numbers:
+                    numbers[name] = len(numbers)
+            found.append(array("I", map(numbers.__getitem__, names)))
+        rows.append(found)
+    return numbers, rows
+
+
 def _joined(column: str, out: str, parts: int, path: str):
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         give_back_memory()
-        ids = dict(zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist()))
-        known: dict[str, bytes] = {}
-        for part, names in _lists(packs, column, parts, path):
-            known.update(zip(names, unpacked(ids[part])))
+        numbers, rows_units = _numbered(packs, column, path)
+        by_part: dict[int, list[str]] = {}
+        for name in numbers:
+            by_part.setdefault(zlib.crc32(name.encode()) % parts, []).append(name)
+        known: list[bytes] = [b""] * len(numbers)
+        for part, ids in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist()):
+            for name, found in zip(sorted(by_part.pop(part)), unpacked(ids)):
+                known[numbers[name]] = found
+        del numbers
         done = []
-        for rows in _opened(packs):
-            found = [b"".join(map(known.__getitem__, units(t.as_py() or "", path))) for t in rows.column(column)]
-            done.append(rows.append_column(out, pa.array(found, pa.binary())))
+        for rows, found in zip(_opened(packs), rows_units):
+            done.append(rows.append_column(out, pa.array([b"".join(map(known.__getitem__, u)) for u in found], pa.binary())))
         return pa.concat_tables(done)
 
     return run
