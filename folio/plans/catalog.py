@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import case, paths, urls
 from folio.functions import text as txt
 from folio.operators import (
+    chunks,
     content,
     filters,
     ignore_rules,
@@ -429,6 +430,14 @@ def repeated_paths(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def chunked_measures(spark, folder):
+    """Files read in chunks, as those are that no row can hold: the measures and hash of the whole."""
+    parts = chunks.chunks_of(given.files(spark, folder), 1000)
+    found = chunks.measures(chunks.states(parts)).join(chunks.hashes(parts), ["corpus", "path"])
+    return found.select("corpus", "path", "size", "lines", "chars", "hash")
+
+
 # --- cache and models -------------------------------------------------------------------
 
 

@@ -338,6 +338,9 @@ WITH {K_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS s
     "cache_roundtrip": f"""
 WITH {F_}, {CACHE_} SELECT hash, model, arg_max(tokens, ts) AS tokens, max(ts) AS ts
 FROM live GROUP BY hash, model""",
+    "chunked_measures": f"""
+WITH {F_} SELECT corpus, path, CAST(strlen(text) AS BIGINT) AS size, CAST({LINES} AS BIGINT) AS lines,
+       CAST({CHARS} AS BIGINT) AS chars, sha256(text) AS hash FROM f""",
     "cache_compacted": f"""
 WITH {F_}, {CACHE_}, english AS (SELECT DISTINCT sha256(text) AS hash FROM f WHERE lang = 'en' AND text <> '')
 SELECT hash, model, arg_max(tokens, ts) AS tokens, max(ts) AS ts FROM live JOIN english USING (hash) GROUP BY hash, model""",
