@@ -98,8 +98,10 @@ def canonical(df: DataFrame) -> DataFrame:
     else:
         listed = df.selectExpr(f"{mapping.conv_id} AS conv_id", f"posexplode({mapping.turns}) AS (turn, m)")
         rows = listed.selectExpr("conv_id", "cast(turn AS bigint) AS turn", "m.role AS role", "m.text AS text")
+    # Rows by turn are canonical already: their roles are theirs, whatever they are called.
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    role = F.coalesce(names[F.col("role")], F.col("role"), F.lit(""))
+    renamed = F.col("role") if mapping.row else F.coalesce(names[F.col("role")], F.col("role"))
+    role = F.coalesce(renamed, F.lit(""))
     return rows.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
