@@ -29,6 +29,7 @@ from folio.plans import driver_tables as given
 from folio.plans import pack_run, rerun
 from folio.plans.scratch import new_path, staged
 from folio.sources import packs, tables, token_cache
+from folio.sources import tree_source
 from folio.sources.tree import scan_trees
 from folio.streaming.incremental import incremental_tokens
 
@@ -120,6 +121,37 @@ def scan_tree(spark, folder):
     )
 
 
+def _by_first_folder(entries):
+    """Files of trees that lie side by side, each a corpus."""
+    return entries.where("kind = 'file'").selectExpr(
+        "substring_index(path, '/', 1) AS corpus", "substring(path, instr(path, '/') + 1) AS path",
+        "kind", "size", "permissions", MODIFIED, f"{RAW_HASH} AS hash",
+    )
+
+
+@query
+def tree_format(spark, folder):
+    """The same trees read as a source of Spark, with their contents."""
+    base = new_path(spark, "trees")
+    given.written_trees(given.files(spark, folder), base)
+    tree_source.register(spark)
+    entries = spark.read.format("tree").option("content", "true").load(base.removeprefix("file:"))
+    # Hidden and listed names are left out by the query here, not by the scan.
+    return filters.select_files(_by_first_folder(entries), NAMES_ONLY)
+
+
+@query
+def tree_stream(spark, folder):
+    """The same trees read as a stream of files as they arrive, until nothing new is there."""
+    base, arrived = new_path(spark, "trees"), new_path(spark, "arrived")
+    given.written_trees(given.files(spark, folder), base)
+    tree_source.register(spark)
+    entries = spark.readStream.format("tree").options(content="true", settle="0").load(base.removeprefix("file:"))
+    stream = entries.writeStream.format("parquet").trigger(availableNow=True)
+    stream.option("checkpointLocation", new_path(spark, "stream")).start(arrived).awaitTermination()
+    return filters.select_files(_by_first_folder(spark.read.parquet(arrived)), NAMES_ONLY)
+
+
 @query
 def cache_roundtrip(spark, folder):
     """Live entries, and all of them, saved as two writes and read back."""

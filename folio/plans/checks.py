@@ -333,6 +333,12 @@ SELECT input, x IS NOT NULL AS is_repo, coalesce(cache_path, input) AS root, hos
 WITH {F_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size, permissions,
        {moment('modified_s')} AS modified FROM f""",
     "scan_tree": f"""
+WITH {K_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size, permissions,
+       {moment('modified_s')} AS modified, sha256(text) AS hash FROM k WHERE NOT listed""",
+    "tree_format": f"""
+WITH {K_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size, permissions,
+       {moment('modified_s')} AS modified, sha256(text) AS hash FROM k WHERE NOT listed""",
+    "tree_stream": f"""
 WITH {K_} SELECT corpus, path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size, permissions,
        {moment('modified_s')} AS modified, sha256(text) AS hash FROM k WHERE NOT listed""",
     "cache_roundtrip": f"""

@@ -47,18 +47,18 @@ def _kind(mode: int) -> str:
     return "file" if stat.S_ISREG(mode) else "other"
 
 
-def _unreadable(corpus, root, path, problem):
+def unreadable(corpus, root, path, problem):
     return corpus, root, path, "unreadable", 0, 0, None, None, problem.strerror or str(problem)
 
 
-def _entry(corpus, root, path, record_symlinks):
+def look_at(corpus, root, path, record_symlinks):
     """Facts of one entry, following links; one of kind `unreadable` when there are none to be had."""
     full = os.path.join(root, path) if path else root
     try:
         link = os.readlink(full) if os.path.islink(full) else None
         info = os.lstat(full) if link is not None and record_symlinks else os.stat(full)
     except OSError as problem:
-        return _unreadable(corpus, root, path, problem)
+        return unreadable(corpus, root, path, problem)
     kind = _kind(info.st_mode)
     if link is not None:
         # A linked folder is not entered: the walk would not end on a cycle.
@@ -78,7 +78,7 @@ def _lister(record_symlinks: bool):
                     with os.scandir(os.path.join(root, folder) if folder else root) as names:
                         for name in names:
                             path = f"{folder}/{name.name}" if folder else name.name
-                            rows.append(_entry(corpus, root, path, record_symlinks))
+                            rows.append(look_at(corpus, root, path, record_symlinks))
                             if len(rows) >= BATCH_ROWS:
                                 yield pd.DataFrame(rows, columns=_COLUMNS)
                                 rows = []
@@ -86,7 +86,7 @@ def _lister(record_symlinks: bool):
                     if not folder:
                         message = f"Target directory not found: {root}"
                         raise FileNotFoundError(message) from problem
-                    rows.append(_unreadable(corpus, root, folder, problem))
+                    rows.append(unreadable(corpus, root, folder, problem))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return list_folders
