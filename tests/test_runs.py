@@ -8,6 +8,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import balance, content, prefix_sums, render, tokens, tree, writers
 from folio.options import PackOptions
@@ -564,6 +565,30 @@ def test_contents_are_hashed_and_classified_once(stored):
         assert plan.count("x0E-") == 1
 
 
+def test_missing_contents_are_counted_where_they_lie(stored, monkeypatch):
+    """However many misses there are, ids go to the files and no content is shuffled; ids met by chance change nothing."""
+    spark = stored.sparkSession
+    other = stored.withColumn("raw", F.expr("encode(concat(path, ' more'), 'utf-8')")).withColumn("size", F.octet_length("raw").cast("bigint"))
+    files = staged(stored.unionByName(other))
+    facts = content.measured(files, PLAIN)
+    misses = staged(tokens.cache_misses(facts, spark.createDataFrame([], tokens.CACHE_SCHEMA), "m"))
+    few = misses.where("pmod(xxhash64(hash), 3) = 0")
+    assert 0 < few.count() < misses.count() == 51
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for wanted in (misses, few, staged(misses.limit(0))):
+            for bits in (2**29, 1):
+                monkeypatch.setattr(tokens, "MAX_BITS", bits)
+                found = tokens.count_misses(files, wanted, "pieces", "m", 1, PLAIN)
+                # The one exchange above the scan of the contents is that of their counts by hash.
+                ahead = plan_of(found).split("FileScan parquet [corpus")[0]
+                assert "BroadcastHashJoin [" in ahead and ahead.count("Exchange hashpartitioning(") == 1
+                assert sorted(r.hash for r in found.collect()) == sorted(r.hash for r in wanted.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_packs_are_printed_behind_the_shuffle(stored):
     for options in (PLAIN, XML):
         frame = render.txt_frame(stored.select("corpus").distinct(), options)
