@@ -1,8 +1,13 @@
 """Packs as text files: a folder per corpus whose parts, in order of block and name, are its pack.
 
     <path>/version=<n>/corpus=<name>/block=<b>/part-...
+    <path>/shared/version=<n>/part-...        small packs, where there are very many: rows (corpus, value) in order
     <path>/manifests/version=<n>/part-...     the parts of that version, written last
 
+A folder and a file cost more than a small pack's bytes. Of more than `FOLDERS` corpora only those of `FOLDER_BYTES` and more
+have a folder of their own, so their number follows the bytes; the packs of the others lie whole behind each other in
+shared files, sorted by corpus. Readers find both alike.
+
 A pack is what the newest manifest lists. A run that fails leaves files no manifest names; the pack before stays, and the
 next run takes a version of its own. Spark numbers parts with five digits at least, so names of 100 000 parts and more
 do not sort. Parts lie in blocks of BLOCK_PARTS, whose padded numbers do.
@@ -23,6 +28,10 @@ from folio.plans.scratch import staged
 
 ORDER = ("corpus", "section", "sort_key")
 BLOCK_PARTS = 50_000
+# Corpora that each have a folder, whatever their sizes; of more than these, the bytes that a pack with a folder has.
+FOLDERS = 1000
+FOLDER_BYTES = 16 * 1024 * 1024
+SHARED = "shared"
 PART_BYTES = 256 * 1024 * 1024
 # What a leaf prints besides its content, in bytes, for the weight of a part.
 LEAF_BYTES = 100
@@ -61,12 +70,13 @@ _KEY = f"concat_ws('\\u0000', {corpus_folder('corpus')}, cast(section AS STRING)
 
 
 def _weights(files: DataFrame, frame: DataFrame) -> DataFrame:
-    """(key, weight) of all rows of a pack, from names and sizes."""
+    """(name, key, weight) of all rows of a pack, from names and sizes; `name` is the folder of the corpus."""
     leaf = f"size + 4 * octet_length(path) + {LEAF_BYTES}"
     leaves = files.selectExpr("corpus", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key", f"{leaf} AS weight")
     printed = "octet_length(fragment)" if "fragment" in frame.columns else f"2 * octet_length(path) + {LEAF_BYTES}"
     rest = frame.selectExpr("corpus", "section", "sort_key", f"coalesce({printed}, {LEAF_BYTES}) AS weight")
-    return leaves.unionByName(rest).selectExpr(f"{_KEY} AS key", "cast(coalesce(weight, 0) AS BIGINT) AS weight")
+    name = f"{corpus_folder('corpus')} AS name"
+    return leaves.unionByName(rest).selectExpr(name, f"{_KEY} AS key", "cast(coalesce(weight, 0) AS BIGINT) AS weight")
 
 
 def in_order(
@@ -84,7 +94,7 @@ def in_order(
         partitions = files.sparkSession.sparkContext.defaultParallelism
     if sizes is None:
         sizes = staged(files.select("corpus", "path", "size"), "sizes")
-    cuts = prefix_sums.cut_keys(_weights(sizes, frame), partitions)
+    cuts = prefix_sums.cut_keys(_weights(sizes, frame).select("key", "weight"), partitions)
     body = files.selectExpr("*", f"{render.BODY} AS section", f"{paths.file_key('path')} AS sort_key")
     rows = body.unionByName(frame, allowMissingColumns=True)
     part = prefix_sums.part_of(_KEY, cuts)
@@ -128,25 +138,95 @@ def write_pack(
     checksums: bool = False,
 ) -> int:
     """Write packs as a new version and publish it; returns the version."""
-    version = time.time_ns()
-    placed = lines(files, frame, options, partitions, sizes)
-    placed = placed.selectExpr(f"{corpus_folder('corpus')} AS corpus", f"{BLOCK} AS block", "fragment AS value")
-    placed.write.partitionBy("corpus", "block").text(f"{path}/version={version}")
-    publish(files.sparkSession, path, version, checksums)
+    spark, version = files.sparkSession, time.time_ns()
+    if sizes is None:
+        sizes = staged(files.select("corpus", "path", "size"), "sizes")
+    with_folder = _with_folders(sizes, frame)
+
+    def written(how: str | None) -> DataFrame:
+        some = [rows if how is None else _of_corpora(rows, with_folder, how) for rows in (files, frame, sizes)]
+        return lines(*some[:2], options, partitions, some[2])
+
+    if with_folder is None:
+        _write_folders(written(None), path, version)
+    else:
+        _write_shared(written("left_anti"), path, version)
+        if not with_folder.isEmpty():
+            _write_folders(written("left_semi"), path, version)
+    publish(spark, path, version, checksums)
     return version
 
 
+def _with_folders(sizes: DataFrame, frame: DataFrame) -> DataFrame | None:
+    """Corpora (folder name) whose packs get a folder, or None for all of them."""
+    counted = _weights(sizes, frame).groupBy("name").agg(F.sum("weight").alias("bytes"))
+    corpora = staged(counted, "corpora")
+    if corpora.count() <= FOLDERS:
+        return None
+    return corpora.where(f"bytes >= {FOLDER_BYTES}").select("name")
+
+
+def _of_corpora(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """Rows of the corpora with a folder, or of the others; these are few, a folder for `FOLDER_BYTES`, and sent to the rows."""
+    return rows.join(F.broadcast(names), F.expr(corpus_folder("corpus")) == F.col("name"), how)
+
+
+def _write_folders(placed: DataFrame, path: str, version: int) -> None:
+    named = placed.selectExpr(f"{corpus_folder('corpus')} AS corpus", f"{BLOCK} AS block", "fragment AS value")
+    named.write.partitionBy("corpus", "block").text(f"{path}/version={version}")
+
+
+def _write_shared(placed: DataFrame, path: str, version: int) -> None:
+    named = placed.selectExpr(f"{corpus_folder('corpus')} AS corpus", "fragment AS value")
+    named.write.parquet(f"{path}/{SHARED}/version={version}")
+
+
+# --- reading ------------------------------------------------------------------------------
+
+
 def listing(spark: SparkSession, path: str, version: int, checksums: bool = False) -> DataFrame:
-    """The parts of a version as they lie there: their bytes, and with `checksums` their lines and an order-free hash of these."""
+    """The parts of a version as they lie there: their bytes, and with `checksums` their lines and an order-free hash of these.
+
+    A small pack's part is what a shared file holds of it.
+    """
+    own, shared = _listed_folders(spark, path, version, checksums), _shared(spark, path, version)
+    if own is None and shared is None:
+        return spark.createDataFrame([], _MANIFEST)
+    if shared is None:
+        return own
+    sums = [F.expr("sum(octet_length(value) + 1L) AS bytes"), *[F.lit(None).cast("bigint").alias(c) for c in ("lines", "hash")]]
+    if checksums:
+        read = _as_lines(shared).groupBy("corpus", "block", "part")
+        # A line's end is a byte that its value does not hold.
+        sums = [sums[0], F.count("*").alias("lines"), F.expr("bit_xor(xxhash64(value)) AS hash")]
+    else:
+        read = shared.groupBy("corpus", "block", "part")
+    found = read.agg(*sums)
+    return found if own is None else own.unionByName(found)
+
+
+def _found(load) -> DataFrame | None:
+    """What `load` reads, or None where its folder is not there."""
+    try:
+        return load()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _listed_folders(spark: SparkSession, path: str, version: int, checksums: bool) -> DataFrame | None:
     folder = f"{path}/version={version}"
     names = [f"url_decode(replace(regexp_extract(path, {quoted(f'/{k}=([^/]*)/')}, 1), '+', '%2B')) AS {k}" for k in ("corpus", "block")]
     part = "substring_index(path, '/', -1) AS part"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = _found(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    if found is None:
+        return None
     found = found.where("length > 0").selectExpr(*names, part, "length AS bytes")
     if not checksums:
         return found.selectExpr("*", "cast(NULL AS BIGINT) AS lines", "cast(NULL AS BIGINT) AS hash")
     # One group for each file; tasks send one row of each they read.
-    read = _stored(spark, folder).groupBy("corpus", "block", "part")
+    read = _in_folders(spark, path, version).groupBy("corpus", "block", "part")
     sums = read.agg(F.count("*").alias("lines"), F.expr("bit_xor(xxhash64(value)) AS hash"))
     return found.join(sums, ["corpus", "block", "part"], "left")
 
@@ -173,26 +253,50 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return manifest(spark, path).agg(F.max("version")).first()[0]
 
 
-def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.schema("value STRING, corpus STRING, block STRING").option("lineSep", "\n").text(folder)
-    return rows.selectExpr("corpus", "block", "_metadata.file_name AS part", "_metadata.file_block_start AS start", "value")
+def _in_folders(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    read = spark.read.schema("value STRING, corpus STRING, block STRING").option("lineSep", "\n")
+    rows = _found(lambda: read.text(f"{path}/version={version}"))
+    return rows and rows.selectExpr("corpus", "block", "_metadata.file_name AS part", "_metadata.file_block_start AS start", "value")
+
+
+def _shared(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    """Fragments of the packs of a version that share files, if there are any."""
+    rows = _found(lambda: spark.read.schema("corpus STRING, value STRING").parquet(f"{path}/{SHARED}/version={version}"))
+    named = ("corpus", f"'{SHARED}' AS block", "_metadata.file_name AS part", "_metadata.file_block_start AS start", "value")
+    return rows and rows.selectExpr(*named)
+
+
+def _as_lines(fragments: DataFrame) -> DataFrame:
+    """The lines that a text file of the fragments has."""
+    return fragments.selectExpr("corpus", "block", "part", "start", "explode(split(value, '\\n')) AS value")
+
+
+def _stored(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """Lines (corpus, block, part, start, value) of a version, in the order of each split."""
+    own, shared = _in_folders(spark, path, version), _shared(spark, path, version)
+    some = [rows for rows in (own, shared and _as_lines(shared)) if rows is not None]
+    return some[0] if len(some) == 1 else some[0].unionByName(some[1])
 
 
 def read_pack(spark: SparkSession, path: str, corpus: str | None) -> DataFrame:
     """Lines (part, value) of one published pack; no rows where nothing is published."""
-    name = "NULL" if corpus is None else quoted(corpus)
-    of_corpus = f"corpus <=> cast({name} AS STRING)"
-    return stored_lines(spark, path).where(of_corpus).select("part", "value")
+    name = "cast(NULL AS STRING)" if corpus is None else quoted(corpus)
+    return _published(spark, path, f"corpus = {corpus_folder(name)}").select("part", "value")
 
 
 def stored_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines (corpus, part, value) of all published packs."""
+    return _published(spark, path, "true")
+
+
+def _published(spark: SparkSession, path: str, condition: str) -> DataFrame:
+    """Lines of published packs whose folder name meets a condition, which leaves other folders and shared files unread."""
     listed = manifest(spark, path)
     version = listed.agg(F.max("version")).first()[0]
     if version is None:
         return spark.createDataFrame([], "corpus STRING, part STRING, value STRING")
-    parts = listed.select("corpus", "block", "part")
-    kept = _stored(spark, f"{path}/version={version}").join(parts, ["corpus", "block", "part"], "left_semi")
+    parts = listed.where(condition).select("corpus", "block", "part")
+    kept = _stored(spark, path, version).where(condition).join(parts, ["corpus", "block", "part"], "left_semi")
     return kept.selectExpr(f"{corpus_of('corpus')} AS corpus", "concat_ws('/', block, part) AS part", "value")
 
 
@@ -201,7 +305,7 @@ def pack_faults(spark: SparkSession, path: str) -> DataFrame:
     version = current_version(spark, path)
     if version is None:
         return spark.createDataFrame([], "corpus STRING, fault STRING")
-    found = balance.pack_faults(_stored(spark, f"{path}/version={version}"))
+    found = balance.pack_faults(_stored(spark, path, version))
     return found.selectExpr(f"{corpus_of('corpus')} AS corpus", "fault")
 
 

@@ -307,6 +307,37 @@ def test_packs_of_corpora_without_name_are_apart(files_table, spark):
     assert [r.fault for r in packs.pack_faults(spark, out).collect()] == [None] * len(names)
 
 
+@pytest.mark.parametrize("options", [PLAIN, XML])
+def test_small_packs_share_files_where_there_are_many(files_table, spark, monkeypatch, options):
+    """Readers find the same lines, and folders are made for large packs alone."""
+    names = [None, "", "%none", "a+b %41=/'é", *(f"c{n}" for n in range(30))]
+    entries = {(name, f"d/f{k}"): b"text %d\r\n\n<a>\n" % k for k, name in enumerate(names)}
+    entries |= {("c7", "big"): b"long " * 1000, ("c7", "d/last"): b"end"}
+    files, (apart, shared) = files_table(entries), (new_path(spark, "packs") for _ in range(2))
+    run(files, options, apart)
+    monkeypatch.setattr(packs, "FOLDERS", 3, raising=False)
+    monkeypatch.setattr(packs, "FOLDER_BYTES", 4000, raising=False)
+    run(files, options, shared)
+    (version,) = [n for n in os.listdir(shared) if n.startswith("version=")]
+    assert [n for n in os.listdir(f"{shared}/{version}") if n.startswith("corpus=")] == ["corpus=c7"]
+
+    def lines(path):
+        return sorted((r.corpus or "", r.value) for r in packs.stored_lines(spark, path).collect())
+
+    assert lines(shared) == lines(apart) and len(set(c for c, _ in lines(apart))) == len(names) - 1
+    for name in (*names[:4], "c7", "c8"):
+        found = [sorted(r.value for r in packs.read_pack(spark, path, name).collect()) for path in (shared, apart)]
+        assert found[0] == found[1]
+    whole = [sorted((r.corpus, r.bytes) for r in packs.manifest(spark, p).groupBy("corpus").agg(F.sum("bytes").alias("bytes")).collect()) for p in (shared, apart)]
+    assert whole[0] == whole[1]
+    if options is XML:
+        assert [r.fault for r in packs.pack_faults(spark, shared).collect()] == [None] * len(names)
+    frame = render.txt_frame(files.where("corpus <> 'c7'").select("corpus").distinct(), PLAIN)
+    packs.write_pack(files.where("corpus <> 'c7'"), frame, PLAIN, shared, 3, checksums=True)
+    assert packs.damaged_parts(spark, shared).count() == 0 and packs.read_pack(spark, shared, "c7").count() == 0
+    assert packs.read_pack(spark, shared, "c8").count() > 3
+
+
 def test_a_failed_run_leaves_the_pack_before(files_table, spark, monkeypatch):
     out = new_path(spark, "packs")
     assert packs.read_pack(spark, out, "p").count() == 0
@@ -579,7 +610,7 @@ def test_missing_contents_are_counted_where_they_lie(stored, monkeypatch):
     try:
         for wanted in (misses, few, staged(misses.limit(0))):
             for bits in (2**29, 1):
-                monkeypatch.setattr(tokens, "MAX_BITS", bits)
+                monkeypatch.setattr(tokens, "MAX_BITS", bits, raising=False)
                 found = tokens.count_misses(files, wanted, "pieces", "m", 1, PLAIN)
                 # The one exchange above the scan of the contents is that of their counts by hash.
                 ahead = plan_of(found).split("FileScan parquet [corpus")[0]
